@@ -103,9 +103,10 @@ def keep(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame
     Texts stay where they are: a pass sums the hosts, a second one filters, so no text is shuffled unless the
     list of rejected hosts is too large to broadcast.
     """
-    measured = measure(docs, text)
-    rejected = host_verdicts(measured, host).filter(F.col(P + "host_rejected")).select(P + "host")
-    kept = measured.filter(~base_failed()).join(rejected, F.col(host).eqNullSafe(F.col(P + "host")), "left_anti")
+    rejected = host_verdicts(measure(docs, text), host).filter(F.col(P + "host_rejected")).select(P + "host")
+    # a row number keeps the filter above the measures: pushed below them, it would compute them again for each word
+    measured = measure(docs, text).withColumn(P + "row", F.monotonically_increasing_id())
+    kept = measured.filter(~base_failed() & (F.col(P + "row") >= 0)).join(rejected, F.col(host).eqNullSafe(F.col(P + "host")), "left_anti")
     return kept.select(*(F.col(f"`{x}`") for x in docs.columns))
 
 
