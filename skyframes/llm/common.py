@@ -6,7 +6,6 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,10 +38,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/skyframes-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let Arrow batches hold few rows: the rows here are whole texts, and a batch is held twice by a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -69,28 +73,6 @@ def make_dir(uri: str) -> str:
     return uri
 
 
-def ragged_take(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Concatenate ``flat[starts[i]:starts[i] + lens[i]]`` for each i of ``index``."""
-    n = lens[index]
-    ends = np.cumsum(n)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts[index] - (ends - n), n) + np.arange(total)]
-
-
-class Growing:
-    """A numpy array that grows by doubling."""
-
-    def __init__(self, dtype, size: int = 1024):
-        self.data, self.n = np.zeros(size, dtype), 0
-
-    def extend(self, values) -> None:
-        values = np.asarray(values, self.data.dtype)
-        while self.n + len(values) > len(self.data):
-            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
-        self.data[self.n : self.n + len(values)] = values
-        self.n += len(values)
-
-
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of equal ``keys``, from batches that are sorted by them; a group may span batches."""
     held: list[pa.RecordBatch] = []

@@ -3,7 +3,8 @@
 Forward Viterbi scores over the lattice of pieces are exact heuristics for a backward A-star search, which yields
 segmentations best first. No piece spans a word boundary (checked on loading), so a text's lattice falls apart at
 these; each distinct stretch is searched once, and the n best of a text are the n smallest sums of the stretches'
-gaps, which can only differ in the n - 1 stretches with the smallest gaps.
+gaps, which can only differ in the n - 1 stretches with the smallest gaps: the forward pass tells each stretch's first
+gap, and the search runs in those stretches only.
 
 Scores: the model is a merge-ranked vocabulary without probabilities, so a piece of rank r scores as Zipf's law
 has it, -log((r + 1) H). A character without a piece becomes its UTF-8 byte pieces at the lowest score less 10.
@@ -18,16 +19,18 @@ import heapq
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Growing, ragged_take, table
+from .common import bounded_batches, table
 
-NBEST, CACHE, MARK = 4, 250_000, "▁"
+NBEST, CACHE, MARK = 4, 200_000, "▁"
 SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, score double, nbest_scores array<double>, round_trip boolean"
 
 
@@ -37,6 +40,9 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+_first = itemgetter(0)
+
+
 class Lattice:
     def __init__(self, path: str | None = None):
         import sentencepiece
@@ -60,46 +66,109 @@ class Lattice:
             raise ValueError("a piece spans a word boundary")
         self.low = min(s for _, s in self.pieces.values()) - 10
         self.longest = max(map(len, self.pieces))
+        self.reach: dict[str, int] = {}  # by a piece's first three characters, the longest such piece
+        for p in self.pieces:
+            if len(p) > 2:
+                self.reach[p[:3]] = max(self.reach.get(p[:3], 0), len(p))
+        self.pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         breaks = "" if any("\n" in p for p in self.pieces) else "\n"
         self.stretch = re.compile(rf"{MARK}*[^{MARK}{breaks}]+|{MARK}+" + (r"|\n" if breaks else ""))
 
     def split(self, text: str) -> list[str]:
         return self.stretch.findall(MARK + text.replace(" ", MARK)) if text else []
 
+    def arcs_from(self, stretch: str, i: int) -> list[tuple[int, tuple[int, ...], float]]:
+        """(end, ids, score) of the pieces that start at ``i``."""
+        get = self.pieces.get
+        found = get(stretch[i])
+        if found is None:
+            found = (tuple(self.bytes[b] for b in stretch[i].encode("utf-8", "surrogatepass")), self.low)
+        out = [(i + 1, *found)]
+        if (pair := stretch[i : i + 2]) in self.pairs:
+            if found := get(pair):
+                out.append((i + 2, *found))
+            for j in range(i + 3, min(len(stretch), i + self.reach.get(stretch[i : i + 3], 0)) + 1):
+                if found := get(stretch[i:j]):
+                    out.append((j, *found))
+        return out
+
+    def best_two(self, stretch: str) -> tuple[float, tuple[int, ...], float]:
+        """(score, ids) of the best segmentation and the score of the second, by the forward pass alone."""
+        size = len(stretch)
+        best, second, back = [0.0] + [-math.inf] * size, [-math.inf] * (size + 1), [None] * (size + 1)
+        get, pairs, reach = self.pieces.get, self.pairs, self.reach.get
+        for i in range(size):  # as arcs_from, without its lists: this is the hot loop
+            one, two, j, last = best[i], second[i], i + 1, i + 1
+            found = get(stretch[i])
+            if found is None:
+                found = (tuple(self.bytes[b] for b in stretch[i].encode("utf-8", "surrogatepass")), self.low)
+            if stretch[i : i + 2] in pairs:
+                last = max(i + 2, min(size, i + reach(stretch[i : i + 3], 0)))
+            while True:
+                if found is not None:
+                    v = one + found[1]
+                    if v > best[j]:
+                        second[j] = max(best[j], two + found[1])
+                        best[j], back[j] = v, (i, found[0])
+                    elif v > second[j]:
+                        second[j] = v
+                if j == last:
+                    break
+                j += 1
+                found = get(stretch[i:j])
+        ids: tuple[int, ...] = ()
+        at = size
+        while at:
+            at, part = back[at]
+            ids = part + ids
+        return best[size], ids, second[size]
+
     def nbest(self, stretch: str, n: int = NBEST) -> list[tuple[float, tuple[int, ...]]]:
         """The n best (score, ids), best first; equal scores in the order of the search."""
-        size, get, longest = len(stretch), self.pieces.get, self.longest
+        size = len(stretch)
         best = [0.0] + [-math.inf] * size
         arcs: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(size + 1)]
         for i in range(size):
-            here = best[i]
-            for j in range(i + 1, min(size, i + longest) + 1):
-                found = get(stretch[i:j])
-                if found is None:
-                    if j > i + 1:
-                        continue
-                    found = (tuple(self.bytes[b] for b in stretch[i].encode("utf-8", "surrogatepass")), self.low)
-                arcs[j].append((i, *found))
-                if here + found[1] > best[j]:
-                    best[j] = here + found[1]
+            for j, ids, score in self.arcs_from(stretch, i):
+                arcs[j].append((i, ids, score))
+                best[j] = max(best[j], best[i] + score)
         out: list[tuple[float, tuple[int, ...]]] = []
-        heap: list = [(-best[size], 0, size, 0.0, None)]
+        if not size:
+            return [(0.0, ())]
+        order: list = [None] * (size + 1)
+
+        def sorted_arcs(at: int) -> list[tuple[float, int, tuple[int, ...], float]]:
+            if order[at] is None:
+                order[at] = sorted(((-(score + best[i]), i, ids, score) for i, ids, score in arcs[at]), key=_first)
+            return order[at]
+
+        # an entry stands for its arc and for the worse arcs into the same node, which follow when it is popped
+        heap: list = [(sorted_arcs(size)[0][0], 0, size, 0, 0.0, None)]
         tick = 0
         while heap and len(out) < n:
-            _, _, at, done, link = heapq.heappop(heap)
-            if not at:
-                ids: list[int] = []
+            _, _, at, k, done, link = heapq.heappop(heap)
+            into = sorted_arcs(at)
+            if k + 1 < len(into):
+                tick += 1
+                heapq.heappush(heap, (into[k + 1][0] - done, tick, at, k + 1, done, link))
+            _, i, ids, score = into[k]
+            done, link = done + score, (ids, link)
+            if i:
+                tick += 1
+                heapq.heappush(heap, (sorted_arcs(i)[0][0] - done, tick, i, 0, done, link))
+            else:
+                found_ids: list[int] = []
                 while link:
-                    ids.extend(link[0])
+                    found_ids.extend(link[0])
                     link = link[1]
-                out.append((done, tuple(ids)))
-                continue
-            for i, ids, score in arcs[at]:
-                tick += 1
-                total = done + score
-                heapq.heappush(heap, (-(total + best[i]), tick, i, total, (ids, link)))
+                out.append((done, tuple(found_ids)))
         return out
 
+    def cut(self, stretch: str) -> list[str]:
+        """Parts that no piece joins: adjacent characters at a cut stand in no piece together."""
+        at = [0, *(i for i in range(1, len(stretch)) if stretch[i - 1 : i + 1] not in self.pairs), len(stretch)]
+        return [stretch[a:b] for a, b in zip(at, at[1:], strict=False)]
+
     def decode(self, ids) -> str:
         """The text of the ids: marks become spaces, byte pieces UTF-8, and the first space goes."""
         data = b"".join(x if isinstance(x, bytes) else x.encode("utf-8", "surrogatepass") for x in (self.surface[i] for i in ids))
@@ -115,60 +184,75 @@ def smallest_sums(gaps: list[list[float]], n: int) -> list[tuple[float, tuple[in
 
 
 class Encoder:
-    """Documents' best ids and n-best scores, through a cache of stretches (it restarts when full)."""
+    """Documents' best ids and n-best scores, through a cache of stretches of two generations of bounded size."""
 
     def __init__(self, path: str | None = None, n: int = NBEST):
         self.lattice, self.n = Lattice(path), n
+        self.searched: dict[str, list[float]] = {}
         self.reset()
 
     def reset(self) -> None:
+        """A new generation: a number per stretch, and by number the best ids, score, first gap and soundness."""
+        self.old = (self.index, self.ids, self.scores, self.first, self.sound) if hasattr(self, "index") else ({}, [], array("d"), array("d"), bytearray())
         self.index: dict[str, int] = {}
-        self.flat, self.starts, self.lens, self.scores, self.sound = Growing(np.int32), Growing(np.int64), Growing(np.int64), Growing(np.float64), Growing(bool)
-        self.gaps = Growing(np.float64)  # n - 1 of each stretch, infinite where there is none
-
-    def add(self, new: list[str]) -> None:
-        ids: list[int] = []
-        lens, scores, gaps, sound = [], [], [], []
-        for x in new:
-            found = self.lattice.nbest(x, self.n)
-            top, best = found[0]
-            ids.extend(best)
-            lens.append(len(best))
-            scores.append(top)
-            gaps.extend([top - s for s, _ in found[1:]] + [math.inf] * (self.n - len(found)))
-            sound.append(b"".join(y if isinstance(y, bytes) else y.encode() for y in (self.lattice.surface[i] for i in best)) == x.encode("utf-8", "surrogatepass"))
-        self.index.update(zip(new, range(self.lens.n, self.lens.n + len(new)), strict=True))
-        self.starts.extend(self.flat.n + np.cumsum(lens) - lens)
-        for to, values in ((self.lens, lens), (self.scores, scores), (self.gaps, gaps), (self.sound, sound), (self.flat, ids)):
-            to.extend(values)
-
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, float, list[float], bool]]:
-        """(best ids, score, n-best scores, whether the ids decode to the text) of each text."""
+        self.ids: list[bytes] = []
+        self.scores, self.first, self.sound = array("d"), array("d"), bytearray()
+
+    def solve(self, stretch: str) -> int:
+        """The number of a stretch: its best ids as little-endian i4, score, first gap, whether the ids decode to it."""
+        if (at := self.index.get(stretch)) is not None:
+            return at
+        if (at := self.old[0].get(stretch)) is not None:
+            found = tuple(x[at] for x in self.old[1:])
+        else:
+            parts = self.lattice.cut(stretch)
+            if len(parts) == 1:
+                top, ids, second = self.lattice.best_two(stretch)
+                sound = b"".join(y if isinstance(y, bytes) else y.encode() for y in map(self.lattice.surface.__getitem__, ids)) == stretch.encode("utf-8", "surrogatepass")
+                found = (array("i", ids).tobytes(), top, top - second, sound)
+            else:
+                rows = [self.solve(p) for p in parts]
+                found = (b"".join([self.ids[r] for r in rows]), math.fsum(self.scores[r] for r in rows), min(self.first[r] for r in rows), all(self.sound[r] for r in rows))
+        for to, value in zip((self.ids, self.scores, self.first, self.sound), found, strict=True):
+            to.append(value)
+        at = self.index[stretch] = len(self.ids) - 1
+        return at
+
+    def gaps(self, stretch: str) -> list[float]:
+        """The n best scores' distances from the best one, by the search."""
+        if (found := self.searched.get(stretch)) is None:
+            if len(self.searched) > CACHE:
+                self.searched.clear()
+            lists = []
+            for part in self.lattice.cut(stretch):
+                scores = [s for s, _ in self.lattice.nbest(part, self.n)]
+                lists.append([scores[0] - s for s in scores])
+            found = self.searched[stretch] = [s for s, _ in smallest_sums(lists, self.n)]
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, float, list[float], bool]]:
+        """(best ids as little-endian i4, score, n-best scores, whether the ids decode to the text) of each text."""
         if len(self.index) > CACHE:
             self.reset()
         docs = [self.lattice.split(t or "") for t in texts]
-        new = list({x: None for d in docs for x in d if x not in self.index})
-        if new:
-            self.add(new)
-        get, m = self.index.__getitem__, self.n - 1
+        for x in set().union(*docs).difference(self.index):
+            self.solve(x)
+        get, ids, m, out = self.index.__getitem__, self.ids.__getitem__, self.n - 1, []
+        scores, first, sound = np.frombuffer(self.scores), np.frombuffer(self.first), np.frombuffer(self.sound, np.bool_)
         for text, doc in zip(texts, docs, strict=True):
             if not doc:
-                yield np.zeros(0, np.int32), 0.0, [0.0], True
+                out.append((b"", 0.0, [0.0], True))
                 continue
-            at = np.fromiter(map(get, doc), np.int64, len(doc))
-            ids = ragged_take(self.flat.data, self.starts.data, self.lens.data, at)
-            score = float(self.scores.data[at].sum())
-            sums = [0.0]
-            if m:
-                first = self.gaps.data[at * m]
-                if len(at) > m:
-                    last = np.partition(first, m - 1)[m - 1]
-                    pick = np.concatenate([np.flatnonzero(first < last), np.flatnonzero(first == last)])[:m]
-                else:
-                    pick = np.arange(len(at))
-                lists = [[0.0, *(g for g in self.gaps.data[at[p] * m : at[p] * m + m].tolist() if g < math.inf)] for p in pick.tolist()]
-                sums = [s for s, _ in smallest_sums(lists, self.n)]
-            yield ids, score, [score - s for s in sums], MARK not in text and bool(self.sound.data[at].all())
+            rows = list(map(get, doc))
+            at = np.array(rows)
+            score, pick = float(scores[at].sum()), range(len(rows))
+            if m and len(rows) > m:
+                gaps = first[at]
+                last = np.partition(gaps, m - 1)[m - 1]
+                pick = np.concatenate([np.flatnonzero(gaps < last), np.flatnonzero(gaps == last)])[:m].tolist()
+            sums = smallest_sums([self.gaps(doc[i]) for i in pick], self.n) if m else [(0.0, ())]
+            out.append((b"".join(map(ids, rows)), score, [score - s for s, _ in sums], MARK not in text and bool(sound[at].all())))
+        return out
 
 
 def _encode(path: str | None, n: int, with_ids: bool):
@@ -177,14 +261,14 @@ def _encode(path: str | None, n: int, with_ids: bool):
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                rows = list(encoder.encode(part.column(1).to_pylist()))
+                rows = encoder.encode(part.column(1).to_pylist())
                 columns = [
-                    part.column(0), pa.array([len(r[0]) for r in rows], pa.int64()), pa.array([zlib.crc32(r[0].astype("<u4").tobytes()) for r in rows], pa.int64()),
+                    part.column(0), pa.array([len(r[0]) // 4 for r in rows], pa.int64()), pa.array([zlib.crc32(r[0]) for r in rows], pa.int64()),
                     pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.list_(pa.float64())), pa.array([r[3] for r in rows], pa.bool_()),
                 ]
                 names = ["doc_id", "n_pieces", "ids_crc32", "score", "nbest_scores", "round_trip"]
                 if with_ids:
-                    columns.append(pa.array([r[0] for r in rows], pa.list_(pa.int32())))
+                    columns.append(pa.array([np.frombuffer(r[0], "<i4") for r in rows], pa.list_(pa.int32())))
                     names.append("piece_ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -196,6 +280,7 @@ def segment(docs: DataFrame, text: str = "text", model: str | None = None, n: in
 
     One pass over the texts, nothing is shuffled.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(_encode(model, n, with_ids), SCHEMA + (", piece_ids array<int>" if with_ids else ""))
 
