@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 from .url_filters import host_of
 
 MIN_PAGES, MIN_SHARE = 10, 0.5
@@ -212,6 +212,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    bounded_batches(pages.sparkSession)
     templates = site_templates(pages, min_pages, min_share).withColumnRenamed("host", "__host")
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", host_of(F.col("url")).alias("__host"))
     return rows.join(templates, "__host", "left").select("page_id", "url", "html", "template").mapInArrow(_extract, SCHEMA)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import make_dir, materialize, open_store, scratch, table, write_file
+from .common import bounded_batches, make_dir, materialize, open_store, scratch, table, write_file
 
 MIN_REVISIT_BYTES = 100
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256 * 1024, 64 * 1024 * 1024, 3
@@ -165,6 +165,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
 def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Write the archives; the result is the index (materialised, so the archives are written once)."""
     make_dir(folder)
+    bounded_batches(pages.sparkSession)
     return materialize(plan_records(pages).mapInArrow(_write(folder, frame_bytes, bundle_bytes), INDEX_SCHEMA), "warc-index")
 
 
