@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of code points outside this class.
 SPACES = r"[\x20\x09-\x0D]"
@@ -50,6 +51,22 @@ def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FILTER_BITS = 23
+
+
+def mark_members(rows: DataFrame, key: str, members: DataFrame, member_key: str, flag: str) -> DataFrame:
+    """``rows`` with a boolean ``flag`` that is true for every key of ``members`` and for few others.
+
+    Keys are 64-bit hashes. The members' bits are packed in at most 2^17 words, which bounds the broadcast; with very many
+    members the flag only excludes less. It lets a join shuffle the rows that may match instead of all.
+    """
+    slot = lambda c: f"pmod({c}, {1 << FILTER_BITS}L)"
+    bit = lambda c: f"shiftleft(1L, cast({slot(c)} & 63 as int))"
+    words = members.groupBy(F.expr(f"shiftright({slot(member_key)}, 6)").alias("__word")).agg(F.expr(f"bit_or({bit(member_key)})").alias("__bits"))
+    joined = rows.join(F.broadcast(words), F.expr(f"shiftright({slot(key)}, 6)") == F.col("__word"), "left")
+    return joined.withColumn(flag, F.expr(f"coalesce((__bits & {bit(key)}) != 0, false)")).drop("__word", "__bits")
+
+
 def open_store(uri: str):
     """The pyarrow file system and path of ``uri`` (a plain path, file://, hdfs://, s3:// ...)."""
     from pyarrow import fs

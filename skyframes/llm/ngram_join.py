@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import groups, materialize, table
+from .common import bounded_batches, groups, mark_members, materialize, table
 
 THRESHOLD, RECALL, MAX_HASHES, WINDOW = 0.8, 0.9995, 256, 5
 #: A block holds about this many shingles; a document counts for at least DOC_WEIGHT.
@@ -233,6 +233,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
     class_id is the smallest doc_id of the class, n_links the number of other documents at the threshold or above.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     sketched = materialize(rows.mapInArrow(_sketch(*plan_bands(threshold, recall)), "doc_id long, text_hash long, class long, n long, bands array<long>"), "sketches")
@@ -246,7 +247,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
     members = stars.select(F.col("u").alias("class"), F.col("v").alias("grp")).union(stars.select("v", "v").distinct()).join(classes, "class")
     sizes = members.groupBy("grp").agg(F.ceil(F.sum(F.col("n") + DOC_WEIGHT) / BLOCK_WEIGHT).cast("long").alias("blocks"))
     wanted = materialize(members.join(sizes, "grp").select("first", "first_hash", "grp", "class", "copies", F.pmod(F.xxhash64("class"), F.col("blocks")).alias("block"), "blocks"), "wanted")
-    texts = rows.join(wanted, (rows["doc_id"] == wanted["first"]) & (rows["text_hash"] == wanted["first_hash"]))
+    # only texts that may be wanted are shuffled; a sort-merge join whatever the sizes, so small inputs take the way of large ones
+    key = lambda i, h: F.xxhash64(i, h)
+    likely = mark_members(rows.withColumn("key", key("doc_id", "text_hash")), "key", wanted.select(key("first", "first_hash").alias("member")), "member", "likely").filter("likely").drop("key", "likely")
+    texts = likely.join(wanted.hint("merge"), (likely["doc_id"] == wanted["first"]) & (likely["text_hash"] == wanted["first_hash"]))
     blocks = texts.select("grp", "class", "copies", "block", "blocks", "text").mapInArrow(_shingle_blocks, "grp long, x long, y long, class long, copies long, block long, shingles binary")
     checked = blocks.repartition(max(parts, 4), "grp", "x", "y").sortWithinPartitions("grp", "x", "y").mapInArrow(_verify(threshold), "class long, links long, root long")
     checked = materialize(checked, "verified")
@@ -269,11 +273,15 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     found = near_duplicates(docs, text).filter("n_links > 0")
     gone = found.select("doc_id", "text_hash", (F.col("doc_id") != F.col("class_id")).alias("__nj_gone")).groupBy("doc_id", "text_hash").agg(F.max("__nj_gone").alias("__nj_gone"), (F.count(F.lit(1)) > 1).alias("__nj_more"))
     gone = gone.filter("__nj_gone or __nj_more").select(F.col("doc_id").alias("__nj_id"), F.col("text_hash").alias("__nj_hash"), "__nj_gone")
-    rows = docs.withColumn("__nj_text", F.xxhash64(text)).join(gone, (F.col("doc_id") == F.col("__nj_id")) & (F.col("__nj_text") == F.col("__nj_hash")), "left")
-    rows = rows.filter("not coalesce(__nj_gone, false)")
+    gone = materialize(gone, "gone")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    repeated = rows.filter("__nj_id is not null").withColumn("__nj_row", F.row_number().over(Window.partitionBy("__nj_id", "__nj_hash").orderBy(F.lit(1)))).filter("__nj_row = 1")
-    return rows.filter("__nj_id is null").select(*names).unionByName(repeated.select(*names))
+    rows = docs.withColumn("__nj_text", F.xxhash64(text)).withColumn("__nj_key", F.xxhash64("doc_id", "__nj_text"))
+    rows = mark_members(rows, "__nj_key", gone.select(F.xxhash64("__nj_id", "__nj_hash").alias("member")), "member", "__nj_likely")
+    sure = rows.filter("not __nj_likely").select(*names)  # these stay without a shuffle
+    found = rows.filter("__nj_likely").join(gone.hint("merge"), (F.col("doc_id") == F.col("__nj_id")) & (F.col("__nj_text") == F.col("__nj_hash")), "left").filter("not coalesce(__nj_gone, false)")
+    one = F.row_number().over(Window.partitionBy("doc_id", "__nj_text").orderBy(F.col("__nj_gone").isNull()))
+    found = found.withColumn("__nj_row", one).filter("__nj_id is null or __nj_row = 1")
+    return sure.unionByName(found.select(*names))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
