@@ -1,7 +1,7 @@
 """Language-model scoring by logistic context mixing.
 
-Bytes are coded as bits along a Huffman tree of the training bytes. Hashed contexts (the last 2, 3 and 5 bytes, the
-word so far, the word so far with the word before) have tables of bit counts, summed over all training documents. A document is
+Bytes are coded as bits along a Huffman tree of the training bytes. Hashed contexts (the last 2 and 4 bytes, the word so far,
+the word so far with the word before) have tables of bit counts, summed over all training documents. A document is
 scored from its first bit on: the predictors' log-odds are mixed by weights that a gate chooses (how
 many of the long contexts have been seen), the weights learn from the bits already coded, block by block, and the mixed
 probability is refined by adaptive counts of its own calibration. The score is the log10 probability of the
@@ -29,19 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import bounded_batches, materialize, table
 
 FOLDS, HELD_OUT = 5, 1
-SLOT_BITS, N_CONTEXTS, CHUNK_SLOTS = 21, 5, 1 << 16
-SEGMENT, TRAIN_BYTES, FREQUENT = 1 << 22, 1 << 20, 1 << 17
-FIRST_BLOCK, LAST_BLOCK, GATES, RATE, PRIOR, START = 256, 4096, 4, 0.4, 40.0, 0.32
+SLOT_BITS, N_CONTEXTS, CHUNK_SLOTS = 22, 4, 1 << 16
+SEGMENT, TRAIN_BYTES, FREQUENT = 1 << 22, 1 << 19, 1 << 17
+FIRST_BLOCK, LAST_BLOCK, GATES, RATE, PRIOR, START = 256, 8192, 4, 0.4, 40.0, 0.36
 SCALE, BUCKETS, APM_PRIOR = 10.0, 33, 24.0
 END = "\n"  # no word holds a line end
 SCORED = "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, bits double, n_bytes long, tail array<struct<word:string,n:long>>"
 
 
 class Code:
-    """A Huffman code of bytes: for each byte the inner nodes on its path and the bits taken there."""
+    """A Huffman code of bytes: for each byte the inner nodes on its path (as hash salts) and the bits taken there."""
 
     def __init__(self, counts: np.ndarray):
         heap = [(int(c) * 1000 + 1, i) for i, c in enumerate(counts)]
@@ -62,7 +62,7 @@ class Code:
                 todo.extend((kid, [*path, (x - 256, bit)]) for bit, kid in enumerate(kids[x]))
         self.lens = np.array([len(p) for p in paths])
         self.starts = np.cumsum(self.lens) - self.lens
-        self.nodes = np.array([n for p in paths for n, _ in p], np.uint32)
+        self.salts = np.array([(n + 1) * 0x9E3779B1 % (1 << 32) for p in paths for n, _ in p], np.uint32)
         self.bits = np.array([b for p in paths for _, b in p], np.uint8)
 
 
@@ -89,11 +89,10 @@ def contexts(padded: np.ndarray) -> list[np.ndarray]:
     d = padded.astype(np.uint64)
     back = lambda k: np.concatenate([np.zeros(k, np.uint64), d[:-k]])
     two = back(1) | back(2) << np.uint64(8)
-    three = two | back(3) << np.uint64(16)
-    five = three | back(4) << np.uint64(24) | back(5) << np.uint64(32)
+    four = two | back(3) << np.uint64(16) | back(4) << np.uint64(24)
     word, before = _word_state(padded)
     out = []
-    for i, x in enumerate((two, three, five, word, word * np.uint64(0xA0761D6478BD642F) + before)):
+    for i, x in enumerate((two, four, word, word * np.uint64(0xA0761D6478BD642F) + before)):
         x = (x + np.uint64(i + 1)) * np.uint64(0xD6E8FEB86659FD93)
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         out.append((x >> np.uint64(32)).astype(np.uint32))
@@ -106,8 +105,8 @@ def segments(text: bytes) -> list[bytes]:
     return [data[i : i + SEGMENT] for i in range(0, len(data), SEGMENT)]
 
 
-def expand(parts: list[bytes], code: Code) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """(bits, nodes, slot of each bit for each context, number of bits of each part)."""
+def expand(parts: list[bytes], code: Code) -> tuple[np.ndarray, Iterator[np.ndarray], np.ndarray]:
+    """(bits, slots of the bits for one context after another, number of bits of each part)."""
     buffer = np.frombuffer(b"".join(bytes(8) + p for p in parts), np.uint8)
     sizes = np.array([len(p) for p in parts])
     keep = np.ones(len(buffer), bool)
@@ -115,17 +114,20 @@ def expand(parts: list[bytes], code: Code) -> tuple[np.ndarray, np.ndarray, list
     keep[(heads[:, None] + np.arange(8)).ravel()] = False
     data = buffer[keep]
     n = code.lens[data]
-    place = np.repeat(code.starts[data] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    nodes = code.nodes[place]
-    salt = (nodes + np.uint32(1)) * np.uint32(0x9E3779B1)
-    slots = []
-    for h in contexts(buffer):
-        x = np.repeat(h[keep], n) ^ salt
-        x *= np.uint32(0x85EBCA6B)
-        x ^= x >> np.uint32(13)
-        x *= np.uint32(0xC2B2AE35)
-        slots.append((x >> np.uint32(32 - SLOT_BITS)).astype(np.int64))
-    return code.bits[place], nodes, slots, np.add.reduceat(n, np.cumsum(sizes) - sizes)
+    ends = np.cumsum(n)
+    place = np.repeat((code.starts[data] - (ends - n)).astype(np.int32), n)
+    place += np.arange(len(place), dtype=np.int32)
+    salt = code.salts.take(place)
+
+    def slots() -> Iterator[np.ndarray]:
+        for h in contexts(buffer):
+            x = np.repeat(h[keep], n)
+            x ^= salt
+            x *= np.uint32(0x85EBCA6B)
+            x >>= np.uint32(32 - SLOT_BITS)
+            yield x
+
+    return code.bits.take(place), slots(), np.add.reduceat(n, np.cumsum(sizes) - sizes)
 
 
 def _pack(counts: np.ndarray) -> bytes:
@@ -168,9 +170,11 @@ def _count_bits(counts: np.ndarray):
         def add():
             nonlocal tables, held, held_bytes
             tables = np.zeros((N_CONTEXTS, size), np.uint32) if tables is None else tables
-            bits, _, slots, _ = expand(held, code)
+            bits, slots, _ = expand(held, code)
             for k, slot in enumerate(slots):
-                tables[k] += np.bincount(slot * 2 + bits, minlength=size).astype(np.uint32)
+                slot <<= np.uint32(1)
+                slot |= bits
+                np.add.at(tables[k], slot.astype(np.int64), np.uint32(1))  # equal types take the fast path
             held, held_bytes = [], 0
 
         for batch in batches:
@@ -218,7 +222,7 @@ class Mixer:
     def __init__(self):
         self.weights = np.full((GATES, N_CONTEXTS + 1), START, np.float32)
         self.weights[:, -1] = 0
-        self.curve = np.full((GATES, N_CONTEXTS + 1), PRIOR, np.float32)
+        self.curve = np.full((GATES, N_CONTEXTS + 1), PRIOR)
         mid = 1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS // 2) / 2.0))
         self.hits, self.seen = np.tile(mid * APM_PRIOR, (GATES, 1)).ravel(), np.full(GATES * BUCKETS, APM_PRIOR)
         self.block = FIRST_BLOCK
@@ -226,23 +230,35 @@ class Mixer:
     def cost(self, odds: np.ndarray, bits: np.ndarray) -> float:
         """log2 of the probability of ``bits``, given the predictors' log-odds (a row per bit)."""
         total, at = 0.0, 0
+        gates = (odds[:, 1] != 0).astype(np.int64)
+        gates += odds[:, 2] != 0
+        gates += odds[:, 3] != 0
         while at < len(bits):
-            x, y = odds[at : at + self.block], bits[at : at + self.block].astype(np.float32)
+            x, y, gate = odds[at : at + self.block], bits[at : at + self.block].astype(np.float32), gates[at : at + self.block]
             at += self.block
             self.block = min(LAST_BLOCK, 2 * self.block)
-            gate = (x[:, 2] != 0).astype(np.int64) + (x[:, 4] != 0) + (x[:, 3] != 0)
-            row = np.arange(len(y))
-            z = np.clip((x @ self.weights.T)[row, gate], -12, 12)
-            p = 1 / (1 + np.exp(-z))
-            bucket = gate * BUCKETS + np.clip(np.rint(z * 2).astype(np.int64) + BUCKETS // 2, 0, BUCKETS - 1)
-            fine = np.clip(0.5 * (p + self.hits[bucket] / self.seen[bucket]), 1e-6, 1 - 1e-6)
-            total += float(np.log2(np.where(y > 0, fine, 1 - fine)).sum())
-            spread = np.zeros((GATES, len(y)), np.float32)
-            spread[gate, row] = y - p
-            slope = spread @ x
-            spread[gate, row] = p * (1 - p)
-            self.curve += spread @ (x * x)
-            self.weights += RATE * slope / self.curve
+            z = (x @ self.weights.T).ravel().take(np.arange(0, GATES * len(y), GATES) + gate)
+            np.clip(z, -12, 12, out=z)
+            p = np.exp(-z)
+            p += 1
+            np.reciprocal(p, out=p)
+            z *= 2
+            bucket = np.rint(z).astype(np.int64)
+            bucket += BUCKETS // 2
+            np.clip(bucket, 0, BUCKETS - 1, out=bucket)
+            bucket += gate * BUCKETS
+            fine = (self.hits / self.seen).astype(np.float32).take(bucket)
+            fine += p
+            fine *= 0.5
+            fine += y
+            fine -= 1  # now the probability of the bit, or less it
+            np.abs(fine, out=fine)
+            total += float(np.log2(np.maximum(fine, 1e-6)).sum(dtype=np.float64))
+            error = y - p
+            slope = np.stack([np.bincount(gate, weights=error * x[:, c], minlength=GATES) for c in range(x.shape[1])], axis=1)
+            p *= 1 - p
+            self.curve += np.bincount(gate, weights=p, minlength=GATES)[:, None] * (np.einsum("ij,ij->j", x, x) / len(y))
+            self.weights += (RATE * slope / self.curve).astype(np.float32)
             self.hits += np.bincount(bucket, weights=y, minlength=GATES * BUCKETS)
             self.seen += np.bincount(bucket, minlength=GATES * BUCKETS)
         return total
@@ -255,10 +271,10 @@ def score_texts(texts: list[bytes], code: Code, odds: np.ndarray) -> list[float]
     out = [0.0] * len(texts)
 
     def run() -> None:
-        bits, _, slots, sizes = expand([p for _, p in group], code)
+        bits, slots, sizes = expand([p for _, p in group], code)
         x = np.empty((len(bits), N_CONTEXTS + 1), np.float32)
         for k, slot in enumerate(slots):
-            np.multiply(odds[k].take(slot), np.float32(1 / SCALE), out=x[:, k], casting="unsafe")
+            np.multiply(odds[k].take(slot.astype(np.int64)), np.float32(1 / SCALE), out=x[:, k])
         x[:, -1] = 0.3
         at = 0
         for (i, _), n in zip(group, sizes.tolist(), strict=True):
@@ -269,7 +285,7 @@ def score_texts(texts: list[bytes], code: Code, odds: np.ndarray) -> list[float]
     for i, text in enumerate(texts):
         for part in segments(text):
             group.append((i, part))
-            if sum(len(p) for _, p in group) > 1 << 18:
+            if sum(len(p) for _, p in group) > 1 << 17:
                 run()
     if group:
         run()
@@ -313,6 +329,7 @@ def _score(shared, total: int, distinct: int):
 def score(docs: DataFrame, text: str = "text") -> DataFrame:
     """A row per document: tokens, known tokens, training tokens, base score, model score, bits per byte."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == HELD_OUT).alias("held_out"), F.col(text).alias("text"))
@@ -321,6 +338,7 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
     words = counted.filter("kind = 0")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = {r["word"].encode(): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
+    frequent |= {END.encode(): r["n"] for r in words.filter(F.col("word") == END).collect()}
     seen = np.zeros(256, np.int64)
     for r in counted.filter("kind = 1").collect():  # 256 rows at most
         seen[int(r["word"])] = r["n"]
