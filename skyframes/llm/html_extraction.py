@@ -110,7 +110,8 @@ def parse(page: str) -> Node:
         if tag == "br":
             stack[-1].parts.append("\n")
             continue
-        node = Node(tag, _marked(tag, attrs), tag in ("article", "main") or attrs.get("role", "").lower() == "main" or attrs.get("itemprop", "").lower() == "articlebody")
+        drop = _marked(tag, attrs)
+        node = Node(tag, drop, not (drop and tag == "article") and (tag in ("article", "main") or attrs.get("role", "").lower() == "main" or attrs.get("itemprop", "").lower() == "articlebody"))
         stack[-1].parts.append(node)
         if tag in VOID:
             continue
