@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Growing, make_dir, materialize, open_store, ragged_take, scratch, table, write_file
+from .common import bounded_batches, make_dir, materialize, open_store, scratch, table, write_file
 
 LIMIT, BLOCK, STRIDE, MAGIC = 16, 1 << 16, 128, b"SKTOKEN1"
-END_ID, CACHE = 2, 300_000
+END_ID, CACHE = 2, 500_000
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -36,50 +37,72 @@ def default_tokenizer() -> str:
 
 
 class ChunkTokenizer:
-    """Encodes texts through a cache of white-space-free chunks.
+    """Encodes texts through a cache of white-space-free chunks, as little-endian ids of ``id_bytes``.
 
-    The tokenizer drops white space and its pieces never cross it, so a text's ids are those of its chunks in
-    order; each distinct chunk goes through the library once (the cache restarts when full).
+    The tokenizer lower-cases, drops white space and never joins across it, so a text's ids are those of its chunks in
+    order. Punctuation behind a chunk's last letter is a unit of its own, so such chunks share the entry of what is before it.
+    Words of letters are one unit each and go through the library together. The cache has two generations of bounded size.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, id_bytes: int = 4):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
-
-    def reset(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat, self.starts, self.lens = Growing(np.uint32), Growing(np.int64), Growing(np.int64)
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.index) > CACHE:
-            self.reset()
-        chunks = [(t or "").encode().split() for t in texts]
-        new = list({c: None for doc in chunks for c in doc if c not in self.index})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)]
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.index.update(zip(part, range(self.lens.n, self.lens.n + len(part)), strict=True))
-            self.starts.extend(self.flat.n + np.cumsum(lens) - lens)
-            self.lens.extend(lens)
-            self.flat.extend(np.fromiter((x for doc in ids for x in doc), np.uint32, int(lens.sum())))
-        get = self.index.__getitem__
-        return [ragged_take(self.flat.data, self.starts.data, self.lens.data, np.fromiter(map(get, doc), np.int64, len(doc))) for doc in chunks]
+        self.tokenizer, self.kind = Tokenizer.from_file(path), np.dtype(f"<u{id_bytes}")
+        self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _library(self, chunks: list[bytes]) -> None:
+        words, others = [], []
+        for c in chunks:
+            (words if (text := c.decode("utf-8", "replace")).isalpha() else others).append((c, text))
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            found = self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False)
+            units = np.array(found.word_ids, np.int64)
+            if len(units) and units[-1] == len(part) - 1:
+                ids, ends = np.array(found.ids).astype(self.kind).tobytes(), (np.searchsorted(units, np.arange(len(part) + 1)) * self.kind.itemsize).tolist()
+                self.cache.update((c, ids[a:b]) for (c, _), a, b in zip(part, ends, ends[1:], strict=False))
+            else:
+                others.extend(part)
+        for i in range(0, len(others), 2000):
+            part = others[i : i + 2000]
+            for (c, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
+                self.cache[c] = np.array(e.ids).astype(self.kind).tobytes()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.cache) > CACHE:
+            self.cache, self.old = {}, self.cache
+        docs = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+        new = set().union(*docs).difference(self.cache)
+        if new:
+            ends, need = {}, set()
+            for c in new:
+                text = c.decode("utf-8", "replace")
+                stem = text if text.isalpha() or "<|" in text else text.rstrip(string.punctuation)
+                if stem and stem != text and stem[-1].isalpha():
+                    ends[c] = pair = (stem.encode(), text[len(stem) :].encode())
+                    need.update(pair)
+                else:
+                    need.add(c)
+            need = {c for c in need if c not in self.cache}
+            for c in need & self.old.keys():
+                self.cache[c] = self.old[c]
+            self._library(sorted(need.difference(self.cache)))
+            self.cache.update((c, self.cache[stem] + self.cache[end]) for c, (stem, end) in ends.items())
+        get = self.cache.__getitem__
+        return [b"".join(map(get, doc)) for doc in docs]
 
 
 def _tokenize(path: str, id_bytes: int):
-    kind = np.dtype(f"<u{id_bytes}")
+    end = np.array(END_ID).astype(f"<u{id_bytes}").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkTokenizer(path)
+        coder = ChunkTokenizer(path, id_bytes)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                docs = [np.append(x, np.uint32(END_ID)).astype(kind).tobytes() for x in coder.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(docs, pa.binary())], ["doc_id", "ids"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + end for x in coder.encode(part.column(1).to_pylist())], pa.binary())], ["doc_id", "ids"])
 
     return run
 
@@ -88,10 +111,7 @@ def _count(size: int, id_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(ids, f"<u{id_bytes}"), minlength=size) if len(ids) > size else 0
-                if len(ids) <= size:
-                    np.add.at(total, np.frombuffer(ids, f"<u{id_bytes}").astype(np.int64), np.int64(1))
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), f"<u{id_bytes}"), minlength=size)
         seen = np.flatnonzero(total)
         if len(seen):
             yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
@@ -290,12 +310,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, text: str = "text", id_bytes: int = 2, vocabulary: int = 1 << 16) -> DataFrame:
     """Write the files; the result is their manifest (part, path, n_docs, n_tokens, start), in the documents' order.
 
-    Texts are tokenised twice, once for the global counts (summed by task, then by id) and once for the files, as
-    that costs less than storing ids between; only ids are shuffled, by ranges of doc_id.
+    Texts are tokenised once into a table of ids; the global counts are summed by task and then by id, and only ids
+    are shuffled, by ranges of doc_id.
     """
     spark, path = docs.sparkSession, tokenizer or default_tokenizer()
+    bounded_batches(spark)
     make_dir(folder)
     ids = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(_tokenize(path, id_bytes), "doc_id long, ids binary")
+    ids = materialize(ids, "ids", "zstd")
     counts = ids.select("ids").mapInArrow(_count(vocabulary, id_bytes), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row per id of the vocabulary at most
     total = np.zeros(vocabulary, np.int64)
     for row in counts:
