@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, table
 
-NBEST, CACHE, MARK = 4, 200_000, "▁"
+NBEST, CACHE, MARK = 4, 700_000, "▁"
 SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, score double, nbest_scores array<double>, round_trip boolean"
 
 
@@ -72,7 +72,18 @@ class Lattice:
                 self.reach[p[:3]] = max(self.reach.get(p[:3], 0), len(p))
         self.pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         breaks = "" if any("\n" in p for p in self.pieces) else "\n"
-        self.stretch = re.compile(rf"{MARK}*[^{MARK}{breaks}]+|{MARK}+" + (r"|\n" if breaks else ""))
+        marks = re.escape("".join(sorted(self._apart())))
+        apart = rf"{MARK}*[{marks}]+|" if marks else ""
+        self.stretch = re.compile(rf"{apart}{MARK}*[^{MARK}{breaks}{marks}]+|{MARK}+" + (r"|\n" if breaks else ""))
+
+    def _apart(self) -> set[str]:
+        """Characters other than letters that stand in pieces with each other and the white-space mark only."""
+        out = {c for p in self.pieces for c in p if not c.isalpha() and c not in f"{MARK}\n"}
+        while True:
+            mixed = {c for a, b in self.pairs for c, x in ((a, b), (b, a)) if c in out and x not in out and x != MARK}
+            if not mixed:
+                return out
+            out -= mixed
 
     def split(self, text: str) -> list[str]:
         return self.stretch.findall(MARK + text.replace(" ", MARK)) if text else []
