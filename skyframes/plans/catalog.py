@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as ex
 from ..functions.expressions import r6
 from ..operators import coadd, combine, filters, frames, measure, references, resample, selection
-from . import models, pipelines
+from . import local, models, pipelines
 
 SIZE, MASK_RADIUS = 8, 4.5
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -659,3 +659,51 @@ def contrast_grid(spark, d):
     d2 = F.pow(F.col("row") - F.col("x"), 2) + F.pow(F.col("col") - F.col("y"), 2)
     left = F.col("value") - F.col("contrast") * F.exp(-d2 / 2)
     return shown(at.groupBy("trial", "signal", "contrast").agg(F.avg(left * left).alias("merit")), "trial", "signal", contrast="contrast", merit="merit")
+
+
+# ---- local work on regressions (rows only; compared with whole refits and plain numpy in the tests) ----------------
+
+LOCAL = local.Region(1.0, 4.5, 2.0, 2.0, 8.0, 180.0, 1.5, modes=2)
+
+
+@query()
+def local_trials(spark, d):
+    """Merits of a grid of contrasts at one place, each by refitting only the pixels that its aperture depends on."""
+    s = stack(spark, d).select("seq", "frame_idx", "pixels", "angle")
+    t = local.evaluate_trials(spark, s, SIZE, LOCAL, [(2.0, 40.0, c / 4) for c in range(5)], (2.0, 40.0), 0.8, 2.0)
+    return shown(t, "seq", "trial", merit="merit")
+
+
+@query()
+def neighbour_fit_energy(spark, d):
+    """Pixel regression with neighbour frames' disk pixels among the predictors."""
+    s = stack(spark, d)
+    near = models.local_predictors(geo(spark), 1.5, 2.5, 1.5, 1.5, 5.0, 90.0, 1.5)
+    r = local.neighbour_models(pixels(spark, d), s, near, [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)], 1, 2.0, 1.5, [2])
+    return shown(r.groupBy("seq", "t_row", "t_col", "rank").agg(F.sum(F.col("value") * F.col("value")).alias("energy"), F.count(F.lit(1)).alias("n")), "seq", "t_row", "t_col", "rank", "n", energy="energy")
+
+
+@query()
+def sky_fit_energy(spark, d):
+    """Regression of sky-fixed pixels."""
+    region = local.Region(0.0, 2.0, 2.0, 2.0, 8.0, 180.0, 0.5, modes=2)
+    r = local.sky_models(pixels(spark, d), angles(spark, d), geo(spark), SIZE, region)
+    return shown(r.groupBy("seq", "t_row", "t_col").agg(F.sum(F.col("value") * F.col("value")).alias("energy"), F.count("value").alias("n")), "seq", "t_row", "t_col", "n", energy="energy")
+
+
+@query()
+def psf_response_filter(spark, d):
+    """Each pixel's frozen-fit response to a source, and the amplitude that it finds in the mean image."""
+    x = range(-2, 3)
+    template = local.np.array([[local.np.exp(-(a * a + b * b) / 2.0) for b in x] for a in x])
+    p = pixels(spark, d)
+    found = local.response_filter(combine.combine(p), local.psf_responses(p, geo(spark), SIZE, LOCAL, template), 0.3)
+    return shown(found, "seq", "row", "col", "n_support", amplitude="amplitude")
+
+
+@query()
+def masked_projection_energy(spark, d):
+    """Principal components with a disk about each pixel kept out of its own projection."""
+    inside = frames.select_region(pixels(spark, d), geo(spark), frames.regions(spark, [0.0], [4.5]))
+    r = models.kl_subtract(inside, [4], exclude_radius=1.5)
+    return shown(r.groupBy("seq", "frame_idx").agg(F.sum(F.col("value") * F.col("value")).alias("energy")), "seq", "frame_idx", energy="energy")
