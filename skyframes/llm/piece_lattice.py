@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, table
 
-NBEST, CACHE, MARK = 4, 700_000, "▁"
+NBEST, CACHE, TOGETHER, MARK = 4, 700_000, 24, "▁"
 SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, score double, nbest_scores array<double>, round_trip boolean"
 
 
@@ -74,16 +74,20 @@ class Lattice:
         breaks = "" if any("\n" in p for p in self.pieces) else "\n"
         marks = re.escape("".join(sorted(self._apart())))
         apart = rf"{MARK}*[{marks}]+|" if marks else ""
-        self.stretch = re.compile(rf"{apart}{MARK}*[^{MARK}{breaks}{marks}]+|{MARK}+" + (r"|\n" if breaks else ""))
+        self.stretch = re.compile(rf"{MARK}?[^{MARK}{breaks}{marks}]+|{MARK}*[^{MARK}{breaks}{marks}]+|{apart}{MARK}+" + (r"|\n" if breaks else ""))
 
     def _apart(self) -> set[str]:
-        """Characters other than letters that stand in pieces with each other and the white-space mark only."""
+        """ASCII characters other than letters, and those that share pieces with them, if all of these keep apart from the rest.
+
+        They stand in pieces with each other and the white-space mark only.
+        """
         out = {c for p in self.pieces for c in p if not c.isalpha() and c not in f"{MARK}\n"}
-        while True:
-            mixed = {c for a, b in self.pairs for c, x in ((a, b), (b, a)) if c in out and x not in out and x != MARK}
-            if not mixed:
-                return out
+        while mixed := {c for a, b in self.pairs for c, x in ((a, b), (b, a)) if c in out and x not in out and x != MARK}:
             out -= mixed
+        near = {c for c in out if c.isascii()}
+        while more := {x for a, b in self.pairs for c, x in ((a, b), (b, a)) if c in near and x not in near and x != MARK}:
+            near |= more
+        return near
 
     def split(self, text: str) -> list[str]:
         return self.stretch.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -186,6 +190,90 @@ class Lattice:
         return data.decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ")
 
 
+class Trie:
+    """The pieces as a trie in flat arrays: transitions are a hash table from (node, character) to node."""
+
+    BITS = 19
+
+    def __init__(self, pieces: dict[str, tuple[tuple[int, ...], float]]):
+        edges: dict[tuple[int, int], int] = {}
+        ends: list[tuple[int, int, float]] = []
+        for piece, (ids, score) in pieces.items():
+            node = 0
+            for c in map(ord, piece):
+                node = edges.setdefault((node, c), len(edges) + 1)
+            ends.append((node, ids[0], score))
+        if len(edges) > 1 << (self.BITS - 1):
+            raise ValueError("too many pieces for the table")
+        self.piece, self.score = np.full(len(edges) + 1, -1, np.int32), np.full(len(edges) + 1, -np.inf)
+        for node, i, score in ends:
+            self.piece[node], self.score[node] = i, score
+        self.keys, self.next = np.full(1 << self.BITS, -1, np.int64), np.full(1 << self.BITS, -1, np.int32)
+        keys = np.array([n << 21 | c for n, c in edges], np.int64)
+        at, todo, child = self._slot(keys), np.arange(len(keys)), np.fromiter(edges.values(), np.int32, len(edges))
+        while len(todo):  # each round, one of the keys that want a free slot gets it
+            free = self.keys[at[todo]] < 0
+            self.keys[at[todo[free]]] = keys[todo[free]]
+            won = self.keys[at[todo]] == keys[todo]
+            self.next[at[todo[won]]] = child[todo[won]]
+            todo = todo[~won]
+            at[todo] = (at[todo] + 1) & ((1 << self.BITS) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def step(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The nodes behind ``chars`` (-1: none)."""
+        out = np.full(nodes.shape, -1, np.int32)
+        todo = np.flatnonzero(nodes >= 0)
+        keys = (nodes.ravel()[todo].astype(np.int64) << 21) | chars.ravel()[todo]
+        at, flat = self._slot(keys), out.ravel()
+        while len(todo):
+            found = self.keys[at]
+            hit = found == keys
+            flat[todo[hit]] = self.next[at[hit]]
+            go = ~hit & (found >= 0)
+            todo, keys, at = todo[go], keys[go], (at[go] + 1) & ((1 << self.BITS) - 1)
+        return flat.reshape(nodes.shape)
+
+
+def best_two_of_many(stretches: list[str], trie: Trie, low: float, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For stretches of one length: (score, second score, piece ids right-aligned with -2 before them, whether all characters are in pieces).
+
+    The forward pass of ``Lattice.best_two``, one step of all stretches at a time.
+    """
+    n, size = len(stretches), len(stretches[0])
+    chars = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.int64)
+    state, scores, pieces = np.zeros((n, size), np.int32), [], []
+    for k in range(min(size, longest)):
+        state = trie.step(state[:, : size - k], chars[:, k:])
+        scores.append(np.where(state >= 0, trie.score[state], -np.inf))
+        pieces.append(np.where(state >= 0, trie.piece[state], -1))
+    known = (pieces[0] >= 0).all(axis=1)
+    scores[0] = np.where(pieces[0] >= 0, scores[0], low)
+    best, second, step = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -np.inf), np.zeros((size + 1, n), np.int64)
+    best[0] = 0
+    for i in range(size):
+        for k in range(min(len(scores), size - i)):
+            s, j = scores[k][:, i], i + k + 1
+            v = best[i] + s
+            better = v > best[j]
+            second[j] = np.where(better, np.maximum(best[j], second[i] + s), np.maximum(second[j], v))
+            best[j] = np.where(better, v, best[j])
+            step[j] = np.where(better, k + 1, step[j])
+    ids, at, row = np.full((n, size), -2, np.int32), np.full(n, size), np.arange(n)
+    for place in range(size - 1, -1, -1):
+        live = np.flatnonzero(at > 0)
+        if not len(live):
+            break
+        width = step[at[live], live]
+        at[live] -= width
+        for k in np.unique(width):
+            mine = live[width == k]
+            ids[mine, place] = pieces[k - 1][mine, at[mine]]
+    return best[size], second[size], ids[row], known
+
+
 def smallest_sums(gaps: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The n smallest sums with one gap of each list (each begins with 0), with the choices."""
     out: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
@@ -199,6 +287,7 @@ class Encoder:
 
     def __init__(self, path: str | None = None, n: int = NBEST):
         self.lattice, self.n = Lattice(path), n
+        self.trie = Trie(self.lattice.pieces)
         self.searched: dict[str, list[float]] = {}
         self.reset()
 
@@ -229,6 +318,27 @@ class Encoder:
         at = self.index[stretch] = len(self.ids) - 1
         return at
 
+    def solve_many(self, stretches: set[str]) -> None:
+        """Number new stretches: short ones of a length together, the others one by one."""
+        by_size: dict[int, list[str]] = {}
+        for x in stretches:
+            if len(x) > TOGETHER or x in self.old[0]:
+                self.solve(x)
+            else:
+                by_size.setdefault(len(x), []).append(x)
+        for group in by_size.values():
+            score, second, ids, known = best_two_of_many(group, self.trie, self.lattice.low, self.lattice.longest)
+            starts = (ids == -2).sum(axis=1).tolist()
+            for x, a, b, row, start, sound in zip(group, score.tolist(), (score - second).tolist(), ids, starts, known.tolist(), strict=True):
+                if not sound:
+                    self.solve(x)
+                    continue
+                self.index[x] = len(self.ids)
+                self.ids.append(row[start:].tobytes())
+                self.scores.append(a)
+                self.first.append(b)
+                self.sound.append(1)
+
     def gaps(self, stretch: str) -> list[float]:
         """The n best scores' distances from the best one, by the search."""
         if (found := self.searched.get(stretch)) is None:
@@ -246,8 +356,7 @@ class Encoder:
         if len(self.index) > CACHE:
             self.reset()
         docs = [self.lattice.split(t or "") for t in texts]
-        for x in set().union(*docs).difference(self.index):
-            self.solve(x)
+        self.solve_many(set().union(*docs).difference(self.index))
         get, ids, m, out = self.index.__getitem__, self.ids.__getitem__, self.n - 1, []
         scores, first, sound = np.frombuffer(self.scores), np.frombuffer(self.first), np.frombuffer(self.sound, np.bool_)
         for text, doc in zip(texts, docs, strict=True):
@@ -270,8 +379,8 @@ def _encode(path: str | None, n: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, n)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
                 rows = encoder.encode(part.column(1).to_pylist())
                 columns = [
                     part.column(0), pa.array([len(r[0]) // 4 for r in rows], pa.int64()), pa.array([zlib.crc32(r[0]) for r in rows], pa.int64()),
