@@ -1,10 +1,10 @@
 """Language-model scoring by logistic context mixing.
 
-Bytes are coded as bits along a Huffman tree of the training bytes. Hashed contexts (the last 2 and 4 bytes, the word so far,
+Bytes are coded as bits along Huffman trees of the training bytes, one tree for each byte before. Hashed contexts (the last 4 bytes, the word so far,
 the word so far with the word before) have tables of bit counts, summed over all training documents. A document is
 scored from its first bit on: the predictors' log-odds are mixed by weights that a gate chooses (how
 many of the long contexts have been seen), the weights learn from the bits already coded, block by block, and the mixed
-probability is refined by adaptive counts of its own calibration. The score is the log10 probability of the
+probability is refined by adaptive counts of its own calibration. Learning takes every LEARN_EVERY-th bit. The score is the log10 probability of the
 text with an end mark.
 
 Tables have a fixed number of slots, so what the driver gathers and broadcasts is bounded; tasks send compressed counts,
@@ -23,6 +23,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,38 +33,55 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, materialize, table
 
 FOLDS, HELD_OUT = 5, 1
-SLOT_BITS, N_CONTEXTS, CHUNK_SLOTS = 22, 4, 1 << 16
+SLOT_BITS, N_CONTEXTS, CHUNK_SLOTS = 22, 3, 1 << 16
 SEGMENT, TRAIN_BYTES, FREQUENT = 1 << 22, 1 << 19, 1 << 17
-FIRST_BLOCK, LAST_BLOCK, GATES, RATE, PRIOR, START = 256, 8192, 4, 0.4, 40.0, 0.36
+FIRST_BLOCK, LAST_BLOCK, GATES, RATE, PRIOR, START, LEARN_EVERY = 512, 8192, 4, 0.4, 40.0, 0.36, 4
 SCALE, BUCKETS, APM_PRIOR = 10.0, 33, 24.0
 END = "\n"  # no word holds a line end
 SCORED = "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, bits double, n_bytes long, tail array<struct<word:string,n:long>>"
 
 
 class Code:
-    """A Huffman code of bytes: for each byte the inner nodes on its path (as hash salts) and the bits taken there."""
+    """Huffman codes of bytes, one for each byte before: the inner nodes on a byte's path (as hash salts) and the bits taken there.
+
+    ``counts`` is (byte before, byte); pairs that don't occur are ordered by the byte's own count. Arrays are indexed by
+    256 * before + byte.
+    """
 
     def __init__(self, counts: np.ndarray):
-        heap = [(int(c) * 1000 + 1, i) for i, c in enumerate(counts)]
-        heapq.heapify(heap)
-        kids, node = {}, 256
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            kids[node] = (a[1], b[1])
-            heapq.heappush(heap, (a[0] + b[0], node))
-            node += 1
-        paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
-        todo: list[tuple[int, list[tuple[int, int]]]] = [(node - 1, [])]
-        while todo:
-            x, path = todo.pop()
-            if x < 256:
-                paths[x] = path
-            else:
-                todo.extend((kid, [*path, (x - 256, bit)]) for bit, kid in enumerate(kids[x]))
-        self.lens = np.array([len(p) for p in paths])
+        alone = np.argsort(np.argsort(counts.sum(axis=0), kind="stable"), kind="stable")
+        lens, salts, bits = [], [], []
+        for before in range(256):
+            heap = [(int(c) * 1000 + int(r) + 1, i) for i, (c, r) in enumerate(zip(counts[before], alone, strict=True))]
+            heapq.heapify(heap)
+            kids, node = {}, 256
+            while len(heap) > 1:
+                a, b = heapq.heappop(heap), heapq.heappop(heap)
+                kids[node] = (a[1], b[1])
+                heapq.heappush(heap, (a[0] + b[0], node))
+                node += 1
+            paths: list = [None] * 256
+            todo: list = [(node - 1, (), ())]
+            while todo:
+                x, nodes, taken = todo.pop()
+                if x < 256:
+                    paths[x] = nodes, taken
+                else:
+                    todo.extend((kid, (*nodes, before << 8 | x - 256), (*taken, bit)) for bit, kid in enumerate(kids[x]))
+            for nodes, taken in paths:
+                lens.append(len(nodes))
+                salts.extend(nodes)
+                bits.extend(taken)
+        self.lens = np.array(lens)
         self.starts = np.cumsum(self.lens) - self.lens
-        self.salts = np.array([(n + 1) * 0x9E3779B1 % (1 << 32) for p in paths for n, _ in p], np.uint32)
-        self.bits = np.array([b for p in paths for _, b in p], np.uint8)
+        self.salts = (np.array(salts, np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+        self.bits = np.array(bits, np.uint8)
+
+
+@lru_cache(maxsize=2)
+def code_of(counts: bytes) -> Code:
+    """A worker builds the code once."""
+    return Code(np.frombuffer(counts, np.int64).reshape(256, 256))
 
 
 def _word_state(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,11 +106,10 @@ def contexts(padded: np.ndarray) -> list[np.ndarray]:
     """32-bit context hashes of each byte of a buffer of segments with 8 zero bytes before each."""
     d = padded.astype(np.uint64)
     back = lambda k: np.concatenate([np.zeros(k, np.uint64), d[:-k]])
-    two = back(1) | back(2) << np.uint64(8)
-    four = two | back(3) << np.uint64(16) | back(4) << np.uint64(24)
+    four = back(1) | back(2) << np.uint64(8) | back(3) << np.uint64(16) | back(4) << np.uint64(24)
     word, before = _word_state(padded)
     out = []
-    for i, x in enumerate((two, four, word, word * np.uint64(0xA0761D6478BD642F) + before)):
+    for i, x in enumerate((four, word, word * np.uint64(0xA0761D6478BD642F) + before)):
         x = (x + np.uint64(i + 1)) * np.uint64(0xD6E8FEB86659FD93)
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         out.append((x >> np.uint64(32)).astype(np.uint32))
@@ -112,10 +129,12 @@ def expand(parts: list[bytes], code: Code) -> tuple[np.ndarray, Iterator[np.ndar
     keep = np.ones(len(buffer), bool)
     heads = np.cumsum(sizes + 8) - sizes - 8
     keep[(heads[:, None] + np.arange(8)).ravel()] = False
-    data = buffer[keep]
-    n = code.lens[data]
+    pair = buffer.astype(np.int64)
+    pair[1:] |= buffer[:-1].astype(np.int64) << 8  # a text's first byte has a zero before it
+    pair = pair[keep]
+    n = code.lens.take(pair)
     ends = np.cumsum(n)
-    place = np.repeat((code.starts[data] - (ends - n)).astype(np.int32), n)
+    place = np.repeat((code.starts.take(pair) - (ends - n)).astype(np.int32), n)
     place += np.arange(len(place), dtype=np.int32)
     salt = code.salts.take(place)
 
@@ -139,9 +158,9 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, count) and, as kind 1, (byte, count) of the training texts."""
+    """(word, count) and, as kind 1, (pair of bytes, count) of the training texts."""
     words: Counter[bytes] = Counter()
-    seen = np.zeros(256, np.int64)
+    seen = np.zeros(1 << 16, np.int64)
 
     def full() -> pa.RecordBatch:
         out = pa.RecordBatch.from_arrays([pa.array([0] * len(words)), pa.array([w.decode("utf-8", "replace") for w in words], pa.string()), pa.array(words.values(), pa.int64())], ["kind", "word", "n"])
@@ -149,9 +168,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            raw = (text or "").encode("utf-8", "replace")
-            seen += np.bincount(np.frombuffer(raw + b"\x00", np.uint8), minlength=256)
+        texts = [(t or "").encode("utf-8", "replace") for t in batch.column(0).to_pylist()]
+        data = np.frombuffer(b"\x00".join([b"", *texts, b""]), np.uint8).astype(np.int64)
+        seen += np.bincount(data[:-1] << 8 | data[1:], minlength=1 << 16)
+        for raw in texts:
             words.update(raw.lower().split())
             words[END.encode()] += 1
             if len(words) > 400_000:
@@ -164,7 +184,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count_bits(counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, size = Code(counts), 2 << SLOT_BITS
+        code, size = code_of(counts.tobytes()), 2 << SLOT_BITS
         tables, held, held_bytes = None, [], 0
 
         def add():
@@ -230,9 +250,9 @@ class Mixer:
     def cost(self, odds: np.ndarray, bits: np.ndarray) -> float:
         """log2 of the probability of ``bits``, given the predictors' log-odds (a row per bit)."""
         total, at = 0.0, 0
-        gates = (odds[:, 1] != 0).astype(np.int64)
-        gates += odds[:, 2] != 0
-        gates += odds[:, 3] != 0
+        gates = (odds[:, N_CONTEXTS - 1] != 0).astype(np.int64)
+        for k in range(max(0, N_CONTEXTS - GATES + 1), N_CONTEXTS - 1):
+            gates += odds[:, k] != 0
         while at < len(bits):
             x, y, gate = odds[at : at + self.block], bits[at : at + self.block].astype(np.float32), gates[at : at + self.block]
             at += self.block
@@ -254,10 +274,11 @@ class Mixer:
             fine -= 1  # now the probability of the bit, or less it
             np.abs(fine, out=fine)
             total += float(np.log2(np.maximum(fine, 1e-6)).sum(dtype=np.float64))
-            error = y - p
+            some = slice(None, None, LEARN_EVERY)
+            x, y, p, gate, bucket = x[some], y[some], p[some], gate[some], bucket[some]
+            error = (y - p) * np.float32(LEARN_EVERY)
             slope = np.stack([np.bincount(gate, weights=error * x[:, c], minlength=GATES) for c in range(x.shape[1])], axis=1)
-            p *= 1 - p
-            self.curve += np.bincount(gate, weights=p, minlength=GATES)[:, None] * (np.einsum("ij,ij->j", x, x) / len(y))
+            self.curve += np.bincount(gate, weights=p * (1 - p), minlength=GATES)[:, None] * (LEARN_EVERY * np.einsum("ij,ij->j", x, x) / len(y))
             self.weights += (RATE * slope / self.curve).astype(np.float32)
             self.hits += np.bincount(bucket, weights=y, minlength=GATES * BUCKETS)
             self.seen += np.bincount(bucket, minlength=GATES * BUCKETS)
@@ -300,7 +321,7 @@ def _score(shared, total: int, distinct: int):
         from pyspark import TaskContext
 
         counts, packed, frequent = shared.value
-        code = Code(counts)
+        code = code_of(counts.tobytes())
         odds = np.frombuffer(zlib.decompress(packed), np.int8).reshape(N_CONTEXTS, -1)
         logs = {w: math.log10((n + 0.5) / norm) for w, n in frequent.items()}
         row = TaskContext.get().partitionId() << 33
@@ -339,8 +360,8 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = {r["word"].encode(): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
     frequent |= {END.encode(): r["n"] for r in words.filter(F.col("word") == END).collect()}
-    seen = np.zeros(256, np.int64)
-    for r in counted.filter("kind = 1").collect():  # 256 rows at most
+    seen = np.zeros(1 << 16, np.int64)
+    for r in counted.filter("kind = 1").collect():  # a row per pair of bytes at most
         seen[int(r["word"])] = r["n"]
     chunks = training.mapInArrow(_count_bits(seen), "context long, chunk long, counts binary")
     n_chunks = N_CONTEXTS * (1 << SLOT_BITS) // CHUNK_SLOTS

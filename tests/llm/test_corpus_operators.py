@@ -200,9 +200,9 @@ def test_held_out_text_beats_the_base(spark):
 
 def test_probabilities_of_all_continuations_sum_to_one():
     """With the end mark, the shares of all one-byte texts and their extensions can't exceed 1."""
-    seen = np.bincount(np.frombuffer(b"abcabcab\0", np.uint8), minlength=256)
-    code = context_mixing.Code(seen)
-    assert abs(sum(2.0 ** -int(n) for n in code.lens) - 1) < 1e-12
+    data = np.frombuffer(b"\0abcabcab\0", np.uint8).astype(int)
+    code = context_mixing.Code(np.bincount(data[:-1] * 256 + data[1:], minlength=1 << 16).reshape(256, 256))
+    assert all(abs(sum(2.0 ** -int(n) for n in code.lens[256 * b : 256 * b + 256]) - 1) < 1e-12 for b in range(256))
     odds = np.zeros((context_mixing.N_CONTEXTS, 1 << context_mixing.SLOT_BITS), np.int8)
     total = sum(2**x for x in context_mixing.score_texts([bytes([b]) for b in range(1, 256)] + [b""], code, odds))
     assert total <= 1 + 1e-6
