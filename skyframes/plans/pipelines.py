@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,10 +66,10 @@ class Finish:
     min_good: float = 0.0
 
 
-def finalize(residual: DataFrame, angles: DataFrame, geo: DataFrame, size: int, how: Finish) -> DataFrame:
+def finalize(residual: DataFrame, angles: DataFrame, geo: DataFrame, size: int, how: Finish, weights: DataFrame | None = None) -> DataFrame:
     """(seq, mode_idx, row, col, value, n_good, n_total) from residuals (seq, mode_idx, frame_idx, row, col, value).
 
-    Positions that no frame covers are absent; a frame that doesn't reach a covered position counts as invalid there.
+    ``weights`` (seq, frame_idx, weight) make means weighted. Positions that no frame covers are absent; a frame that doesn't reach a covered position counts as invalid there.
     """
     keyed = residual.select(F.struct("seq", "mode_idx").alias("seq"), "frame_idx", "row", "col", "value")
     if how.post_median:
@@ -80,38 +81,54 @@ def finalize(residual: DataFrame, angles: DataFrame, geo: DataFrame, size: int,
         turns = keyed.select("seq", "frame_idx").distinct().join(angles.select(F.col("seq").alias("__s"), "frame_idx", "derot"), (F.col("seq.seq") == F.col("__s")) & (keyed["frame_idx"] == angles["frame_idx"])).select("seq", keyed["frame_idx"], "derot")
         n = turns.groupBy("seq").agg(F.count(F.lit(1)).alias("__frames"))
         keyed = resample.derotate(keyed, turns, geo, size)
-    done = combine.combine(keyed, how.method, sigma=how.sigma)
+    if weights is not None:
+        w = weights.select(F.col("seq").alias("__ws"), F.col("frame_idx").alias("__wf"), "weight")
+        keyed = keyed.join(w, (F.col("seq.seq") == F.col("__ws")) & (F.col("frame_idx") == F.col("__wf"))).drop("__ws", "__wf")
+    done = combine.combine(keyed, how.method, weight="weight" if weights is not None else None, sigma=how.sigma)
     if n is not None:
         done = done.join(n, "seq").withColumn("n_total", F.col("__frames")).drop("__frames")
     done = done.withColumn("value", F.when(F.col("n_good") / F.col("n_total") >= how.min_good, F.col("value")))
     return done.select("seq.seq", "seq.mode_idx", "row", "col", "value", "n_good", "n_total")
 
 
-def principal_reduction(spark: SparkSession, stack: DataFrame, size: int, rmin: list[float], rmax: list[float], modes: list[int], angle: str = "angle", steps: Preprocess | None = None, finish: Finish | None = None, centring: str = "image_mean", exclude: str = "none", least: float = 0.0, most: float = 0.0, include: str = "all", n_references: int = 0, mask: DataFrame | None = None, library: DataFrame | None = None) -> DataFrame:
-    """Frames (seq, frame_idx, pixels, angle degrees) to final images after principal-component subtraction by region."""
+def principal_residuals(spark: SparkSession, pixels: DataFrame, stack: DataFrame, size: int, wanted: DataFrame, modes: list[int], centring: str = "image_mean", exclude: str = "none", least: float = 0.0, most: float = 0.0, include: str = "all", n_references: int = 0, radius: float = 1.0, mask: DataFrame | None = None, library: DataFrame | None = None, exclude_radius: float = 0.0) -> DataFrame:
+    """Residuals of preprocessed pixels by region; ``stack`` (seq, frame_idx, pixels, angle, mjd) serves to choose references."""
     geo = frames.geometry(spark, size, size)
-    pixels = preprocess(frames.explode_frames(stack, size), geo, steps or Preprocess(), mask)
-    wanted = frames.regions(spark, rmin, rmax)
     inside = frames.select_region(pixels, geo, wanted, mask)
     allowed = refs = None
     if library is not None:
-        refs = frames.select_region(preprocess(frames.explode_frames(library, size), geo, steps or Preprocess(), mask), geo, wanted, mask)
+        refs = frames.select_region(library, geo, wanted, mask)
     elif exclude != "none" or n_references:
-        ready = references.centred(stack.withColumn("mjd", F.col("frame_idx").cast("double")))
-        pairs = references.frame_pairs(ready, ["frame_idx", angle, "mjd", "v", "norm"], references.outside_window(exclude, least, most, rmin[0]))
+        pairs = references.frame_pairs(references.centred(stack), ["frame_idx", "angle", "mjd", "v", "norm"], references.outside_window(exclude, least, most, radius))
         allowed = references.rank_references(pairs, include, n_references).select("seq", "target", "reference")
-    residual = models.kl_subtract(inside, modes, centring, allowed, refs)
-    return finalize(residual, stack.select("seq", "frame_idx", derotation(F.col(angle)).alias("derot")), geo, size, finish or Finish())
+    return models.kl_subtract(inside, modes, centring, allowed, refs, exclude_radius)
+
 
+def principal_reduction(spark: SparkSession, stack: DataFrame, size: int, rmin: list[float], rmax: list[float], modes: list[int], steps: Preprocess | None = None, finish: Finish | None = None, mask: DataFrame | None = None, library: DataFrame | None = None, **choice) -> DataFrame:
+    """Frames (seq, frame_idx, pixels, angle degrees) to final images after principal-component subtraction by region."""
+    geo, steps = frames.geometry(spark, size, size), steps or Preprocess()
+    stack = stack if "mjd" in stack.columns else stack.withColumn("mjd", F.col("frame_idx").cast("double"))
+    pixels = preprocess(frames.explode_frames(stack, size), geo, steps, mask)
+    refs = preprocess(frames.explode_frames(library, size), geo, steps, mask) if library is not None else None
+    residual = principal_residuals(spark, pixels, stack, size, frames.regions(spark, rmin, rmax), modes, radius=rmin[0], mask=mask, library=refs, **choice)
+    return finalize(residual, stack.select("seq", "frame_idx", derotation(F.col("angle")).alias("derot")), geo, size, finish or Finish())
 
-def pixel_reduction(spark: SparkSession, stack: DataFrame, size: int, rmin: float, rmax: float, modes: list[int], wedge: dict, angle: str = "angle", steps: Preprocess | None = None, finish: Finish | None = None) -> DataFrame:
+
+def pixel_residuals(spark: SparkSession, pixels: DataFrame, stack: DataFrame, size: int, rmin: list[float], rmax: list[float], modes: list[int], wedge: dict, rank_tolerance: float = 1e-12) -> DataFrame:
+    """Residuals of the regressions of all annuli; annuli don't overlap, so a pixel has one."""
+    geo = frames.geometry(spark, size, size)
+    near = [models.local_predictors(geo, a, b, **wedge) for a, b in zip(rmin, rmax, strict=True)]
+    fitted = models.pixel_models(pixels, reduce(DataFrame.unionByName, near), modes, rank_tolerance)
+    order = stack.groupBy("seq").agg(F.array_sort(F.collect_list("frame_idx")).alias("__order"))
+    return fitted.join(order, "seq").select("seq", "mode_idx", F.get("__order", F.col("frame_no")).alias("frame_idx"), F.col("t_row").alias("row"), F.col("t_col").alias("col"), "value")
+
+
+def pixel_reduction(spark: SparkSession, stack: DataFrame, size: int, rmin: float, rmax: float, modes: list[int], wedge: dict, steps: Preprocess | None = None, finish: Finish | None = None) -> DataFrame:
     """Frames to final images after a regression of every pixel of an annulus on its neighbourhood."""
     geo = frames.geometry(spark, size, size)
     pixels = preprocess(frames.explode_frames(stack, size), geo, steps or Preprocess())
-    fitted = models.pixel_models(pixels, models.local_predictors(geo, rmin, rmax, **wedge), modes)
-    order = stack.groupBy("seq").agg(F.array_sort(F.collect_list("frame_idx")).alias("__order"))
-    residual = fitted.join(order, "seq").select("seq", "mode_idx", F.get("__order", F.col("frame_no")).alias("frame_idx"), F.col("t_row").alias("row"), F.col("t_col").alias("col"), "value")
-    return finalize(residual, stack.select("seq", "frame_idx", derotation(F.col(angle)).alias("derot")), geo, size, finish or Finish())
+    residual = pixel_residuals(spark, pixels, stack, size, [rmin], [rmax], modes, wedge)
+    return finalize(residual, stack.select("seq", "frame_idx", derotation(F.col("angle")).alias("derot")), geo, size, finish or Finish())
 
 
 @dataclass
