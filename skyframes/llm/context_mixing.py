@@ -1,11 +1,11 @@
 """Language-model scoring by logistic context mixing.
 
-Bytes are coded as bits along Huffman trees of the training bytes, one tree for each byte before. Hashed contexts (the last 4 bytes, the word so far,
-the word so far with the word before) have tables of bit counts, summed over all training documents. A document is
-scored from its first bit on: the predictors' log-odds are mixed by weights that a gate chooses (how
-many of the long contexts have been seen), the weights learn from the bits already coded, block by block, and the mixed
-probability is refined by adaptive counts of its own calibration. Learning takes every LEARN_EVERY-th bit. The score is the log10 probability of the
-text with an end mark.
+Bytes are coded as bits along Huffman trees of the training bytes, one tree for each byte before. Hashed contexts (the
+last 4 bytes, the word so far, the word so far with the word before) have tables of bit counts, summed over all training
+documents. A document is scored from its first bit on: the predictors' log-odds are mixed by weights that a gate
+chooses (how many of the contexts have been seen), the weights learn from the bits already coded, block by block
+and from every LEARN_EVERY-th bit, and the mixed probability is refined by adaptive counts of its own calibration. The
+score is the log10 probability of the text with an end mark.
 
 Tables have a fixed number of slots, so what the driver gathers and broadcasts is bounded; tasks send compressed counts,
 so what is gathered grows with the corpus. Word counts for the base score are summed over all training
@@ -35,7 +35,7 @@ from .common import bounded_batches, materialize, table
 FOLDS, HELD_OUT = 5, 1
 SLOT_BITS, N_CONTEXTS, CHUNK_SLOTS = 22, 3, 1 << 16
 SEGMENT, TRAIN_BYTES, FREQUENT = 1 << 22, 1 << 19, 1 << 17
-FIRST_BLOCK, LAST_BLOCK, GATES, RATE, PRIOR, START, LEARN_EVERY = 512, 8192, 4, 0.4, 40.0, 0.36, 4
+FIRST_BLOCK, LAST_BLOCK, GATES, RATE, PRIOR, START, LEARN_EVERY = 512, 8192, 4, 0.4, 40.0, 0.42, 4
 SCALE, BUCKETS, APM_PRIOR = 10.0, 33, 24.0
 END = "\n"  # no word holds a line end
 SCORED = "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, bits double, n_bytes long, tail array<struct<word:string,n:long>>"
@@ -347,6 +347,21 @@ def _score(shared, total: int, distinct: int):
     return run
 
 
+def frequent_words(words: DataFrame, most: int) -> DataFrame:
+    """The words in the highest classes of counts (eighths of powers of two) that hold at most ``most`` words together.
+
+    A limit on sorted rows would send each task's candidates to the driver; this sends a few hundred class sizes.
+    """
+    level = F.floor(F.log2("n") * 8).cast("int")
+    total, lowest = 0, None
+    for r in sorted(words.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        total += r["count"]
+        if total > most:
+            break
+        lowest = r["level"]
+    return words.filter(level >= lowest) if lowest is not None else words.limit(0)
+
+
 def score(docs: DataFrame, text: str = "text") -> DataFrame:
     """A row per document: tokens, known tokens, training tokens, base score, model score, bits per byte."""
     spark = docs.sparkSession
@@ -358,7 +373,7 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
     counted = materialize(training.mapInArrow(_count_words, "kind long, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")), "words")
     words = counted.filter("kind = 0")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = {r["word"].encode(): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
+    frequent = {r["word"].encode(): r["n"] for r in frequent_words(words, FREQUENT).collect()}
     frequent |= {END.encode(): r["n"] for r in words.filter(F.col("word") == END).collect()}
     seen = np.zeros(1 << 16, np.int64)
     for r in counted.filter("kind = 1").collect():  # a row per pair of bytes at most
