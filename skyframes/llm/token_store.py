@@ -70,10 +70,11 @@ class ChunkTokenizer:
             for (c, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
                 self.cache[c] = np.array(e.ids).astype(self.kind).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of UTF-8 texts."""
         if len(self.cache) > CACHE:
             self.cache, self.old = {}, self.cache
-        docs = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+        docs = [(t or b"").lower().split() for t in texts]
         new = set().union(*docs).difference(self.cache)
         if new:
             ends, need = {}, set()
@@ -102,7 +103,7 @@ def _tokenize(path: str, id_bytes: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + end for x in coder.encode(part.column(1).to_pylist())], pa.binary())], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + end for x in coder.encode(part.column(1).cast(pa.binary()).to_pylist())], pa.binary())], ["doc_id", "ids"])
 
     return run
 

@@ -294,14 +294,14 @@ def test_code_lengths_are_limited_and_decode():
 def test_chunks_equal_the_library():
     coder = token_store.ChunkTokenizer(token_store.default_tokenizer())
     texts = [*(t or "" for t in ODD), "Don't stop!! it's 12.5%... <|endoftext|> a<|startoftext|>b ÉÉ é ́q ΣΑΣ x\x1cy\x85z foo,bar 'S ((a)) 가 ###", "THE*** end***\nend### Ünï,"]
-    for t, x in zip(texts, coder.encode(texts), strict=True):
+    for t, x in zip(texts, coder.encode([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(x, "<u4").tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_token_files(spark, odd, tmp_path):
     got = token_store.read_tokens(token_store.write_tokens(odd, str(tmp_path / "t"))).collect()
     coder = token_store.ChunkTokenizer(token_store.default_tokenizer())
-    rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, coder.encode([r["text"]])[0]) for r in odd.collect()))
+    rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, coder.encode([r["text"] and r["text"].encode()])[0]) for r in odd.collect()))
     start = 0
     for (there, i, ids), r in zip(rows, sorted(got, key=lambda r: r["start"]), strict=True):
         ids += np.array([2], "<u4").tobytes()
