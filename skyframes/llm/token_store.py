@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import re
 import string
 import struct
 import zlib
@@ -36,12 +37,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+UNITS, BEYOND, DOTTED = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff\x20\x09-\x0d]+"), re.compile(rb"[\x80-\xff]+"), "\u0130"
+
+
 class ChunkTokenizer:
     """Encodes texts through a cache of white-space-free chunks, as little-endian ids of ``id_bytes``.
 
     The tokenizer lower-cases, drops white space and never joins across it, so a text's ids are those of its chunks in
-    order. Punctuation behind a chunk's last letter is a unit of its own, so such chunks share the entry of what is before it.
-    Words of letters are one unit each and go through the library together. The cache has two generations of bounded size.
+    order. In most texts, chunks are cut further, into the tokenizer's own units; elsewhere, punctuation behind a chunk's last
+    letter is a unit of its own. Words of letters are one unit each and go through the library together. The cache has two generations of bounded size.
     """
 
     def __init__(self, path: str, id_bytes: int = 4):
@@ -70,17 +74,29 @@ class ChunkTokenizer:
             for (c, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
                 self.cache[c] = np.array(e.ids).astype(self.kind).tobytes()
 
+    @staticmethod
+    def _plain(low: bytes) -> bool:
+        """Whether runs of letters, single digits and runs of other ASCII characters are the tokenizer's units.
+
+        Not so with apostrophes (contractions), marks of special tokens, other characters than letters beyond ASCII, and
+        the one letter whose lower case holds a combining dot.
+        """
+        if b"'" in low or b"<|" in low:
+            return False
+        odd = "" if low.isascii() else b"".join(set(BEYOND.findall(low))).decode("utf-8", "replace")
+        return not odd or odd.isalpha() and DOTTED not in odd
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of UTF-8 texts."""
         if len(self.cache) > CACHE:
             self.cache, self.old = {}, self.cache
-        docs = [(t or b"").lower().split() for t in texts]
+        docs = [UNITS.findall(low) if self._plain(low) else low.split() for low in ((t or b"").lower() for t in texts)]
         new = set().union(*docs).difference(self.cache)
         if new:
             ends, need = {}, set()
             for c in new:
                 text = c.decode("utf-8", "replace")
-                stem = text if text.isalpha() or "<|" in text else text.rstrip(string.punctuation)
+                stem = text if text.isalpha() or "<|" in text or DOTTED in text else text.rstrip(string.punctuation)
                 if stem and stem != text and stem[-1].isalpha():
                     ends[c] = pair = (stem.encode(), text[len(stem) :].encode())
                     need.update(pair)

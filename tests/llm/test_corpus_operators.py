@@ -293,7 +293,7 @@ def test_code_lengths_are_limited_and_decode():
 
 def test_chunks_equal_the_library():
     coder = token_store.ChunkTokenizer(token_store.default_tokenizer())
-    texts = [*(t or "" for t in ODD), "Don't stop!! it's 12.5%... <|endoftext|> a<|startoftext|>b ÉÉ é ́q ΣΑΣ x\x1cy\x85z foo,bar 'S ((a)) 가 ###", "THE*** end***\nend### Ünï,"]
+    texts = [*(t or "" for t in ODD), "Don't stop!! it's 12.5%... <|endoftext|> a<|startoftext|>b ÉÉ é ́q ΣΑΣ x\x1cy\x85z foo,bar 'S ((a)) 가 ###", "THE*** end***\nend### Ünï,", "İ! aİ.", "a\x1cb!\x1c! x\x00y", "“quoted” a…, (b)", "it's 'tis 'select", "½ x² ٣", "K K! Ω, ﬁ"]
     for t, x in zip(texts, coder.encode([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(x, "<u4").tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids
 
