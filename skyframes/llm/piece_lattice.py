@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, table
 
-NBEST, CACHE, TOGETHER, MARK = 4, 400_000, 24, "▁"
+NBEST, CACHE, TOGETHER, MARK = 4, 150_000, 24, "▁"
 SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, score double, nbest_scores array<double>, round_trip boolean"
 
 
