@@ -1,15 +1,17 @@
 """Language-model scoring by logistic context mixing.
 
-Bytes are coded as bits along Huffman trees of the training bytes, one tree for each byte before. Hashed contexts (the
-last 4 bytes, the word so far, the word so far with the word before) have tables of bit counts, summed over all training
-documents. A document is scored from its first bit on: the predictors' log-odds are mixed by weights that a gate
+Bytes are coded as bits along Huffman trees of the training bytes, one tree for each byte before. Contexts (the
+last 4 bytes, the word so far, the word so far with the word before) have counts of the bits at each of their nodes, summed
+over all training documents. A document is scored from its first bit on: the predictors' log-odds are mixed by weights that a gate
 chooses (how many of the contexts have been seen), the weights learn from the bits already coded, block by block
 and from every LEARN_EVERY-th bit, and the mixed probability is refined by adaptive counts of its own calibration. The
 score is the log10 probability of the text with an end mark.
 
-Tables have a fixed number of slots, so what the driver gathers and broadcasts is bounded; tasks send compressed counts,
-so what is gathered grows with the corpus. Word counts for the base score are summed over all training
-documents, too; the most frequent words (a bounded number) are looked up where the texts are, the others by a join.
+Counts are kept by 64-bit keys of context and node, so they grow with the corpus and nothing shares a count. Documents are
+dealt in blocks; a block sends each of its keys once, with its own training counts, and gets the log-odds of these
+keys back in the same order. The driver holds byte-pair counts and the frequent words only. Word counts for the base
+score are summed over all training documents, too; the most frequent words (a bounded number) are looked up where the texts
+are, the others by a join.
 
 Defined results: null text is empty (one token, the end); a null doc_id counts as the empty text, which is a
 training document; repeated rows are scored each; without training documents all counts are 0 and all bits even;
@@ -19,22 +21,24 @@ contexts start anew every SEGMENT bytes.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, table
+from .common import bounded_batches, groups, materialize, table
 
 FOLDS, HELD_OUT = 5, 1
-SLOT_BITS, N_CONTEXTS, CHUNK_SLOTS = 22, 3, 1 << 16
-SEGMENT, TRAIN_BYTES, FREQUENT = 1 << 22, 1 << 19, 1 << 17
+SLOT_BITS, N_CONTEXTS = 22, 3  # slots of plain tables, for comparison only
+SEGMENT, TRAIN_BYTES, FREQUENT = 1 << 22, 1 << 18, 1 << 17
+BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 1 << 19  # text of a block; text per bucket of keys
 FIRST_BLOCK, LAST_BLOCK, GATES, RATE, PRIOR, START, LEARN_EVERY = 512, 8192, 4, 0.4, 40.0, 0.42, 4
 SCALE, BUCKETS, APM_PRIOR = 10.0, 33, 24.0
 END = "\n"  # no word holds a line end
@@ -74,7 +78,7 @@ class Code:
                 bits.extend(taken)
         self.lens = np.array(lens)
         self.starts = np.cumsum(self.lens) - self.lens
-        self.salts = (np.array(salts, np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+        self.salts = (np.array(salts, np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         self.bits = np.array(bits, np.uint8)
 
 
@@ -84,35 +88,34 @@ def code_of(counts: bytes) -> Code:
     return Code(np.frombuffer(counts, np.int64).reshape(256, 256))
 
 
-def _word_state(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per byte: hash of the word's bytes before it, and of the word before."""
+def _word_state(data: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per byte: hash of the word's bytes before it, and of the word before within the segment (``heads``: where a byte's begins)."""
     n = len(data)
     space = (data <= 32) & ((data == 32) | ((data >= 9) & (data <= 13)) | (data == 0))
     at = np.arange(n)
     start = np.maximum.accumulate(np.where(np.concatenate([[True], space[:-1]]), at, 0))
-    local = np.minimum(at - start, 63)
-    value = (data.astype(np.uint64) + np.uint64(1)) * _POWER[local]
+    local = at - start
+    power = np.cumprod(np.full(int(local.max()) + 1, np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)
+    value = (data.astype(np.uint64) + np.uint64(1)) * power[local]
     total = np.concatenate([[np.uint64(0)], np.cumsum(value, dtype=np.uint64)])
     now = total[:-1] - total[start]
     ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
     whole = np.concatenate([[np.uint64(0)], now[ends]])
-    return now, whole[np.searchsorted(ends, at, side="left")]
+    last = np.searchsorted(ends, at, side="left")
+    return now, np.where(np.concatenate([[-1], ends])[last] >= heads, whole[last], np.uint64(0))
 
 
-_POWER = np.cumprod(np.full(64, np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)
-
-
-def contexts(padded: np.ndarray) -> list[np.ndarray]:
-    """32-bit context hashes of each byte of a buffer of segments with 8 zero bytes before each."""
+def contexts(padded: np.ndarray, heads: np.ndarray) -> list[np.ndarray]:
+    """64-bit context hashes of each byte of a buffer of segments with 8 zero bytes before each."""
     d = padded.astype(np.uint64)
     back = lambda k: np.concatenate([np.zeros(k, np.uint64), d[:-k]])
     four = back(1) | back(2) << np.uint64(8) | back(3) << np.uint64(16) | back(4) << np.uint64(24)
-    word, before = _word_state(padded)
+    word, before = _word_state(padded, heads)
     out = []
     for i, x in enumerate((four, word, word * np.uint64(0xA0761D6478BD642F) + before)):
         x = (x + np.uint64(i + 1)) * np.uint64(0xD6E8FEB86659FD93)
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        out.append((x >> np.uint64(32)).astype(np.uint32))
+        out.append(x ^ (x >> np.uint64(32)))
     return out
 
 
@@ -123,7 +126,7 @@ def segments(text: bytes) -> list[bytes]:
 
 
 def expand(parts: list[bytes], code: Code) -> tuple[np.ndarray, Iterator[np.ndarray], np.ndarray]:
-    """(bits, slots of the bits for one context after another, number of bits of each part)."""
+    """(bits, keys of context, node and bit (lowest) for one context after another, number of bits of each part)."""
     buffer = np.frombuffer(b"".join(bytes(8) + p for p in parts), np.uint8)
     sizes = np.array([len(p) for p in parts])
     keep = np.ones(len(buffer), bool)
@@ -136,25 +139,68 @@ def expand(parts: list[bytes], code: Code) -> tuple[np.ndarray, Iterator[np.ndar
     ends = np.cumsum(n)
     place = np.repeat((code.starts.take(pair) - (ends - n)).astype(np.int32), n)
     place += np.arange(len(place), dtype=np.int32)
-    salt = code.salts.take(place)
+    salt, bits = code.salts.take(place), code.bits.take(place)
 
-    def slots() -> Iterator[np.ndarray]:
-        for h in contexts(buffer):
+    def keys() -> Iterator[np.ndarray]:
+        for h in contexts(buffer, np.repeat(heads, sizes + 8)):
             x = np.repeat(h[keep], n)
             x ^= salt
-            x *= np.uint32(0x85EBCA6B)
-            x >>= np.uint32(32 - SLOT_BITS)
+            x *= np.uint64(0xC2B2AE3D27D4EB4F)
+            x ^= x >> np.uint64(32)
+            x &= ~np.uint64(1)
+            x |= bits
             yield x
 
-    return code.bits.take(place), slots(), np.add.reduceat(n, np.cumsum(sizes) - sizes)
+    return bits, keys(), np.add.reduceat(n, np.cumsum(sizes) - sizes)
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values of a sorted array begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys as differences, and counts, in planes of bytes, as the shuffle compresses runs."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return steps.tobytes() + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
 
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(data, np.uint8).reshape(12, -1)
+    return np.cumsum(planes[:8].T.copy().view("<u8").ravel(), dtype=np.uint64), planes[8:].T.copy().view("<u4").ravel().astype(np.int64)
 
-def _pack(counts: np.ndarray) -> bytes:
-    return zlib.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
+def entries(parts: list[tuple[bytes, bool]], code: Code) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per context: the distinct keys of texts, sorted, and how often they occur in those that are for training."""
+    held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(N_CONTEXTS)]
 
-def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.tobytes(), "<u4").astype(np.int64)
+    def merged(k: int) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = (np.concatenate(c) for c in zip(*held[k], strict=True))
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        at = _runs(keys)
+        return keys[at], np.add.reduceat(n, at, dtype=np.uint32)
+
+    def add(group: list[bytes], training: bool) -> None:
+        for k, x in enumerate(expand(group, code)[1]):
+            x.sort()
+            at = _runs(x)
+            held[k].append((x[at], np.diff(at, append=len(x)).astype(np.uint32) if training else np.zeros(len(at), np.uint32)))
+            if len(held[k]) > 8:
+                held[k] = [merged(k)]
+
+    for training in (True, False):
+        group, size = [], 0
+        for text, fits in parts:
+            for part in segments(text) if fits == training else ():
+                group.append(part)
+                size += len(part)
+                if size >= TRAIN_BYTES:
+                    add(group, training)
+                    group, size = [], 0
+        if group:
+            add(group, training)
+    return [merged(k) for k in range(N_CONTEXTS)]
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,58 +228,45 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([1] * len(at)), pa.array([str(x) for x in at]), pa.array(seen[at])], ["kind", "word", "n"])
 
 
-def _count_bits(counts: np.ndarray):
+def _texts(table: pa.Table) -> list[tuple[bytes, bool]]:
+    return [((t or "").encode("utf-8", "replace"), not out) for t, out in zip(table["text"].to_pylist(), table["held_out"].to_pylist(), strict=True)]
+
+
+def _send(counts: np.ndarray, bucket_bits: int):
+    """The keys of each block of documents, by context and the keys' highest bits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, size = code_of(counts.tobytes()), 2 << SLOT_BITS
-        tables, held, held_bytes = None, [], 0
-
-        def add():
-            nonlocal tables, held, held_bytes
-            tables = np.zeros((N_CONTEXTS, size), np.uint32) if tables is None else tables
-            bits, slots, _ = expand(held, code)
-            for k, slot in enumerate(slots):
-                slot <<= np.uint32(1)
-                slot |= bits
-                np.add.at(tables[k], slot.astype(np.int64), np.uint32(1))  # equal types take the fast path
-            held, held_bytes = [], 0
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for part in segments((text or "").encode("utf-8", "replace")):
-                    held.append(part)
-                    held_bytes += len(part)
-                    if held_bytes >= TRAIN_BYTES:
-                        add()
-        if held:
-            add()
-        if tables is not None:
-            for k in range(N_CONTEXTS):
-                for j in range(size // 2 // CHUNK_SLOTS):
-                    part = tables[k, 2 * j * CHUNK_SLOTS : 2 * (j + 1) * CHUNK_SLOTS]
-                    if part.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([j]), pa.array([_pack(part)], pa.binary())], ["context", "chunk", "counts"])
+        code = code_of(counts.tobytes())
+        for block in groups(batches, ["block"]):
+            for k, (keys, n) in enumerate(entries(_texts(block), code)):
+                cuts = np.searchsorted(keys, np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(64 - bucket_bits)) if bucket_bits else np.zeros(0, np.int64)
+                ends = [0, *cuts.tolist(), len(keys)]
+                rows = [(i, _pack(keys[a:b], n[a:b])) for i, (a, b) in enumerate(itertools.pairwise(ends)) if b > a]
+                for i in range(0, len(rows), 500):
+                    buckets, packed = zip(*rows[i : i + 500], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(buckets)), pa.array(buckets, pa.int64()), pa.array([block["block"][0].as_py()] * len(buckets)), pa.array(packed, pa.binary())], ["context", "bucket", "block", "entries"])
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of a chunk's counts, as log-odds in steps of 1 / SCALE."""
-    total, last = None, None
+def answers(packed: list[bytes]) -> list[bytes]:
+    """For blocks' keys and counts: the log-odds of each key's node by the sum of all blocks' counts, in steps of 1 / SCALE."""
+    keys, counts = (np.concatenate(c) for c in zip(*map(_unpack, packed), strict=True))
+    order = np.argsort(keys)
+    ones = (keys[order] & np.uint64(1)).astype(bool)
+    at, n = _runs(keys[order] >> np.uint64(1)), counts[order]
+    odds = np.log((np.add.reduceat(np.where(ones, n, 0), at) + 0.4) / (np.add.reduceat(np.where(ones, 0, n), at) + 0.4))
+    out = np.empty(len(keys), np.int8)
+    out[order] = np.repeat(np.clip(np.rint(odds * SCALE), -127, 127).astype(np.int8), np.diff(at, append=len(keys)))
+    return [x.tobytes() for x in np.split(out, np.cumsum([len(p) // 12 for p in packed])[:-1])]
 
-    def done() -> pa.RecordBatch:
-        zeros, ones = total[::2], total[1::2]
-        odds = np.log((ones + 0.4) / (zeros + 0.4))
-        return pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([last[1]]), pa.array([np.clip(np.rint(odds * SCALE), -127, 127).astype(np.int8).tobytes()], pa.binary())], ["context", "chunk", "odds"])
 
-    for batch in batches:
-        for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if key[:2] != last:
-                if last is not None:
-                    yield done()
-                total, last = np.zeros(2 * CHUNK_SLOTS, np.int64), key[:2]
-            total += _unpack(key[2])
-    if last is not None:
-        yield done()
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in groups(batches, ["context", "bucket"]):
+        replies = answers(t["entries"].to_pylist())
+        for i in range(0, len(replies), 500):
+            part = t.slice(i, 500).combine_chunks()
+            yield pa.RecordBatch.from_arrays([part["block"].combine_chunks(), part["context"].combine_chunks(), part["bucket"].combine_chunks(), pa.array(replies[i : i + 500], pa.binary())], ["block", "context", "bucket", "odds"])
 
 
 class Mixer:
@@ -285,17 +318,25 @@ class Mixer:
         return total
 
 
-def score_texts(texts: list[bytes], code: Code, odds: np.ndarray) -> list[float]:
-    """log2 probability of each text."""
+def score_texts(texts: list[bytes], code: Code, odds, keys: list[np.ndarray] | None = None) -> list[float]:
+    """log2 probability of each text. ``odds`` are per context in the order of its sorted ``keys``, or in plain tables of 2^SLOT_BITS slots."""
     group: list[tuple[int, bytes]] = []
     mixers = [Mixer() for _ in texts]
     out = [0.0] * len(texts)
 
     def run() -> None:
-        bits, slots, sizes = expand([p for _, p in group], code)
+        bits, found, sizes = expand([p for _, p in group], code)
         x = np.empty((len(bits), N_CONTEXTS + 1), np.float32)
-        for k, slot in enumerate(slots):
-            np.multiply(odds[k].take(slot.astype(np.int64)), np.float32(1 / SCALE), out=x[:, k])
+        for k, mine in enumerate(found):
+            if keys is None:
+                values = odds[k].take((mine >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
+            else:
+                order = np.argsort(mine)
+                mine = mine[order]
+                at = _runs(mine)
+                values = np.empty(len(mine), np.int8)
+                values[order] = np.repeat(odds[k].take(np.searchsorted(keys[k], mine[at])), np.diff(at, append=len(mine)))
+            np.multiply(values, np.float32(1 / SCALE), out=x[:, k])
         x[:, -1] = 0.3
         at = 0
         for (i, _), n in zip(group, sizes.tolist(), strict=True):
@@ -320,16 +361,21 @@ def _score(shared, total: int, distinct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts, packed, frequent = shared.value
+        counts, frequent = shared.value
         code = code_of(counts.tobytes())
-        odds = np.frombuffer(zlib.decompress(packed), np.int8).reshape(N_CONTEXTS, -1)
         logs = {w: math.log10((n + 0.5) / norm) for w, n in frequent.items()}
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                part = batch.slice(start, 128)
-                ids, held, texts = part.column(0).to_pylist(), part.column(1).to_pylist(), [(t or "").encode("utf-8", "replace") for t in part.column(2).to_pylist()]
-                scores = score_texts(texts, code, odds)
+        for block in groups(batches, ["block"]):
+            replies = block.filter(pc.is_valid(block["context"]))  # in the order of contexts and buckets
+            block = block.filter(pc.is_null(block["context"]))
+            odds = [np.frombuffer(b"".join(replies.filter(pc.equal(replies["context"], k))["odds"].to_pylist()), np.int8) for k in range(N_CONTEXTS)]
+            keys = [x for x, _ in entries(_texts(block), code)]
+            if any(len(a) != len(b) for a, b in zip(odds, keys, strict=True)):
+                raise ValueError("a block's documents changed between reads")
+            for start in range(0, block.num_rows, 128):
+                part = block.slice(start, 128)
+                ids, held, texts = part["doc_id"].to_pylist(), part["held_out"].to_pylist(), [t for t, _ in _texts(part)]
+                scores = score_texts(texts, code, odds, keys)
                 columns: list[list] = [[] for _ in range(9)]
                 for doc, out, text, bits in zip(ids, held, texts, scores, strict=True):
                     words = text.lower().split()
@@ -378,14 +424,14 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
     seen = np.zeros(1 << 16, np.int64)
     for r in counted.filter("kind = 1").collect():  # a row per pair of bytes at most
         seen[int(r["word"])] = r["n"]
-    chunks = training.mapInArrow(_count_bits(seen), "context long, chunk long, counts binary")
-    n_chunks = N_CONTEXTS * (1 << SLOT_BITS) // CHUNK_SLOTS
-    merged = chunks.repartition(min(parts, n_chunks), "context", "chunk").sortWithinPartitions("context", "chunk").mapInArrow(_merge, "context long, chunk long, odds binary").collect()  # a byte per slot at most
-    odds = np.zeros((N_CONTEXTS, 1 << SLOT_BITS), np.int8)
-    for r in merged:
-        odds[r["context"], r["chunk"] * CHUNK_SLOTS : (r["chunk"] + 1) * CHUNK_SLOTS] = np.frombuffer(r["odds"], np.int8)
-    shared = spark.sparkContext.broadcast((seen, zlib.compress(odds.tobytes(), 1), frequent))
-    scored = materialize(rows.mapInArrow(_score(shared, total, distinct), SCORED), "scored")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks, bucket_bits = -(-size // BLOCK_BYTES) or 1, max(0, (size // BUCKET_BYTES).bit_length())
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
+    sent = rows.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_send(seen, bucket_bits), "context long, bucket long, block long, entries binary")
+    replies = sent.repartition(parts, "context", "bucket").sortWithinPartitions("context", "bucket").mapInArrow(_answer, "block long, context long, bucket long, odds binary")
+    shared = spark.sparkContext.broadcast((seen, frequent))
+    dealt = rows.unionByName(replies, allowMissingColumns=True).repartition(parts, "block").sortWithinPartitions("block", "context", "bucket")
+    scored = materialize(dealt.mapInArrow(_score(shared, total, distinct), SCORED), "scored")
     norm = float(total + 0.5 * (distinct + 1))
     rare = scored.select("row_id", F.explode("tail").alias("t")).select("row_id", "t.word", F.col("t.n").alias("times"))
     rare = rare.join(words.select("word", "n"), "word", "left").groupBy("row_id").agg(F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(norm))).alias("rare"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))

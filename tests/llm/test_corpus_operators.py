@@ -208,6 +208,37 @@ def test_probabilities_of_all_continuations_sum_to_one():
     assert total <= 1 + 1e-6
 
 
+def test_context_counts_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.choice(np.frombuffer(b"abcdefgh ", np.uint8), 60_000))).encode() for _ in range(4)]
+    data = np.frombuffer(b"\0".join([b"", *texts, b""]), np.uint8).astype(int)
+    code = context_mixing.Code(np.bincount(data[:-1] * 256 + data[1:], minlength=1 << 16).reshape(256, 256))
+    want: dict[tuple, list[int]] = {}  # (word before, word so far, byte before, path) to zeros and ones
+    for t in texts:
+        before, word, last = b"", b"", 0
+        for c in t + b"\0":
+            at = int(code.starts[256 * last + c])
+            path = code.bits[at : at + int(code.lens[256 * last + c])].tolist()
+            for i, bit in enumerate(path):
+                want.setdefault((before, word, last, tuple(path[:i])), [0, 0])[bit] += 1
+            last = c
+            if c in b" \0":
+                before, word = word or before, b""
+            else:
+                word += bytes([c])
+    packed = [context_mixing._pack(*context_mixing.entries([(t, True)], code)[-1]) for t in texts]
+    keys = [context_mixing._unpack(p)[0] for p in packed]
+    assert len(np.unique(np.concatenate(keys) >> np.uint64(1))) == len(want)  # 2^22 slots would be shared
+    sent = {int(k): int(o) for ks, x in zip(keys, context_mixing.answers(packed), strict=True) for k, o in zip(ks >> np.uint64(1), np.frombuffer(x, np.int8), strict=True)}
+    odds = lambda z, o: max(-127, min(127, round(math.log((o + 0.4) / (z + 0.4)) * context_mixing.SCALE)))
+    assert sorted(sent.values()) == sorted(odds(*c) for c in want.values())
+    d = documents(spark, [text(i, 80) for i in range(40)] + ODD)
+    whole = sorted((r["doc_id"], r["score"]) for r in context_mixing.score(d).collect())
+    monkeypatch.setattr(context_mixing, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(context_mixing, "BUCKET_BYTES", 1000)
+    assert np.allclose(whole, sorted((r["doc_id"], r["score"]) for r in context_mixing.score(d).collect()))
+
+
 # ---- vectors
 
 
