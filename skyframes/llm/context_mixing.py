@@ -1,10 +1,10 @@
 """Language-model scoring by logistic context mixing.
 
 Bytes are coded as bits along Huffman trees of the training bytes, one tree for each byte before. Contexts (the
-last 4 bytes, the word so far, the word so far with the word before) have counts of the bits at each of their nodes, summed
+last 2, 3 and 5 bytes, the word so far, the word so far with the word before) have counts of the bits at each of their nodes, summed
 over all training documents. A document is scored from its first bit on: the predictors' log-odds are mixed by weights that a gate
-chooses (how many of the contexts have been seen), the weights learn from the bits already coded, block by block
-and from every LEARN_EVERY-th bit, and the mixed probability is refined by adaptive counts of its own calibration. The
+chooses (how many of the contexts have been seen), the weights learn from the bits already coded, block by
+block, and the mixed probability is refined by adaptive counts of its own calibration. The
 score is the log10 probability of the text with an end mark.
 
 Counts are kept by 64-bit keys of context and node, so they grow with the corpus and nothing shares a count. Documents are
@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, groups, materialize, table
 
 FOLDS, HELD_OUT = 5, 1
-SLOT_BITS, N_CONTEXTS = 22, 3  # slots of plain tables, for comparison only
+SLOT_BITS, N_CONTEXTS = 22, 5  # slots of plain tables, for comparison only
 SEGMENT, TRAIN_BYTES, FREQUENT = 1 << 22, 1 << 18, 1 << 17
 BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 1 << 19  # text of a block; text per bucket of keys
-FIRST_BLOCK, LAST_BLOCK, GATES, RATE, PRIOR, START, LEARN_EVERY = 512, 8192, 4, 0.4, 40.0, 0.42, 4
+FIRST_BLOCK, LAST_BLOCK, GATES, RATE, PRIOR, START = 512, 8192, 4, 0.4, 40.0, 0.42
 SCALE, BUCKETS, APM_PRIOR = 10.0, 33, 24.0
 END = "\n"  # no word holds a line end
 SCORED = "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, bits double, n_bytes long, tail array<struct<word:string,n:long>>"
@@ -109,10 +109,12 @@ def contexts(padded: np.ndarray, heads: np.ndarray) -> list[np.ndarray]:
     """64-bit context hashes of each byte of a buffer of segments with 8 zero bytes before each."""
     d = padded.astype(np.uint64)
     back = lambda k: np.concatenate([np.zeros(k, np.uint64), d[:-k]])
-    four = back(1) | back(2) << np.uint64(8) | back(3) << np.uint64(16) | back(4) << np.uint64(24)
+    two = back(1) | back(2) << np.uint64(8)
+    three = two | back(3) << np.uint64(16)
+    five = three | back(4) << np.uint64(24) | back(5) << np.uint64(32)
     word, before = _word_state(padded, heads)
     out = []
-    for i, x in enumerate((four, word, word * np.uint64(0xA0761D6478BD642F) + before)):
+    for i, x in enumerate((two, three, five, word, word * np.uint64(0xA0761D6478BD642F) + before)):
         x = (x + np.uint64(i + 1)) * np.uint64(0xD6E8FEB86659FD93)
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         out.append(x ^ (x >> np.uint64(32)))
@@ -307,11 +309,9 @@ class Mixer:
             fine -= 1  # now the probability of the bit, or less it
             np.abs(fine, out=fine)
             total += float(np.log2(np.maximum(fine, 1e-6)).sum(dtype=np.float64))
-            some = slice(None, None, LEARN_EVERY)
-            x, y, p, gate, bucket = x[some], y[some], p[some], gate[some], bucket[some]
-            error = (y - p) * np.float32(LEARN_EVERY)
+            error = y - p
             slope = np.stack([np.bincount(gate, weights=error * x[:, c], minlength=GATES) for c in range(x.shape[1])], axis=1)
-            self.curve += np.bincount(gate, weights=p * (1 - p), minlength=GATES)[:, None] * (LEARN_EVERY * np.einsum("ij,ij->j", x, x) / len(y))
+            self.curve += np.bincount(gate, weights=p * (1 - p), minlength=GATES)[:, None] * (np.einsum("ij,ij->j", x, x) / len(y))
             self.weights += (RATE * slope / self.curve).astype(np.float32)
             self.hits += np.bincount(bucket, weights=y, minlength=GATES * BUCKETS)
             self.seen += np.bincount(bucket, minlength=GATES * BUCKETS)

@@ -239,6 +239,22 @@ def test_context_counts_are_exact(spark, monkeypatch):
     assert np.allclose(whole, sorted((r["doc_id"], r["score"]) for r in context_mixing.score(d).collect()))
 
 
+def test_mixer_learns_from_every_bit():
+    def learned(skipped):
+        rng = np.random.default_rng(1)
+        odds = rng.normal(size=(256, context_mixing.N_CONTEXTS + 1)).astype(np.float32)
+        bits = rng.integers(0, 2, 256).astype(np.uint8)
+        bits[skipped] ^= 1
+        m = context_mixing.Mixer()
+        m.cost(odds, bits)
+        return m
+
+    one, other = learned([]), learned([1])
+    assert not np.array_equal(one.weights, other.weights) and not np.array_equal(one.hits, other.hits)
+    assert one.seen.sum() - len(one.seen) * context_mixing.APM_PRIOR == 256
+    assert len(context_mixing.contexts(np.zeros(9, np.uint8), np.zeros(9, np.int64))) == context_mixing.N_CONTEXTS == 5
+
+
 # ---- vectors
 
 
