@@ -4,7 +4,7 @@ Forward Viterbi scores over the lattice of pieces are exact heuristics for a bac
 segmentations best first. No piece spans a word boundary (checked on loading), so a text's lattice falls apart at
 these; each distinct stretch is searched once, and the n best of a text are the n smallest sums of the stretches'
 gaps, which can only differ in the n - 1 stretches with the smallest gaps: the forward pass tells each stretch's first
-gap, and the search runs in those stretches only.
+gap, and the search runs in those stretches only. The ids of the others are the same in all n.
 
 Scores: the model is a merge-ranked vocabulary without probabilities, so a piece of rank r scores as Zipf's law
 has it, -log((r + 1) H). A character without a piece becomes its UTF-8 byte pieces at the lowest score less 10.
@@ -16,6 +16,7 @@ model's white-space mark decode to spaces (round_trip false); repeated rows give
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import re
 import zlib
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, table
 
 NBEST, CACHE, TOGETHER, MARK = 4, 150_000, 24, "▁"
-SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, score double, nbest_scores array<double>, round_trip boolean"
+SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, score double, nbest_scores array<double>, nbest_pieces array<long>, nbest_crc32 array<long>, round_trip boolean"
 
 
 def default_model() -> str:
@@ -288,7 +289,7 @@ class Encoder:
     def __init__(self, path: str | None = None, n: int = NBEST):
         self.lattice, self.n = Lattice(path), n
         self.trie = Trie(self.lattice.pieces)
-        self.searched: dict[str, list[float]] = {}
+        self.searched: dict[str, list[tuple[float, bytes]]] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -339,20 +340,31 @@ class Encoder:
                 self.first.append(b)
                 self.sound.append(1)
 
-    def gaps(self, stretch: str) -> list[float]:
-        """The n best scores' distances from the best one, by the search."""
+    def gaps(self, stretch: str) -> list[tuple[float, bytes]]:
+        """The n best segmentations by the search: distance from the best score, ids as little-endian i4."""
         if (found := self.searched.get(stretch)) is None:
             if len(self.searched) > CACHE:
                 self.searched.clear()
-            lists = []
-            for part in self.lattice.cut(stretch):
-                scores = [s for s, _ in self.lattice.nbest(part, self.n)]
-                lists.append([scores[0] - s for s in scores])
-            found = self.searched[stretch] = [s for s, _ in smallest_sums(lists, self.n)]
+            lists = [self.lattice.nbest(part, self.n) for part in self.lattice.cut(stretch)]
+            sums = smallest_sums([[x[0][0] - s for s, _ in x] for x in lists], self.n)
+            found = self.searched[stretch] = [(s, b"".join([array("i", x[k][1]).tobytes() for x, k in zip(lists, picks, strict=True)])) for s, picks in sums]
         return found
 
+    @staticmethod
+    def distinct(best: bytes, found: list[tuple[float, bytes]]) -> list[bytes]:
+        """The ids of a stretch's n best with the forward pass's first, which may be another of equal score."""
+        ids = [x for _, x in found]
+        if best != ids[0]:
+            ids[ids.index(best) if best in ids else 0] = ids[0]
+            ids[0] = best
+        return ids
+
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, float, list[float], bool]]:
         """(best ids as little-endian i4, score, n-best scores, whether the ids decode to the text) of each text."""
+        return [(ids[0], scores[0], scores, sound) for ids, scores, sound in self.nbest(texts)]
+
+    def nbest(self, texts: list[str | None]) -> list[tuple[list[bytes], list[float], bool]]:
+        """(ids of the n best as little-endian i4, their scores, whether the best ids decode to the text) of each text."""
         if len(self.index) > CACHE:
             self.reset()
         docs = [self.lattice.split(t or "") for t in texts]
@@ -361,7 +373,7 @@ class Encoder:
         scores, first, sound = np.frombuffer(self.scores), np.frombuffer(self.first), np.frombuffer(self.sound, np.bool_)
         for text, doc in zip(texts, docs, strict=True):
             if not doc:
-                out.append((b"", 0.0, [0.0], True))
+                out.append(([b""], [0.0], True))
                 continue
             rows = list(map(get, doc))
             at = np.array(rows)
@@ -370,8 +382,20 @@ class Encoder:
                 gaps = first[at]
                 last = np.partition(gaps, m - 1)[m - 1]
                 pick = np.concatenate([np.flatnonzero(gaps < last), np.flatnonzero(gaps == last)])[:m].tolist()
-            sums = smallest_sums([self.gaps(doc[i]) for i in pick], self.n) if m else [(0.0, ())]
-            out.append((b"".join(map(ids, rows)), score, [score - s for s, _ in sums], MARK not in text and bool(sound[at].all())))
+            parts = list(map(ids, rows))
+            found, best = [], [b"".join(parts)]
+            sums = [(0.0, ())]
+            if m:
+                found = [self.gaps(doc[i]) for i in pick]
+                sums = smallest_sums([[s for s, _ in x] for x in found], self.n)
+                # the best ids stand between the searched stretches; equal scores keep the forward pass's choice for the best
+                places = sorted(range(len(found)), key=lambda k: pick[k])
+                edges = [-1, *(pick[k] for k in places), len(parts)]
+                between = [b"".join(parts[a + 1 : b]) for a, b in itertools.pairwise(edges)]
+                chosen = [self.distinct(parts[pick[k]], found[k]) for k in range(len(found))]
+                for _, picks in sums[1:]:
+                    best.append(between[0] + b"".join([chosen[k][picks[k]] + x for k, x in zip(places, between[1:], strict=True)]))
+            out.append((best, [score - s for s, _ in sums], MARK not in text and bool(sound[at].all())))
         return out
 
 
@@ -381,28 +405,30 @@ def _encode(path: str | None, n: int, with_ids: bool):
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                rows = encoder.encode(part.column(1).to_pylist())
+                rows = encoder.nbest(part.column(1).to_pylist())
                 columns = [
-                    part.column(0), pa.array([len(r[0]) // 4 for r in rows], pa.int64()), pa.array([zlib.crc32(r[0]) for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.list_(pa.float64())), pa.array([r[3] for r in rows], pa.bool_()),
+                    part.column(0), pa.array([len(r[0][0]) // 4 for r in rows], pa.int64()), pa.array([zlib.crc32(r[0][0]) for r in rows], pa.int64()), pa.array([r[1][0] for r in rows], pa.float64()),
+                    pa.array([r[1] for r in rows], pa.list_(pa.float64())), pa.array([[len(x) // 4 for x in r[0]] for r in rows], pa.list_(pa.int64())),
+                    pa.array([[zlib.crc32(x) for x in r[0]] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.bool_()),
                 ]
-                names = ["doc_id", "n_pieces", "ids_crc32", "score", "nbest_scores", "round_trip"]
+                names = ["doc_id", "n_pieces", "ids_crc32", "score", "nbest_scores", "nbest_pieces", "nbest_crc32", "round_trip"]
                 if with_ids:
-                    columns.append(pa.array([np.frombuffer(r[0], "<i4") for r in rows], pa.list_(pa.int32())))
-                    names.append("piece_ids")
+                    columns.append(pa.array([np.frombuffer(r[0][0], "<i4") for r in rows], pa.list_(pa.int32())))
+                    columns.append(pa.array([[np.frombuffer(x, "<i4") for x in r[0]] for r in rows], pa.list_(pa.list_(pa.int32()))))
+                    names += ["piece_ids", "nbest_ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
 def segment(docs: DataFrame, text: str = "text", model: str | None = None, n: int = NBEST, with_ids: bool = False) -> DataFrame:
-    """A row per document: pieces of the best segmentation, its score, the n best scores and the round trip.
+    """A row per document: pieces of the best segmentation, its score, the n best segmentations with their scores, and the round trip.
 
     One pass over the texts, nothing is shuffled.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_encode(model, n, with_ids), SCHEMA + (", piece_ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(_encode(model, n, with_ids), SCHEMA + (", piece_ids array<int>, nbest_ids array<array<int>>" if with_ids else ""))
 
 
 def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:

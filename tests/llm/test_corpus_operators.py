@@ -463,6 +463,21 @@ def test_nbest_equals_brute_force(encoder, t):
             assert abs(top - found[0][0]) < 1e-9 and (second == -math.inf if len(found) < 2 else abs(second - found[1][0]) < 1e-9)
 
 
+def test_nbest_segmentations(spark, encoder):
+    lattice, texts = encoder.lattice, ["thonthe", "a", "ééx✓1", "foo,bar", "a\nb  c", "12.5!!", "the the the thon a the"]
+    rows = piece_lattice.segment(documents(spark, texts).coalesce(1), with_ids=True).collect()
+    for r in rows:
+        t, found = texts[r["doc_id"]], [tuple(x) for x in r["nbest_ids"]]
+        assert len(found) == len(set(found)) == len(r["nbest_scores"]) and list(found[0]) == r["piece_ids"]
+        assert r["nbest_pieces"] == list(map(len, found)) and r["nbest_crc32"] == [zlib.crc32(np.array(x, "<i4").tobytes()) for x in found]
+        s = piece_lattice.MARK + t.replace(" ", piece_lattice.MARK)
+        if len(s) < 10:
+            scores = {ids: x for x, ids in brute_segmentations(lattice, s)}
+            assert all(abs(scores[x] - y) < 1e-9 for x, y in zip(found, r["nbest_scores"], strict=True))
+        assert all(lattice.decode(x) == t for x in found)
+    assert len(rows) == len(texts) and sum(len(r["nbest_ids"]) for r in rows) > 20
+
+
 def test_decoding_equals_the_library(encoder):
     import sentencepiece
 
