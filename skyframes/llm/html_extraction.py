@@ -139,20 +139,20 @@ def subtree_hashes(root: Node) -> list[int]:
 
 
 def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
-    """Blocks of the outermost articles (else of main, else of the whole page), joined by spaces."""
+    """Blocks of the outermost articles (else of the outermost main elements, else of the whole page), joined by spaces."""
     gone = lambda x: (x.drop and not (x.holds and x.tag not in DROPPED)) or (x.digest - (1 << 64) if x.digest >> 63 else x.digest) in template and not x.holds and x.tag not in KEPT
     tops: dict[str, list[Node]] = {"article": [], "main": []}
-    todo = [root]
+    todo: list = [(root, False)]
     while todo:
-        node = todo.pop()
+        node, inside = todo.pop()
         for x in reversed(node.parts):
             if isinstance(x, Node) and not gone(x) and not (x.tag == "header" and not x.holds):
-                if x.main:
+                if x.main and (x.tag == "article" or not inside):
                     tops["article" if x.tag == "article" else "main"].append(x)
                 if x.tag != "article" and x.holds:
-                    todo.append(x)
+                    todo.append((x, inside or x.main))
     # a stack visits later siblings last only if pushed in reverse; put tops back in page order
-    chosen = tops["article"] or tops["main"][:1]
+    chosen = tops["article"] or tops["main"]
     within, order = bool(chosen), {}
     if len(chosen) > 1:
         todo, n = [root], 0

@@ -417,6 +417,11 @@ def test_main_text():
     assert extract("<div>" * 5000 + "deep") == "deep"
 
 
+def test_all_main_elements_stay():
+    assert extract('<p>x</p><div itemprop="articleBody"><p>A</p></div><p>y</p><div itemprop="articleBody"><p>B</p></div>') == "A B"
+    assert extract('<main><div itemprop="articleBody">A</div>B</main><p>y</p><div role="main">C</div>') == "A B C"
+
+
 def test_site_templates_go(spark):
     page = lambda i, host: (i, f"http://{host}/{i}", f"<html><body><div>Share this now</div><p>{text(i, 20)}</p><p>Common words</p><div>{i % 7}</div></body></html>")
     rows = [page(i, "a.com") for i in range(20)] + [page(i, "b.com") for i in range(30, 33)] + [(100, None, "<p>x</p>"), (101, "http://a.com", None), (None, "bad", "<p>y")] + [(200 + i, f"http://c.com/{i}", "<p>same</p>") for i in range(20)]
