@@ -1,8 +1,8 @@
 """Main text of web pages, with site templates removed.
 
 A first pass parses every page and hashes its element subtrees; Spark counts on how many different pages of a
-host each hash occurs; subtrees that recur on at least half of a host's pages (and on MIN_PAGES) are the host's
-template. A second pass parses again and drops template subtrees and elements whose tag, role, class or id marks
+host each hash occurs; subtrees that recur on at least MIN_PAGES and MIN_SHARE of a host's pages are the host's
+template. The share is low, as a host may have many page templates. A page is joined to its own recurring subtrees only. A second pass parses again and drops template subtrees and elements whose tag, role, class or id marks
 them as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments.
 
 Defined results: null html gives an empty text; null or malformed URLs have no host, so only marks count; equal
@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, materialize, table
 from .url_filters import host_of
 
-MIN_PAGES, MIN_SHARE = 10, 0.5
+MIN_PAGES, MIN_SHARE = 10, 0.1  # with 0.05, repeated lines of articles would go, too
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -194,16 +194,13 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, template): hashes that recur on enough of a host's different pages.
-
-    As each kept hash is on at least ``min_share`` of the host's pages, a template holds at most 1 / min_share times
-    the mean number of elements of a page.
-    """
+    """(host, page, template): a page's hashes that recur on enough of its host's different pages."""
     rows = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), F.col("html")).filter("host is not null and html is not null")
-    seen = rows.mapInArrow(_hash, "host string, page long, hashes array<long>").select("host", "page", F.explode("hashes").alias("hash")).distinct()
+    seen = materialize(rows.mapInArrow(_hash, "host string, page long, hashes array<long>").select("host", "page", F.explode("hashes").alias("hash")).distinct(), "subtrees")
     found = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
     sizes = rows.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
-    return found.join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("template"))
+    template = found.join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
+    return seen.join(template, ["host", "hash"]).groupBy("host", "page").agg(F.collect_list("hash").alias("template"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,9 +211,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     bounded_batches(pages.sparkSession)
-    templates = site_templates(pages, min_pages, min_share).withColumnRenamed("host", "__host")
-    rows = pages.select(F.col("page_id").cast("long"), "url", "html", host_of(F.col("url")).alias("__host"))
-    return rows.join(templates, "__host", "left").select("page_id", "url", "html", "template").mapInArrow(_extract, SCHEMA)
+    templates = site_templates(pages, min_pages, min_share).withColumnsRenamed({"host": "__host", "page": "__page"})
+    rows = pages.select(F.col("page_id").cast("long"), "url", "html", host_of(F.col("url")).alias("__host"), F.xxhash64("html").alias("__page"))
+    return rows.join(templates, ["__host", "__page"], "left").select("page_id", "url", "html", "template").mapInArrow(_extract, SCHEMA)
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -431,6 +431,12 @@ def test_site_templates_go(spark):
     assert len(got) == len(rows)
 
 
+def test_templates_of_mixed_hosts_go(spark):
+    rows = [(i, f"http://a.com/{i}", f"<body><div>Section {i % 3} offers</div><p>{text(i, 20)}</p></body>") for i in range(60)]
+    got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 60 and all(r["text"] == text(r["page_id"], 20) for r in got)
+
+
 # ---- pieces
 
 
