@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions import expressions as ex
 from ..operators import frames, resample, selection
 from ..sources import fits, tables
@@ -90,8 +91,21 @@ def prepared(spark: SparkSession, o: dict[str, Any], section: str = "input") ->
     return pixels, stack, size, mask
 
 
+#: Options that name steps which ``reduce`` doesn't run; a file that sets one would get a smaller reduction.
+UNSUPPORTED = (
+    "fake.RDIFluxScale", "fake.RDISepScale", "klip.pixelTSNormMethod", "klip.writeDiagnostics", "p4.regressionFrame", "p4.numberImages", "p4.localStampSize", "p4.psfFile", "p4.psfStampSize", "p4.outputPSFModels", "p4.psfFilter",
+    "p4.psfFilterMinGoodFract", "p4.psfOutputPrefix", "p4.writeDiagnostics", "p4Optimize.",
+)
+
+
+def refuse_unsupported(kind: str, o: dict[str, Any]) -> None:
+    if found := [k for k, (_, default) in config.SCHEMAS[kind].items() if k.startswith(UNSUPPORTED) and o[k] != default]:
+        raise NotImplementedError(f"options that aren't supported: {', '.join(found)}")
+
+
 def reduce(spark: SparkSession, kind: str, o: dict[str, Any]) -> DataFrame:
     """The reduction that the options describe: its final images (or what an early stop leaves); products are written if a directory is set."""
+    refuse_unsupported(kind, o)
     if o["input.thresholdOnly"]:
         return read_sequence(spark, o).select("frame_idx", "basename").orderBy("frame_idx")
     finish = finish_of(o)

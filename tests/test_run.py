@@ -56,3 +56,9 @@ def test_pixel_run(spark, sequence):
     r = run.reduce(spark, "pixel", o).collect()
     c = 7.0
     assert r and all(x["value"] is None or math.isfinite(x["value"]) for x in r) and max(math.hypot(x["row"] - c, x["col"] - c) for x in r) < 6.5
+
+
+@pytest.mark.parametrize(("kind", "name", "value"), [("pixel", "p4Optimize.enabled", "true"), ("pixel", "p4.regressionFrame", "rotated"), ("pixel", "p4.numberImages", "2"), ("pixel", "p4.psfFile", "psf.fits"), ("principal", "klip.pixelTSNormMethod", "rms")])
+def test_unsupported_options_are_errors(spark, sequence, kind, name, value):
+    with pytest.raises(NotImplementedError, match=name):
+        run.reduce(spark, kind, options(kind, sequence, **{name: value}))
