@@ -1,21 +1,24 @@
 """Language-model scoring by logistic context mixing.
 
-Bytes are coded as bits along Huffman trees of the training bytes, one tree for each byte before. Contexts (the
-last 2, 3 and 5 bytes, the word so far, the word so far with the word before) have counts of the bits at each of their nodes, summed
-over all training documents. A document is scored from its first bit on: the predictors' log-odds are mixed by weights that a gate
-chooses (how many of the contexts have been seen), the weights learn from the bits already coded, block by
-block, and the mixed probability is refined by adaptive counts of its own calibration. The
-score is the log10 probability of the text with an end mark.
-
-Counts are kept by 64-bit keys of context and node, so they grow with the corpus and nothing shares a count. Documents are
-dealt in blocks; a block sends each of its keys once, with its own training counts, and gets the log-odds of these
-keys back in the same order. The driver holds byte-pair counts and the frequent words only. Word counts for the base
-score are summed over all training documents, too; the most frequent words (a bounded number) are looked up where the texts
-are, the others by a join.
+A text is cut in units, a word with the white space byte (or the text's end) after it. Bytes are coded as bits along Huffman trees, one for each
+frequent pair of bytes before, else one for the byte before. Five contexts have counts of the bits at each of their nodes, summed
+over the training documents: the last 2, 3 and 5 bytes of the unit and the byte before it; all of the unit so far; for about three
+letters the word before, then the last 4 bytes. The predictors' log-odds are mixed by weights that a gate
+chooses (how many of the longer contexts have been seen), the weights learn from every bit already coded of the document, 64 bits at a
+time (256 and 1024 further on), and the mixed probability is refined by adaptive counts of its own calibration. The score
+is the log10 probability of the text with an end mark.
+
+Documents are gathered in blocks of either training or held-out texts, each written once to the shared folder. A block sends each of
+its contexts and symbols once, with its own counts, to buckets of the context's hash, and gets the log-odds of
+the nodes back in the same order. All that is counted grows with the corpus: a context's key has
+32 bits besides those that choose the bucket, and buckets are of bounded size. A training text is scored by the counts of all training texts
+outside its own block, as its own counts would tell it what it holds; a held-out text by those of all training texts.
+Words and their counts go the same way, as whole words, so base scores are exact. The driver holds byte counts only.
+Within a block units and contexts are worked on once each, so the work on a text is little more than mixing.
 
 Defined results: null text is empty (one token, the end); a null doc_id counts as the empty text, which is a
-training document; repeated rows are scored each; without training documents all counts are 0 and all bits even;
-contexts start anew every SEGMENT bytes.
+training document; repeated rows are scored each; without training documents (outside the block) all counts are 0 and all bits
+even; a text lies in one block, whatever its length.
 """
 
 from __future__ import annotations
@@ -23,389 +26,680 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
-from collections import Counter
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, groups, materialize, table
+from .common import bounded_batches, groups, make_dir, materialize, open_store, scratch, table, write_file
 
 FOLDS, HELD_OUT = 5, 1
-SLOT_BITS, N_CONTEXTS = 22, 5  # slots of plain tables, for comparison only
-SEGMENT, TRAIN_BYTES, FREQUENT = 1 << 22, 1 << 18, 1 << 17
-BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 1 << 19  # text of a block; text per bucket of keys
-FIRST_BLOCK, LAST_BLOCK, GATES, RATE, PRIOR, START = 512, 8192, 4, 0.4, 40.0, 0.42
-SCALE, BUCKETS, APM_PRIOR = 10.0, 33, 24.0
-END = "\n"  # no word holds a line end
-SCORED = "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, bits double, n_bytes long, tail array<struct<word:string,n:long>>"
+N_CONTEXTS, FOUR, PAIRS, WORDS = 5, 4, 5, 6  # kinds of entries: 2, 3 and 5 bytes, the unit so far, 4 bytes, the word before, words
+FEWER = (6, 5, 3, 2, 4, 1, 3)  # a kind has so many bits of buckets less, as it has fewer entries
+BLOCK_BYTES, BLOCKS_AT_LEAST, BUCKET_BYTES, CHUNK_BYTES = 1 << 23, 64, 1 << 22, 1 << 17
+TREES = 1 << 14  # pairs of bytes with less than this part of all have the tree of the byte before
+KEY_BITS, PATH_BITS, FAST_BITS, LETTERS, PAD = 32, 30, 24, 3, 5
+GATES, RATE, PRIOR, START = 4, 1.6, 30.0, (0.1, 0.1, 0.1, 0.4, 0.4)
+SCALE, BUCKETS, APM_PRIOR = 10.0, 33, 12.0
+COLUMNS, Y, BIAS = 8, 5, 6  # of a row of a bit: a context each, the bit, a constant, none
+GROUP_BITS, GROUP_TEXTS = 1 << 21, 1024
+SCORED = "kind int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, bits double, n_bytes long"
+U64 = np.uint64
 
 
 class Code:
-    """Huffman codes of bytes, one for each byte before: the inner nodes on a byte's path (as hash salts) and the bits taken there.
+    """Huffman codes of bytes by tree: lengths, codes and their ranks.
 
-    ``counts`` is (byte before, byte); pairs that don't occur are ordered by the byte's own count. Arrays are indexed by
-    256 * before + byte.
+    ``alone`` counts (byte before, byte); ``pairs`` holds counts for some pairs of bytes before (the nearer one lowest).
+    Each byte counts as 2^-13 of its tree's sum at least, which bounds the lengths to 21.
     """
 
-    def __init__(self, counts: np.ndarray):
-        alone = np.argsort(np.argsort(counts.sum(axis=0), kind="stable"), kind="stable")
-        lens, salts, bits = [], [], []
-        for before in range(256):
-            heap = [(int(c) * 1000 + int(r) + 1, i) for i, (c, r) in enumerate(zip(counts[before], alone, strict=True))]
-            heapq.heapify(heap)
-            kids, node = {}, 256
-            while len(heap) > 1:
-                a, b = heapq.heappop(heap), heapq.heappop(heap)
-                kids[node] = (a[1], b[1])
-                heapq.heappush(heap, (a[0] + b[0], node))
-                node += 1
-            paths: list = [None] * 256
-            todo: list = [(node - 1, (), ())]
-            while todo:
-                x, nodes, taken = todo.pop()
-                if x < 256:
-                    paths[x] = nodes, taken
-                else:
-                    todo.extend((kid, (*nodes, before << 8 | x - 256), (*taken, bit)) for bit, kid in enumerate(kids[x]))
-            for nodes, taken in paths:
-                lens.append(len(nodes))
-                salts.extend(nodes)
-                bits.extend(taken)
-        self.lens = np.array(lens)
+    def __init__(self, alone: np.ndarray, pairs: dict[int, np.ndarray]):
+        self.tree = np.tile(np.arange(256, dtype=np.uint32), 256)
+        rows = [*alone, *pairs.values()]
+        for i, pair in enumerate(pairs):
+            self.tree[pair] = 256 + i
+        common = np.argsort(np.argsort(alone.sum(axis=0), kind="stable"), kind="stable")
+        self.lens, self.codes, self.ranks = (np.empty(len(rows) * 256, t) for t in (np.uint8, np.uint32, np.uint8))
+        for i, row in enumerate(rows):
+            mine = slice(256 * i, 256 * i + 256)
+            self.lens[mine], self.codes[mine] = self._tree(row.astype(np.float64), common)
+            self.ranks[mine] = np.argsort(np.argsort(paths(self.codes[mine], self.lens[mine])))
+
+    @staticmethod
+    def _tree(counts: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        floor = max(counts.sum(), 1) / (1 << 13)
+        heap = [(max(c, floor), r, i) for i, (c, r) in enumerate(zip(counts.tolist(), common.tolist(), strict=True))]
+        heapq.heapify(heap)
+        parent, side = [0] * 511, [0] * 511
+        for node in range(256, 511):
+            a = heapq.heappop(heap)
+            b = heap[0]
+            parent[a[2]] = parent[b[2]] = node
+            side[b[2]] = 1
+            heapq.heapreplace(heap, (a[0] + b[0], node, node))
+        lens, codes = [0] * 511, [0] * 511
+        for node in range(509, -1, -1):
+            up = parent[node]
+            lens[node], codes[node] = lens[up] + 1, codes[up] << 1 | side[node]
+        return np.array(lens[:256], np.uint8), np.array(codes[:256], np.uint32)
+
+
+def paths(codes: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Codes from the left of PATH_BITS, each ended by a one."""
+    return (codes << np.uint32(1) | np.uint32(1)) << (np.uint32(PATH_BITS - 1) - lens.astype(np.uint32))
+
+
+def path_lengths(of: np.ndarray) -> np.ndarray:
+    """How many bits come before the one that ends a path."""
+    low = (of & (~of + np.uint32(1))).astype(np.float32)
+    return (PATH_BITS - 1 + 127 - (low.view(np.uint32) >> np.uint32(23)).astype(np.int32)).astype(np.int32)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(32)
+    x *= U64(0xA0761D6478BD642F)
+    x ^= x >> U64(29)
+    return x
+
+
+BYTES = _mixed(np.arange(1, 257, dtype=U64))
+
+
+def _spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """start, start + 1, .. for ``len`` numbers, one row after another."""
+    ends = np.cumsum(lens, dtype=np.int64)
+    out = np.repeat(starts - (ends - lens), lens)
+    out += np.arange(len(out))
+    return out
+
+
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the place of one of each of the hashes, of each place the number of its hash); a hash may, seldom, have two numbers."""
+    bits = U64(max(1, int(len(h) - 1).bit_length()))
+    s = h >> bits
+    s <<= bits
+    s |= np.arange(len(h), dtype=U64)
+    s.sort()
+    place = (s & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    s = h[place]
+    new = np.empty(len(h), bool)
+    new[0] = True
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    of = np.empty(len(h), np.int64)
+    of[place] = np.cumsum(new) - 1
+    return place[new], of
+
+
+class Block:
+    """The units of some texts: which are distinct, their bytes' contexts and codes, and what they follow."""
+
+    def __init__(self, texts: list[bytes], code: Code):
+        self.buffer = np.frombuffer(b"\x00" + b"\x00".join(texts) + b"\x00", np.uint8)  # a text's first byte has a zero before it
+        sizes = np.array([len(t) + 1 for t in texts])
+        hashes, words, lens, starts = self._units(sizes)
+        ends = np.cumsum(sizes) + 1
+        self.text_units = np.searchsorted(starts, ends)  # the units before each text's end
+        first, self.unit = _distinct(hashes)
+        self.counts = np.bincount(self.unit, minlength=len(first))
+        self.lens = lens[first]
+        self.weights = np.repeat(self.counts, self.lens)
         self.starts = np.cumsum(self.lens) - self.lens
-        self.salts = (np.array(salts, np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        self.bits = np.array(bits, np.uint8)
-
-
-@lru_cache(maxsize=2)
-def code_of(counts: bytes) -> Code:
-    """A worker builds the code once."""
-    return Code(np.frombuffer(counts, np.int64).reshape(256, 256))
-
-
-def _word_state(data: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per byte: hash of the word's bytes before it, and of the word before within the segment (``heads``: where a byte's begins)."""
-    n = len(data)
-    space = (data <= 32) & ((data == 32) | ((data >= 9) & (data <= 13)) | (data == 0))
-    at = np.arange(n)
-    start = np.maximum.accumulate(np.where(np.concatenate([[True], space[:-1]]), at, 0))
-    local = at - start
-    power = np.cumprod(np.full(int(local.max()) + 1, np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)
-    value = (data.astype(np.uint64) + np.uint64(1)) * power[local]
-    total = np.concatenate([[np.uint64(0)], np.cumsum(value, dtype=np.uint64)])
-    now = total[:-1] - total[start]
-    ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
-    whole = np.concatenate([[np.uint64(0)], now[ends]])
-    last = np.searchsorted(ends, at, side="left")
-    return now, np.where(np.concatenate([[-1], ends])[last] >= heads, whole[last], np.uint64(0))
-
-
-def contexts(padded: np.ndarray, heads: np.ndarray) -> list[np.ndarray]:
-    """64-bit context hashes of each byte of a buffer of segments with 8 zero bytes before each."""
-    d = padded.astype(np.uint64)
-    back = lambda k: np.concatenate([np.zeros(k, np.uint64), d[:-k]])
-    two = back(1) | back(2) << np.uint64(8)
-    three = two | back(3) << np.uint64(16)
-    five = three | back(4) << np.uint64(24) | back(5) << np.uint64(32)
-    word, before = _word_state(padded, heads)
-    out = []
-    for i, x in enumerate((two, three, five, word, word * np.uint64(0xA0761D6478BD642F) + before)):
-        x = (x + np.uint64(i + 1)) * np.uint64(0xD6E8FEB86659FD93)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        out.append(x ^ (x >> np.uint64(32)))
+        # the distinct units' bytes, each unit after PAD bytes of which the last is the byte before it
+        padded = self.lens + PAD
+        buffer = np.zeros(int(padded.sum()), np.uint8)
+        heads = np.cumsum(padded) - padded
+        at = _spread(heads + PAD, self.lens)
+        self.bytes = buffer[at] = self.buffer[_spread(starts[first], self.lens)]
+        buffer[heads + PAD - 1] = self.buffer[starts[first] - 1]
+        self.local = at - np.repeat(heads + PAD, self.lens)
+        pair = buffer[at - 1].astype(np.uint32)
+        tree = np.where(self.local == 0, pair, code.tree.take(buffer[at - 2].astype(np.uint32) << np.uint32(8) | pair))
+        symbol = tree << np.uint32(8) | self.bytes
+        self.code_lens, codes, self.ranks = code.lens.take(symbol), code.codes.take(symbol), code.ranks.take(symbol)
+        self.paths = paths(codes, self.code_lens)
+        self.tree = tree
+        self._padded, self._at = buffer, at
+        # the first letters in one path
+        self.first_paths, self.first_bits = self._first_letters(codes)
+        # the word before, of each unit within its text
+        real = np.where(lens > 1, np.arange(len(lens)), -1)
+        last = np.maximum.accumulate(np.concatenate([[-1], real[:-1]]))
+        begin = np.repeat(np.concatenate([[0], self.text_units[:-1]]), np.diff(self.text_units, prepend=0))
+        self.before = np.where(last >= begin, words[last], U64(0))
+
+    def _units(self, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(hash of each unit with the byte before it, hash of its word, length, start), a chunk of texts at a time."""
+        out: list[tuple] = []
+        buffer, at = self.buffer, 1
+        ends = (np.cumsum(sizes) + 1).tolist()
+        i = 0
+        while i < len(ends):
+            j = i + 1
+            while j < len(ends) and ends[j] - at <= CHUNK_BYTES:
+                j += 1
+            data = buffer[at : ends[j - 1]]
+            stop = (data <= 32) & ((data == 32) | ((data >= 9) & (data <= 13)))
+            stop[np.array(ends[i:j]) - at - 1] = True
+            last = np.flatnonzero(stop)
+            first = np.concatenate([[0], last[:-1] + 1])
+            n = last - first + 1
+            value = BYTES.take(data)
+            value *= self._powers(int(n.max())).take(np.arange(len(data)) - np.repeat(first, n))
+            total = np.zeros(len(data) + 1, U64)
+            np.cumsum(value, dtype=U64, out=total[1:])
+            word = total[last] - total[first]
+            out.append((_mixed(total[last + 1] - total[first] + BYTES.take(buffer[at + first - 1])), word, n, first + at))
+            i, at = j, ends[j - 1]
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    @staticmethod
+    def _powers(n: int) -> np.ndarray:
+        return np.cumprod(np.full(n, U64(0x9E3779B97F4A7C15)), dtype=U64)
+
+    def _first_letters(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, open_ = self.starts, np.ones(len(self.starts), bool)
+        path, n = codes[at], self.code_lens[at].astype(np.uint32)
+        for k in range(1, LETTERS):
+            nxt = np.minimum(at + k, len(codes) - 1)
+            more = self.code_lens[nxt].astype(np.uint32)
+            open_ &= (self.lens > k) & (n + more < PATH_BITS)
+            more[~open_] = 0
+            path = path << more | np.where(open_, codes[nxt], np.uint32(0))
+            n += more
+        return paths(path, n), n.astype(np.int64)
+
+    def contexts(self) -> Iterator[np.ndarray]:
+        """64-bit hashes of one context after another, of each byte of the distinct units."""
+        d = self._padded.astype(U64)
+
+        def back(x: np.ndarray, k: int) -> np.ndarray:
+            x[k:] |= d[:-k] << U64(8 * k)
+            return x
+
+        two = back(back(np.ones(len(d), U64), 1), 2)
+        yield _mixed(two[self._at])
+        three = back(two, 3)
+        yield _mixed(three[self._at])
+        four = back(three.copy(), 4)
+        yield _mixed(back(four.copy(), 5)[self._at])
+        value = BYTES.take(self.bytes) * self._powers(int(self.lens.max())).take(self.local)
+        total = np.cumsum(value, dtype=U64) - value
+        yield _mixed((total - np.repeat(total[self.starts], self.lens)) * U64(0x8EBC6AF09C88C6E3) + self.tree)
+        yield _mixed(four[self._at])
+
+    def entries(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(of each entry the place of one of its occurrences, how often it occurs, of each byte the entry).
+
+        An entry is a context with a symbol; they are ordered by the highest bits of the context's hash, then the symbol's path. Up to 2^24
+        bytes the sorted numbers hold the place itself and 32 bits or more of the hash.
+        """
+        n = len(h)
+        bits = U64(max(1, int(n - 1).bit_length()))
+        if n <= 1 << FAST_BITS:
+            s = h >> (U64(8) + bits)
+            s <<= U64(8)
+            s |= self.ranks
+            s <<= bits
+            s |= np.arange(n, dtype=U64)
+            s.sort()
+            place = (s & ((U64(1) << bits) - U64(1))).astype(np.int64)
+            s >>= bits
+            new = np.empty(n, bool)
+            new[0] = True
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+        else:
+            place = np.lexsort((self.ranks, h))
+            s, r = h[place], self.ranks[place]
+            new = np.concatenate([[True], (s[1:] != s[:-1]) | (r[1:] != r[:-1])])
+        at = np.flatnonzero(new)
+        mine = np.empty(n, np.int32)
+        mine[place] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        return place[at], np.add.reduceat(self.weights[place], at), mine
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(keys of words before, paths of first letters, how often they occur together, of each unit of the texts the pair)."""
+        h, path = _mixed(self.before + U64(1)), self.first_paths[self.unit]
+        first, of = _distinct(_mixed(h + path))
+        h, path = h[first], path[first]
+        order = np.argsort(h >> U64(PATH_BITS) << U64(PATH_BITS) | path)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        of = back[of]
+        return h[order], path[order], np.bincount(of, minlength=len(order)), of
+
+    def words(self, bits: int) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+        """(bucket, start, end) of the distinct words in lower case, of each word a unit that holds it, of each unit its word (none: -1).
+
+        Words are in order of their hashes, which choose the bucket.
+        """
+        low = self.bytes + ((self.bytes >= 65) & (self.bytes <= 90)).astype(np.uint8) * np.uint8(32)
+        value = BYTES.take(low) * self._powers(int(self.lens.max())).take(self.local)
+        total = np.cumsum(value, dtype=U64) - value
+        real = np.flatnonzero(self.lens > 1)
+        of = np.full(len(self.lens), -1, np.int64)
+        if not len(real):
+            return [], real, of
+        h = _mixed(total[(self.starts + self.lens - 1)[real]] - total[self.starts[real]])
+        first, number = _distinct(h)
+        order = np.argsort(h[first])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        of[real] = rank[number]
+        return _split(h[first[order]], bits), real[first[order]], of
+
+    def spelling(self, units: np.ndarray) -> list[bytes]:
+        """The words of some units, in lower case."""
+        n = self.lens[units]
+        letters = self.bytes[_spread(self.starts[units], n)]
+        letters[np.cumsum(n) - 1] = 10
+        return letters.tobytes()[:-1].lower().split(b"\n")
+
+
+# ---- messages
+
+
+def bucket_bits(size: int) -> list[int]:
+    """Of each kind of entries, for a corpus of ``size`` bytes."""
+    bits = max(0, (size // BUCKET_BYTES).bit_length())
+    return [max(0, bits - f) for f in FEWER]
+
+
+def _split(h: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) of hashes that are in order by their highest bits at least, of which the bucket is a part."""
+    ends = np.searchsorted(h >> U64(64 - bits), np.arange(1 << bits, dtype=U64), side="right").tolist() if bits else [len(h)]
+    return [(b, a, e) for b, (a, e) in enumerate(itertools.pairwise([0, *ends])) if e > a]
+
+
+def _planes(*arrays: np.ndarray) -> bytes:
+    return b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays)
+
+
+def _column(planes: np.ndarray, kind) -> np.ndarray:
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def pack(keys: np.ndarray, path: np.ndarray, counts: np.ndarray) -> bytes:
+    """Keys as differences, paths and counts, in planes of bytes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(_planes(np.diff(keys, prepend=U64(0)), path, counts.astype(np.uint32)))
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(16, -1)
+    return np.cumsum(_column(planes[:8], U64), dtype=U64), _column(planes[8:12], np.uint32), _column(planes[12:], np.uint32).astype(np.int64)
+
+
+def pack_words(words: list[bytes], counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(_planes(counts.astype(np.uint32)) + b"\n".join(words) + len(words).to_bytes(4, "little"))
+
+
+def unpack_words(data: bytes) -> tuple[list[bytes], np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(raw[-4:], "little")
+    return raw[4 * n : -4].split(b"\n"), _column(np.frombuffer(raw[: 4 * n], np.uint8).reshape(4, -1), np.uint32).astype(np.int64)
+
+
+def messages(texts: list[bytes], training: bool, code: Code, bits: list[int]) -> Iterator[tuple[int, int, bytes]]:
+    """(kind, bucket, packed entries) of a block."""
+    block = Block(texts, code)
+
+    def split(kind: int, h: np.ndarray, path: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        if not training:
+            n = n * 0
+        for bucket, a, e in _split(h, bits[kind]):
+            yield kind, bucket, pack((h[a:e] << U64(bits[kind])) >> U64(64 - KEY_BITS), path[a:e], n[a:e])
+
+    for k, h in enumerate(block.contexts()):
+        first, n, _ = block.entries(h)
+        yield from split(k, h[first], block.paths[first], n)
+    yield from split(PAIRS, *block.pairs()[:3])
+    buckets, units, of = block.words(bits[WORDS])
+    n = np.bincount(of[of >= 0], weights=block.counts[of >= 0], minlength=len(units)).astype(np.int64) * training
+    for bucket, a, e in buckets:
+        yield WORDS, bucket, pack_words(block.spelling(units[a:e]), n[a:e])
+
+
+class _Depths:
+    """Sums of counts by node, one depth of the paths after another, over entries sorted by context and path."""
+
+    def __init__(self, numbers: np.ndarray, counts: np.ndarray, cut: np.ndarray | None = None):
+        self.numbers, self.counts, self.cut = numbers, counts, cut
+        self.lens = path_lengths((numbers & U64((1 << PATH_BITS) - 1)).astype(np.uint32))
+        self.at = np.arange(len(numbers))
+
+    def sums(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(entries that have a bit at this depth, their node, where nodes begin, sums of zeros and of ones by node); depths in their order."""
+        self.at = at = self.at[self.lens[self.at] > depth]
+        x, n = self.numbers[at], self.counts[at]
+        node = x >> U64(PATH_BITS - depth)
+        new = np.empty(len(at), bool)
+        new[0] = True
+        np.not_equal(node[1:], node[:-1], out=new[1:])
+        if self.cut is not None:
+            cut = self.cut[at]
+            new[1:] |= cut[1:] != cut[:-1]
+        starts = np.flatnonzero(new)
+        ones = n * (x >> U64(PATH_BITS - 1 - depth) & U64(1)).astype(np.int64)
+        all_, one = np.add.reduceat(n, starts), np.add.reduceat(ones, starts)
+        return at, np.cumsum(new) - 1, starts, all_ - one, one
+
+
+def answers(packed: list[bytes]) -> list[bytes]:
+    """For the blocks' entries in one bucket: the log-odds at each node of each entry's path by all other blocks' counts, in steps of 1 / SCALE."""
+    parts = [unpack(p) for p in packed]
+    numbers = np.concatenate([k << U64(PATH_BITS) | p for k, p, _ in parts])
+    counts = np.concatenate([n for _, _, n in parts])
+    block = np.repeat(np.arange(len(parts), dtype=np.int32), [len(k) for k, _, _ in parts])
+    order = np.argsort(numbers)
+    ordered = numbers[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    starts = np.flatnonzero(new)
+    which = np.empty(len(numbers), np.int64)
+    which[order] = np.cumsum(new) - 1
+    total, own = _Depths(ordered[starts], np.add.reduceat(counts[order], starts)), _Depths(numbers, counts, block)
+    ends = np.cumsum(own.lens, dtype=np.int64)
+    out = np.empty(int(ends[-1]), np.int8)
+    begin = ends - own.lens
+    node = np.zeros(len(starts), np.int64)
+    for depth in range(int(own.lens.max())):
+        at, nodes, _, zeros, ones = total.sums(depth)
+        node[at] = nodes
+        mine, own_nodes, first, own_zeros, own_ones = own.sums(depth)
+        theirs = node[which[mine[first]]]
+        odds = np.log((ones[theirs] - own_ones + 0.4) / (zeros[theirs] - own_zeros + 0.4))
+        out[begin[mine] + depth] = np.clip(np.rint(odds * SCALE), -127, 127).astype(np.int8)[own_nodes]
+    cuts = ends[np.cumsum([len(k) for k, _, _ in parts]) - 1].tolist()
+    packer = zstandard.ZstdCompressor(level=1)
+    return [packer.compress(out[a:b].tobytes()) for a, b in itertools.pairwise([0, *cuts])]
+
+
+def word_answers(packed: list[bytes]) -> tuple[list[bytes], int, int]:
+    """(of each block its words' counts over all blocks, tokens, distinct tokens)."""
+    parts = [unpack_words(p) for p in packed]
+    total: dict[bytes, int] = {}
+    for words, n in parts:
+        for w, c in zip(words, n.tolist(), strict=True):
+            if c:
+                total[w] = total.get(w, 0) + c
+    packer = zstandard.ZstdCompressor(level=1)
+    return [packer.compress(_planes(np.array([total.get(w, 0) for w in words], np.int64))) for words, _ in parts], sum(total.values()), len(total)
+
+
+# ---- mixing
+
+
+def mix_costs(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log2 of the probability of each text's bits.
+
+    ``rows`` is (text, bit, column) in steps of 1 / SCALE, zero after a text's last bit; the longest text comes first. All that is
+    learnt of a text is of the text itself.
+    """
+    n_texts, longest, _ = rows.shape
+    weights = np.tile(np.array([*START, 0], np.float32), (n_texts, GATES, 1))
+    curve = np.full(weights.shape, PRIOR, np.float32)
+    mid = 1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS // 2) / 2.0))
+    hits, seen = np.tile(mid * APM_PRIOR, n_texts * GATES), np.full(n_texts * GATES * BUCKETS, APM_PRIOR)
+    first = (np.arange(n_texts, dtype=np.int32) * (GATES * BUCKETS) + BUCKETS // 2)[:, None]
+    out, at, top, half = np.zeros(n_texts), 0, np.float32(12), np.float32(BUCKETS // 2)
+    while at < longest:
+        step = 64 if at < 4096 else 256 if at < 32768 else 1024
+        live = int(np.searchsorted(-sizes, -at, side="left"))
+        raw = rows[:live, at : at + step]
+        width = raw.shape[1]
+        inside = None if at + width <= sizes[live - 1] else np.arange(at, at + width) < sizes[:live, None]
+        at += width
+        x = np.empty((live, N_CONTEXTS + 1, width), np.float32)
+        x[:, :N_CONTEXTS] = raw[:, :, :N_CONTEXTS].transpose(0, 2, 1)
+        x[:, N_CONTEXTS] = raw[:, :, BIAS]
+        x *= np.float32(1 / SCALE)
+        y = raw[:, :, Y].astype(np.float32)
+        gate = (raw[:, :, 2] != 0).view(np.int8) + (raw[:, :, 3] != 0) + (raw[:, :, 4] != 0)
+        chosen = np.empty((live, GATES, width), np.float32)
+        for g in range(GATES):
+            np.equal(gate, np.int8(g), out=chosen[:, g], casting="unsafe")
+        by_gate = weights[:live] @ x
+        by_gate *= chosen
+        z = by_gate[:, 0] + by_gate[:, 1]
+        z += by_gate[:, 2]
+        z += by_gate[:, 3]
+        np.minimum(z, top, out=z)
+        np.maximum(z, -top, out=z)
+        p = np.exp(-z)
+        p += np.float32(1)
+        np.reciprocal(p, out=p)
+        z *= 2
+        np.rint(z, out=z)
+        np.minimum(z, half, out=z)
+        np.maximum(z, -half, out=z)
+        bucket = z.astype(np.int32)
+        bucket += gate.astype(np.int32) * np.int32(BUCKETS)
+        bucket += first[:live]
+        some = live * GATES * BUCKETS
+        fine = (hits[:some] / seen[:some]).astype(np.float32).take(bucket)
+        fine += p
+        fine *= np.float32(0.5)
+        fine += y
+        fine -= np.float32(1)  # now the probability of the bit, or less it
+        np.abs(fine, out=fine)
+        np.maximum(fine, np.float32(1e-6), out=fine)
+        np.log2(fine, out=fine)
+        error = y - p
+        p *= 1 - p
+        if inside is not None:
+            fine *= inside
+            error *= inside
+            p *= inside
+        out[:live] += fine.sum(axis=1, dtype=np.float64)
+        curve[:live] += (chosen @ p[:, :, None]) * (np.einsum("ijk,ijk->ij", x, x) / np.float32(width))[:, None, :]
+        chosen *= error[:, None, :]
+        weights[:live] += RATE * (chosen @ x.transpose(0, 2, 1)) / curve[:live]
+        took, bits = (bucket.ravel(), y.ravel()) if inside is None else (bucket[inside], y[inside])
+        hits[:some] += np.bincount(took, weights=bits, minlength=some)
+        seen[:some] += np.bincount(took, minlength=some)
     return out
 
 
-def segments(text: bytes) -> list[bytes]:
-    """The text with its end mark, cut where contexts start anew."""
-    data = text + b"\x00"
-    return [data[i : i + SEGMENT] for i in range(0, len(data), SEGMENT)]
-
-
-def expand(parts: list[bytes], code: Code) -> tuple[np.ndarray, Iterator[np.ndarray], np.ndarray]:
-    """(bits, keys of context, node and bit (lowest) for one context after another, number of bits of each part)."""
-    buffer = np.frombuffer(b"".join(bytes(8) + p for p in parts), np.uint8)
-    sizes = np.array([len(p) for p in parts])
-    keep = np.ones(len(buffer), bool)
-    heads = np.cumsum(sizes + 8) - sizes - 8
-    keep[(heads[:, None] + np.arange(8)).ravel()] = False
-    pair = buffer.astype(np.int64)
-    pair[1:] |= buffer[:-1].astype(np.int64) << 8  # a text's first byte has a zero before it
-    pair = pair[keep]
-    n = code.lens.take(pair)
-    ends = np.cumsum(n)
-    place = np.repeat((code.starts.take(pair) - (ends - n)).astype(np.int32), n)
-    place += np.arange(len(place), dtype=np.int32)
-    salt, bits = code.salts.take(place), code.bits.take(place)
-
-    def keys() -> Iterator[np.ndarray]:
-        for h in contexts(buffer, np.repeat(heads, sizes + 8)):
-            x = np.repeat(h[keep], n)
-            x ^= salt
-            x *= np.uint64(0xC2B2AE3D27D4EB4F)
-            x ^= x >> np.uint64(32)
-            x &= ~np.uint64(1)
-            x |= bits
-            yield x
-
-    return bits, keys(), np.add.reduceat(n, np.cumsum(sizes) - sizes)
-
-
-def _runs(x: np.ndarray) -> np.ndarray:
-    """Where the runs of equal values of a sorted array begin."""
-    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-
-
-def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences, and counts, in planes of bytes, as the shuffle compresses runs."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-    return steps.tobytes() + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(data, np.uint8).reshape(12, -1)
-    return np.cumsum(planes[:8].T.copy().view("<u8").ravel(), dtype=np.uint64), planes[8:].T.copy().view("<u4").ravel().astype(np.int64)
-
-
-def entries(parts: list[tuple[bytes, bool]], code: Code) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per context: the distinct keys of texts, sorted, and how often they occur in those that are for training."""
-    held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(N_CONTEXTS)]
-
-    def merged(k: int) -> tuple[np.ndarray, np.ndarray]:
-        keys, n = (np.concatenate(c) for c in zip(*held[k], strict=True))
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        at = _runs(keys)
-        return keys[at], np.add.reduceat(n, at, dtype=np.uint32)
-
-    def add(group: list[bytes], training: bool) -> None:
-        for k, x in enumerate(expand(group, code)[1]):
-            x.sort()
-            at = _runs(x)
-            held[k].append((x[at], np.diff(at, append=len(x)).astype(np.uint32) if training else np.zeros(len(at), np.uint32)))
-            if len(held[k]) > 8:
-                held[k] = [merged(k)]
-
-    for training in (True, False):
-        group, size = [], 0
-        for text, fits in parts:
-            for part in segments(text) if fits == training else ():
-                group.append(part)
-                size += len(part)
-                if size >= TRAIN_BYTES:
-                    add(group, training)
-                    group, size = [], 0
-        if group:
-            add(group, training)
-    return [merged(k) for k in range(N_CONTEXTS)]
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, count) and, as kind 1, (pair of bytes, count) of the training texts."""
-    words: Counter[bytes] = Counter()
-    seen = np.zeros(1 << 16, np.int64)
-
-    def full() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array([0] * len(words)), pa.array([w.decode("utf-8", "replace") for w in words], pa.string()), pa.array(words.values(), pa.int64())], ["kind", "word", "n"])
-        words.clear()
-        return out
+def unit_rows(block: Block, replies: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a row per bit of the distinct units, where each unit's bits begin, how many they are)."""
+    lens = block.code_lens.astype(np.int64)
+    ends = np.cumsum(lens)
+    rows = np.zeros((int(ends[-1]), COLUMNS), np.int8)
+    small = np.int32 if len(rows) < 1 << 31 else np.int64
+    within = np.arange(len(rows), dtype=small) - np.repeat((ends - lens).astype(small), lens)
+    for k, h in enumerate(block.contexts()):
+        first, _, mine = block.entries(h)
+        n = lens[first]
+        to = np.cumsum(n)
+        if to[-1] != len(replies[k]):
+            raise ValueError("a block's texts changed between reads")
+        rows[:, k] = replies[k].take(np.repeat((to - n).astype(small).take(mine), lens) + within)
+    rows[:, Y] = np.repeat(block.paths, lens) >> (PATH_BITS - 1 - within).astype(np.uint32) & np.uint32(1)
+    rows[:, BIAS] = 3
+    bits = np.add.reduceat(lens, block.starts)
+    return rows, np.cumsum(bits) - bits, bits
+
+
+def score_texts(block: Block, replies: list[np.ndarray]) -> np.ndarray:
+    """log2 probability of each text, given for each kind of entries but the words the log-odds of their nodes."""
+    rows, unit_starts, unit_bits = unit_rows(block, replies)
+    rows = rows.view(np.int64).ravel()
+    _, path, _, pair = block.pairs()
+    pair_bits = path_lengths(path).astype(np.int64)
+    to = np.cumsum(pair_bits)
+    if to[-1] != len(replies[PAIRS]):
+        raise ValueError("a block's texts changed between reads")
+    pair_starts = to - pair_bits
+    begin = np.concatenate([[0], block.text_units[:-1]])
+    unit_ends = np.cumsum(unit_bits[block.unit])
+    sizes = np.diff(unit_ends[block.text_units - 1], prepend=0)
+    out = np.zeros(len(sizes))
+    order = np.argsort(-sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        n_texts = max(1, min(GROUP_TEXTS, GROUP_BITS // max(1, int(sizes[order[at]]))))
+        group = order[at : at + n_texts]
+        at += len(group)
+        padded = np.zeros((len(group), int(sizes[group[0]])), np.int64)
+        for i, t in enumerate(group.tolist()):
+            units = block.unit[begin[t] : block.text_units[t]]
+            mine = rows.take(_spread(unit_starts[units], unit_bits[units]))
+            n = block.first_bits[units]
+            bits = unit_bits[units]
+            mine.view(np.int8).reshape(-1, COLUMNS)[_spread(np.cumsum(bits) - bits, n), FOUR] = replies[PAIRS].take(_spread(pair_starts[pair[begin[t] : block.text_units[t]]], n))
+            padded[i, : len(mine)] = mine
+        out[group] = mix_costs(padded.view(np.int8).reshape(len(group), -1, COLUMNS), sizes[group])
+    return out
 
-    for batch in batches:
-        texts = [(t or "").encode("utf-8", "replace") for t in batch.column(0).to_pylist()]
-        data = np.frombuffer(b"\x00".join([b"", *texts, b""]), np.uint8).astype(np.int64)
-        seen += np.bincount(data[:-1] << 8 | data[1:], minlength=1 << 16)
-        for raw in texts:
-            words.update(raw.lower().split())
-            words[END.encode()] += 1
-            if len(words) > 400_000:
-                yield full()
-    if words:
-        yield full()
-    at = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array([1] * len(at)), pa.array([str(x) for x in at]), pa.array(seen[at])], ["kind", "word", "n"])
 
+def score_words(block: Block, replies: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text, without the ends: tokens, known tokens, log10 of the tokens' smoothed counts; ``replies`` are the counts of the words by bucket."""
+    buckets, _, of = block.words(bits)
+    if len(buckets) != len(replies):
+        raise ValueError("a block's texts changed between reads")
+    n = np.concatenate([np.zeros(0, np.int64), *replies, [-1]])  # the last is of units that hold no word
+    logs, known = np.where(n < 0, 0, np.log10(np.maximum(n, 0) + 0.5))[of], (n > 0).astype(np.int64)[of]
+    begin = np.concatenate([[0], block.text_units[:-1]])
+    by_text = lambda x: np.add.reduceat(x[block.unit], begin)
+    return by_text((block.lens > 1).astype(np.int64)), by_text(known), by_text(logs)
 
-def _texts(table: pa.Table) -> list[tuple[bytes, bool]]:
-    return [((t or "").encode("utf-8", "replace"), not out) for t, out in zip(table["text"].to_pylist(), table["held_out"].to_pylist(), strict=True)]
 
+# ---- Spark
 
-def _send(counts: np.ndarray, bucket_bits: int):
-    """The keys of each block of documents, by context and the keys' highest bits."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = code_of(counts.tobytes())
-        for block in groups(batches, ["block"]):
-            for k, (keys, n) in enumerate(entries(_texts(block), code)):
-                cuts = np.searchsorted(keys, np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(64 - bucket_bits)) if bucket_bits else np.zeros(0, np.int64)
-                ends = [0, *cuts.tolist(), len(keys)]
-                rows = [(i, _pack(keys[a:b], n[a:b])) for i, (a, b) in enumerate(itertools.pairwise(ends)) if b > a]
-                for i in range(0, len(rows), 500):
-                    buckets, packed = zip(*rows[i : i + 500], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(buckets)), pa.array(buckets, pa.int64()), pa.array([block["block"][0].as_py()] * len(buckets)), pa.array(packed, pa.binary())], ["context", "bucket", "block", "entries"])
+def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(two bytes before and byte, count) of training texts with their ends, and as key -1 the bytes of all texts."""
+    seen = np.zeros(1 << 24, np.uint32)
+    held: list[bytes] = []
+    size = total = 0
 
-    return run
+    def add() -> None:
+        data = np.frombuffer(b"".join(held), np.uint8)
+        key = data[2:].astype(np.int32)
+        key |= data[1:-1].astype(np.int32) << 8
+        key |= data[:-2].astype(np.int32) << 16
+        if len(key) < 1 << 20:
+            at, n = np.unique(key, return_counts=True)
+            seen[at] += n.astype(np.uint32)
+        else:
+            seen[:] += np.bincount(key, minlength=1 << 24).astype(np.uint32)
+        held.clear()
 
+    for batch in batches:
+        for t, out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total += len(t or b"")
+            if not out:
+                held += (b"\x00\x00", t or b"", b"\x00")
+                size += len(t or b"")
+        if size >= BLOCK_BYTES:
+            add()
+            size = 0
+    if held:
+        add()
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([total, *seen[at].tolist()], pa.int64())], ["key", "n"])
 
-def answers(packed: list[bytes]) -> list[bytes]:
-    """For blocks' keys and counts: the log-odds of each key's node by the sum of all blocks' counts, in steps of 1 / SCALE."""
-    keys, counts = (np.concatenate(c) for c in zip(*map(_unpack, packed), strict=True))
-    order = np.argsort(keys)
-    ones = (keys[order] & np.uint64(1)).astype(bool)
-    at, n = _runs(keys[order] >> np.uint64(1)), counts[order]
-    odds = np.log((np.add.reduceat(np.where(ones, n, 0), at) + 0.4) / (np.add.reduceat(np.where(ones, 0, n), at) + 0.4))
-    out = np.empty(len(keys), np.int8)
-    out[order] = np.repeat(np.clip(np.rint(odds * SCALE), -127, 127).astype(np.int8), np.diff(at, append=len(keys)))
-    return [x.tobytes() for x in np.split(out, np.cumsum([len(p) // 12 for p in packed])[:-1])]
 
+def learn_code(rows: DataFrame) -> tuple[Code, int]:
+    """(code of the training texts, bytes of all texts) of columns text (binary) and held_out."""
+    counted = materialize(rows.select("text", "held_out").mapInArrow(_count_bytes, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "bytes")
+    alone = np.zeros((256, 256), np.int64)
+    for r in counted.filter("key >= 0").groupBy((F.col("key").bitwiseAND(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")).collect():  # 2^16 rows at most
+        alone[r["key"] >> 8, r["key"] & 255] = r["n"]
+    by_pair = counted.filter("key >= 0").withColumn("pair", F.shiftright("key", 8))
+    frequent = by_pair.groupBy("pair").agg(F.sum("n").alias("all")).filter(F.col("all") * TREES >= int(alone.sum()))  # TREES rows at most
+    pairs: dict[int, np.ndarray] = {}
+    for r in by_pair.join(F.broadcast(frequent), "pair").select("key", "n").orderBy("key").collect():
+        pairs.setdefault(r["key"] >> 8, np.zeros(256, np.int64))[r["key"] & 255] = r["n"]
+    size = counted.filter("key < 0").agg(F.sum("n")).first()[0] or 0
+    return Code(alone, pairs), size
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in groups(batches, ["context", "bucket"]):
-        replies = answers(t["entries"].to_pylist())
-        for i in range(0, len(replies), 500):
-            part = t.slice(i, 500).combine_chunks()
-            yield pa.RecordBatch.from_arrays([part["block"].combine_chunks(), part["context"].combine_chunks(), part["bucket"].combine_chunks(), pa.array(replies[i : i + 500], pa.binary())], ["block", "context", "bucket", "odds"])
-
-
-class Mixer:
-    """Scores bits of one document; all that it learns is of that document."""
-
-    def __init__(self):
-        self.weights = np.full((GATES, N_CONTEXTS + 1), START, np.float32)
-        self.weights[:, -1] = 0
-        self.curve = np.full((GATES, N_CONTEXTS + 1), PRIOR)
-        mid = 1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS // 2) / 2.0))
-        self.hits, self.seen = np.tile(mid * APM_PRIOR, (GATES, 1)).ravel(), np.full(GATES * BUCKETS, APM_PRIOR)
-        self.block = FIRST_BLOCK
-
-    def cost(self, odds: np.ndarray, bits: np.ndarray) -> float:
-        """log2 of the probability of ``bits``, given the predictors' log-odds (a row per bit)."""
-        total, at = 0.0, 0
-        gates = (odds[:, N_CONTEXTS - 1] != 0).astype(np.int64)
-        for k in range(max(0, N_CONTEXTS - GATES + 1), N_CONTEXTS - 1):
-            gates += odds[:, k] != 0
-        while at < len(bits):
-            x, y, gate = odds[at : at + self.block], bits[at : at + self.block].astype(np.float32), gates[at : at + self.block]
-            at += self.block
-            self.block = min(LAST_BLOCK, 2 * self.block)
-            z = (x @ self.weights.T).ravel().take(np.arange(0, GATES * len(y), GATES) + gate)
-            np.clip(z, -12, 12, out=z)
-            p = np.exp(-z)
-            p += 1
-            np.reciprocal(p, out=p)
-            z *= 2
-            bucket = np.rint(z).astype(np.int64)
-            bucket += BUCKETS // 2
-            np.clip(bucket, 0, BUCKETS - 1, out=bucket)
-            bucket += gate * BUCKETS
-            fine = (self.hits / self.seen).astype(np.float32).take(bucket)
-            fine += p
-            fine *= 0.5
-            fine += y
-            fine -= 1  # now the probability of the bit, or less it
-            np.abs(fine, out=fine)
-            total += float(np.log2(np.maximum(fine, 1e-6)).sum(dtype=np.float64))
-            error = y - p
-            slope = np.stack([np.bincount(gate, weights=error * x[:, c], minlength=GATES) for c in range(x.shape[1])], axis=1)
-            self.curve += np.bincount(gate, weights=p * (1 - p), minlength=GATES)[:, None] * (np.einsum("ij,ij->j", x, x) / len(y))
-            self.weights += (RATE * slope / self.curve).astype(np.float32)
-            self.hits += np.bincount(bucket, weights=y, minlength=GATES * BUCKETS)
-            self.seen += np.bincount(bucket, minlength=GATES * BUCKETS)
-        return total
-
-
-def score_texts(texts: list[bytes], code: Code, odds, keys: list[np.ndarray] | None = None) -> list[float]:
-    """log2 probability of each text. ``odds`` are per context in the order of its sorted ``keys``, or in plain tables of 2^SLOT_BITS slots."""
-    group: list[tuple[int, bytes]] = []
-    mixers = [Mixer() for _ in texts]
-    out = [0.0] * len(texts)
-
-    def run() -> None:
-        bits, found, sizes = expand([p for _, p in group], code)
-        x = np.empty((len(bits), N_CONTEXTS + 1), np.float32)
-        for k, mine in enumerate(found):
-            if keys is None:
-                values = odds[k].take((mine >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
-            else:
-                order = np.argsort(mine)
-                mine = mine[order]
-                at = _runs(mine)
-                values = np.empty(len(mine), np.int8)
-                values[order] = np.repeat(odds[k].take(np.searchsorted(keys[k], mine[at])), np.diff(at, append=len(mine)))
-            np.multiply(values, np.float32(1 / SCALE), out=x[:, k])
-        x[:, -1] = 0.3
-        at = 0
-        for (i, _), n in zip(group, sizes.tolist(), strict=True):
-            out[i] += mixers[i].cost(x[at : at + n], bits[at : at + n])
-            at += n
-        group.clear()
-
-    for i, text in enumerate(texts):
-        for part in segments(text):
-            group.append((i, part))
-            if sum(len(p) for _, p in group) > 1 << 17:
-                run()
-    if group:
-        run()
-    return out
+
+def blocks_of(rows: Iterator[tuple], limit: int) -> Iterator[tuple[bool, list[tuple]]]:
+    """(held out, rows) of rows (doc_id, held out, text); a block is full when it has ``limit`` bytes."""
+    held: dict[bool, list] = {False: [], True: []}
+    size = {False: 0, True: 0}
+    for row in rows:
+        held[row[1]].append(row)
+        size[row[1]] += len(row[2]) + 1
+        if size[row[1]] >= limit:
+            yield row[1], held[row[1]]
+            held[row[1]], size[row[1]] = [], 0
+    for out in (False, True):
+        if held[out]:
+            yield out, held[out]
+
+
+BLOCK_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
 
 
-def _score(shared, total: int, distinct: int):
-    """Base and model scores; words that aren't among the frequent ones go along for the join."""
-    norm = total + 0.5 * (distinct + 1)
+def _send(shared, folder: str, limit: int, bits: list[int]):
+    """Writes blocks of texts and sends their entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts, frequent = shared.value
-        code = code_of(counts.tobytes())
-        logs = {w: math.log10((n + 0.5) / norm) for w, n in frequent.items()}
-        row = TaskContext.get().partitionId() << 33
-        for block in groups(batches, ["block"]):
-            replies = block.filter(pc.is_valid(block["context"]))  # in the order of contexts and buckets
-            block = block.filter(pc.is_null(block["context"]))
-            odds = [np.frombuffer(b"".join(replies.filter(pc.equal(replies["context"], k))["odds"].to_pylist()), np.int8) for k in range(N_CONTEXTS)]
-            keys = [x for x, _ in entries(_texts(block), code)]
-            if any(len(a) != len(b) for a, b in zip(odds, keys, strict=True)):
-                raise ValueError("a block's documents changed between reads")
-            for start in range(0, block.num_rows, 128):
-                part = block.slice(start, 128)
-                ids, held, texts = part["doc_id"].to_pylist(), part["held_out"].to_pylist(), [t for t, _ in _texts(part)]
-                scores = score_texts(texts, code, odds, keys)
-                columns: list[list] = [[] for _ in range(9)]
-                for doc, out, text, bits in zip(ids, held, texts, scores, strict=True):
-                    words = text.lower().split()
-                    known = [logs.get(w) for w in words]
-                    rare = Counter(w for w, x in zip(words, known, strict=True) if x is None)
-                    end = logs.get(END.encode())
-                    base = math.fsum(x for x in known if x is not None) + (end if end is not None else math.log10(0.5 / norm))
-                    values = (row, doc, out, len(words) + 1, len(words) - rare.total() + (end is not None), base, bits, len(text), [{"word": w.decode("utf-8", "replace"), "n": n} for w, n in rare.items()])
-                    for c, v in zip(columns, values, strict=True):
-                        c.append(v)
-                    row += 1
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCORED.split(", ")[:8]] + ["tail"])
+        rows = ((i, h, t or b"") for b in batches for i, h, t in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for seq, (out, block) in enumerate(blocks_of(rows, limit)):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, BLOCK_SCHEMA, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(pa.record_batch([pa.array([r[0] for r in block], pa.int64()), pa.array([r[2] for r in block], pa.binary())], schema=BLOCK_SCHEMA))
+            data = sink.getvalue()
+            name = f"{TaskContext.get().partitionId()}-{seq}-{'held' if out else 'train'}-{zlib.crc32(data):08x}"
+            write_file(f"{folder}/{name}", iter([data]))
+            del data, sink
+            found = messages([r[2] for r in block], not out, shared.value, bits)
+            while part := list(itertools.islice(found, 100)):
+                kinds, buckets, packed = zip(*part, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(kinds, pa.int32()), pa.array(buckets, pa.int64()), pa.array(packed, pa.binary())], ["block", "kind", "bucket", "entries"])
 
     return run
 
 
-def frequent_words(words: DataFrame, most: int) -> DataFrame:
-    """The words in the highest classes of counts (eighths of powers of two) that hold at most ``most`` words together.
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in groups(batches, ["kind", "bucket"]):
+        kind, bucket = t["kind"][0].as_py(), t["bucket"][0].as_py()
+        packed, names = t["entries"].to_pylist(), t["block"].to_pylist()
+        if kind == WORDS:
+            replies, tokens, distinct = word_answers(packed)
+            names, replies = ["", *names], [tokens.to_bytes(8, "little") + distinct.to_bytes(8, "little"), *replies]
+        else:
+            replies = answers(packed)
+        for i in range(0, len(replies), 500):
+            n = len(replies[i : i + 500])
+            yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 500]), pa.array([kind] * n, pa.int32()), pa.array([bucket] * n, pa.int64()), pa.array(replies[i : i + 500], pa.binary())], ["block", "kind", "bucket", "reply"])
 
-    A limit on sorted rows would send each task's candidates to the driver; this sends a few hundred class sizes.
-    """
-    level = F.floor(F.log2("n") * 8).cast("int")
-    total, lowest = 0, None
-    for r in sorted(words.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
-        total += r["count"]
-        if total > most:
-            break
-        lowest = r["level"]
-    return words.filter(level >= lowest) if lowest is not None else words.limit(0)
+
+def _score(shared, folder: str, bits: list[int]):
+    """Scores each block by the replies to it; as kind 1, the numbers of tokens and of distinct tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in SCORED.split(", ")]
+        kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        for t in groups(batches, ["block"]):
+            name = t["block"][0].as_py()
+            if not name:
+                yield batch([(1, None, None, int.from_bytes(x[:8], "little"), int.from_bytes(x[8:], "little"), None, None, None) for x in t["reply"].to_pylist()])
+                continue
+            unpacker = zstandard.ZstdDecompressor()
+            by: list[list[np.ndarray]] = [[] for _ in FEWER]
+            for k, x in zip(t["kind"].to_pylist(), t["reply"].to_pylist(), strict=True):  # in the order of buckets
+                by[k].append(np.frombuffer(unpacker.decompress(x), np.int8))
+            store, path = open_store(f"{folder}/{name}")
+            with store.open_input_file(path) as f:
+                block = pa.ipc.open_stream(f).read_all()
+            texts, ids = block["text"].to_pylist(), block["doc_id"].to_pylist()
+            block = Block(texts, shared.value)
+            n_tokens, n_known, base = score_words(block, [_column(x.reshape(8, -1), np.int64) for x in by[WORDS]], bits[WORDS])
+            costs = score_texts(block, [np.concatenate(x) for x in by[:WORDS]])
+            yield batch([(0, i, "-held-" in name, *row, len(x)) for i, x, *row in zip(ids, texts, n_tokens.tolist(), n_known.tolist(), base.tolist(), costs.tolist(), strict=True)])
+
+    return run
 
 
 def score(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -414,31 +708,21 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == HELD_OUT).alias("held_out"), F.col(text).alias("text"))
-    training = rows.filter("not held_out").select("text")
-    counted = materialize(training.mapInArrow(_count_words, "kind long, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")), "words")
-    words = counted.filter("kind = 0")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = {r["word"].encode(): r["n"] for r in frequent_words(words, FREQUENT).collect()}
-    frequent |= {END.encode(): r["n"] for r in words.filter(F.col("word") == END).collect()}
-    seen = np.zeros(1 << 16, np.int64)
-    for r in counted.filter("kind = 1").collect():  # a row per pair of bytes at most
-        seen[int(r["word"])] = r["n"]
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks, bucket_bits = -(-size // BLOCK_BYTES) or 1, max(0, (size // BUCKET_BYTES).bit_length())
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
-    sent = rows.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_send(seen, bucket_bits), "context long, bucket long, block long, entries binary")
-    replies = sent.repartition(parts, "context", "bucket").sortWithinPartitions("context", "bucket").mapInArrow(_answer, "block long, context long, bucket long, odds binary")
-    shared = spark.sparkContext.broadcast((seen, frequent))
-    dealt = rows.unionByName(replies, allowMissingColumns=True).repartition(parts, "block").sortWithinPartitions("block", "context", "bucket")
-    scored = materialize(dealt.mapInArrow(_score(shared, total, distinct), SCORED), "scored")
-    norm = float(total + 0.5 * (distinct + 1))
-    rare = scored.select("row_id", F.explode("tail").alias("t")).select("row_id", "t.word", F.col("t.n").alias("times"))
-    rare = rare.join(words.select("word", "n"), "word", "left").groupBy("row_id").agg(F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(norm))).alias("rare"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))
-    out = scored.drop("tail").join(rare, "row_id", "left")
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare", F.lit(0.0))).alias("base_score"), (F.col("bits") * math.log10(2)).alias("score"), F.when(F.col("n_bytes") > 0, -F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"),
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == HELD_OUT).alias("held_out"), F.col(text).cast("binary").alias("text"))
+    code, size = learn_code(rows)
+    bits, limit = bucket_bits(size), max(1, min(BLOCK_BYTES, size // BLOCKS_AT_LEAST))
+    folder, shared = make_dir(scratch(spark, "blocks")), spark.sparkContext.broadcast(code)
+    sent = rows.mapInArrow(_send(shared, folder, limit, bits), "block string, kind int, bucket long, entries binary")
+    replies = sent.repartition(parts, "kind", "bucket").sortWithinPartitions("kind", "bucket", "block").mapInArrow(_answer, "block string, kind int, bucket long, reply binary")
+    dealt = replies.repartition(parts, "block").sortWithinPartitions("block", "kind", "bucket")
+    scored = materialize(dealt.mapInArrow(_score(shared, folder, bits), SCORED), "scored")
+    total, distinct = scored.filter("kind = 1").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_known"), F.lit(0))).first()
+    ends = rows.filter("not held_out").count()  # an end is a token of each training text
+    total, distinct = total + ends, distinct + (ends > 0)
+    norm, tokens = math.log10(total + 0.5 * (distinct + 1)), F.col("n_tokens") + 1
+    return scored.filter("kind = 0").select(
+        "doc_id", "held_out", tokens.alias("n_tokens"), (F.col("n_known") + int(ends > 0)).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        (F.col("base") + math.log10(ends + 0.5) - tokens * norm).alias("base_score"), (F.col("bits") * math.log10(2)).alias("score"), F.when(F.col("n_bytes") > 0, -F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
