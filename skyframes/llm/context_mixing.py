@@ -5,7 +5,7 @@ frequent pair of bytes before, else one for the byte before. Five contexts have
 over the training documents: the last 2, 3 and 5 bytes of the unit and the byte before it; all of the unit so far; for about three
 letters the word before, then the last 4 bytes. The predictors' log-odds are mixed by weights that a gate
 chooses (how many of the longer contexts have been seen), the weights learn from every bit already coded of the document, 64 bits at a
-time (256 and 1024 further on), and the mixed probability is refined by adaptive counts of its own calibration. The score
+time (128 and 512 further on), and the mixed probability is refined by adaptive counts of its own calibration. The score
 is the log10 probability of the text with an end mark.
 
 Documents are gathered in blocks of either training or held-out texts, each written once to the shared folder. A block sends each of
@@ -44,7 +44,7 @@ BLOCK_BYTES, BLOCKS_AT_LEAST, BUCKET_BYTES, CHUNK_BYTES = 1 << 23, 64, 1 << 22,
 TREES = 1 << 14  # pairs of bytes with less than this part of all have the tree of the byte before
 KEY_BITS, PATH_BITS, FAST_BITS, LETTERS, PAD = 32, 30, 24, 3, 5
 GATES, RATE, PRIOR, START = 4, 1.6, 30.0, (0.1, 0.1, 0.1, 0.4, 0.4)
-SCALE, BUCKETS, APM_PRIOR = 10.0, 33, 12.0
+SCALE, BUCKETS, APM_PRIOR = 8.0, 33, 12.0
 COLUMNS, Y, BIAS = 8, 5, 6  # of a row of a bit: a context each, the bit, a constant, none
 GROUP_BITS, GROUP_TEXTS = 1 << 21, 1024
 SCORED = "kind int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, bits double, n_bytes long"
@@ -233,8 +233,8 @@ class Block:
         yield _mixed((total - np.repeat(total[self.starts], self.lens)) * U64(0x8EBC6AF09C88C6E3) + self.tree)
         yield _mixed(four[self._at])
 
-    def entries(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(of each entry the place of one of its occurrences, how often it occurs, of each byte the entry).
+    def entries(self, h: np.ndarray, counted: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(of each entry the place of one of its occurrences, how often it occurs if ``counted``, else of each byte the entry).
 
         An entry is a context with a symbol; they are ordered by the highest bits of the context's hash, then the symbol's path. Up to 2^24
         bytes the sorted numbers hold the place itself and 32 bits or more of the hash.
@@ -258,9 +258,11 @@ class Block:
             s, r = h[place], self.ranks[place]
             new = np.concatenate([[True], (s[1:] != s[:-1]) | (r[1:] != r[:-1])])
         at = np.flatnonzero(new)
+        if counted:
+            return place[at], np.add.reduceat(self.weights[place], at)
         mine = np.empty(n, np.int32)
         mine[place] = np.cumsum(new, dtype=np.int32) - np.int32(1)
-        return place[at], np.add.reduceat(self.weights[place], at), mine
+        return place[at], mine
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(keys of words before, paths of first letters, how often they occur together, of each unit of the texts the pair)."""
@@ -355,7 +357,7 @@ def messages(texts: list[bytes], training: bool, code: Code, bits: list[int]) ->
             yield kind, bucket, pack((h[a:e] << U64(bits[kind])) >> U64(64 - KEY_BITS), path[a:e], n[a:e])
 
     for k, h in enumerate(block.contexts()):
-        first, n, _ = block.entries(h)
+        first, n = block.entries(h, True)
         yield from split(k, h[first], block.paths[first], n)
     yield from split(PAIRS, *block.pairs()[:3])
     buckets, units, of = block.words(bits[WORDS])
@@ -377,25 +379,27 @@ class _Depths:
         self.at = at = self.at[self.lens[self.at] > depth]
         x, n = self.numbers[at], self.counts[at]
         node = x >> U64(PATH_BITS - depth)
-        new = np.empty(len(at), bool)
-        new[0] = True
+        new = np.ones(len(at), bool)
         np.not_equal(node[1:], node[:-1], out=new[1:])
         if self.cut is not None:
             cut = self.cut[at]
             new[1:] |= cut[1:] != cut[:-1]
         starts = np.flatnonzero(new)
         ones = n * (x >> U64(PATH_BITS - 1 - depth) & U64(1)).astype(np.int64)
-        all_, one = np.add.reduceat(n, starts), np.add.reduceat(ones, starts)
+        all_, one = (np.add.reduceat(v, starts) if len(v) else v for v in (n, ones))
         return at, np.cumsum(new) - 1, starts, all_ - one, one
 
 
 def answers(packed: list[bytes]) -> list[bytes]:
-    """For the blocks' entries in one bucket: the log-odds at each node of each entry's path by all other blocks' counts, in steps of 1 / SCALE."""
+    """For the blocks' entries in one bucket: the log-odds at each node of each entry's path by all other blocks' counts, in steps of 1 / SCALE.
+
+    A node that no other block has, and those below it, have 0.
+    """
     parts = [unpack(p) for p in packed]
     numbers = np.concatenate([k << U64(PATH_BITS) | p for k, p, _ in parts])
     counts = np.concatenate([n for _, _, n in parts])
     block = np.repeat(np.arange(len(parts), dtype=np.int32), [len(k) for k, _, _ in parts])
-    order = np.argsort(numbers)
+    order = np.argsort(numbers, kind="stable")  # runs in order already
     ordered = numbers[order]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     starts = np.flatnonzero(new)
@@ -403,16 +407,21 @@ def answers(packed: list[bytes]) -> list[bytes]:
     which[order] = np.cumsum(new) - 1
     total, own = _Depths(ordered[starts], np.add.reduceat(counts[order], starts)), _Depths(numbers, counts, block)
     ends = np.cumsum(own.lens, dtype=np.int64)
-    out = np.empty(int(ends[-1]), np.int8)
+    out = np.zeros(int(ends[-1]), np.int8)
     begin = ends - own.lens
     node = np.zeros(len(starts), np.int64)
     for depth in range(int(own.lens.max())):
         at, nodes, _, zeros, ones = total.sums(depth)
         node[at] = nodes
         mine, own_nodes, first, own_zeros, own_ones = own.sums(depth)
+        if not len(mine):
+            break
         theirs = node[which[mine[first]]]
-        odds = np.log((ones[theirs] - own_ones + 0.4) / (zeros[theirs] - own_zeros + 0.4))
-        out[begin[mine] + depth] = np.clip(np.rint(odds * SCALE), -127, 127).astype(np.int8)[own_nodes]
+        zeros, ones = zeros[theirs] - own_zeros, ones[theirs] - own_ones
+        odds = np.clip(np.rint(np.log((ones + 0.4) / (zeros + 0.4)) * SCALE), -127, 127).astype(np.int8)
+        shared = np.flatnonzero((zeros + ones > 0)[own_nodes])
+        own.at = mine = mine[shared]
+        out[begin[mine] + depth] = odds[own_nodes[shared]]
     cuts = ends[np.cumsum([len(k) for k, _, _ in parts]) - 1].tolist()
     packer = zstandard.ZstdCompressor(level=1)
     return [packer.compress(out[a:b].tobytes()) for a, b in itertools.pairwise([0, *cuts])]
@@ -447,7 +456,7 @@ def mix_costs(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     first = (np.arange(n_texts, dtype=np.int32) * (GATES * BUCKETS) + BUCKETS // 2)[:, None]
     out, at, top, half = np.zeros(n_texts), 0, np.float32(12), np.float32(BUCKETS // 2)
     while at < longest:
-        step = 64 if at < 4096 else 256 if at < 32768 else 1024
+        step = 64 if at < 2048 else 128 if at < 8192 else 512
         live = int(np.searchsorted(-sizes, -at, side="left"))
         raw = rows[:live, at : at + step]
         width = raw.shape[1]
@@ -498,9 +507,12 @@ def mix_costs(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         curve[:live] += (chosen @ p[:, :, None]) * (np.einsum("ijk,ijk->ij", x, x) / np.float32(width))[:, None, :]
         chosen *= error[:, None, :]
         weights[:live] += RATE * (chosen @ x.transpose(0, 2, 1)) / curve[:live]
-        took, bits = (bucket.ravel(), y.ravel()) if inside is None else (bucket[inside], y[inside])
-        hits[:some] += np.bincount(took, weights=bits, minlength=some)
-        seen[:some] += np.bincount(took, minlength=some)
+        bucket += bucket
+        bucket += y.astype(np.int32)
+        took = np.bincount(bucket.ravel() if inside is None else bucket[inside], minlength=2 * some).reshape(-1, 2)
+        hits[:some] += took[:, 1]
+        seen[:some] += took[:, 0]
+        seen[:some] += took[:, 1]
     return out
 
 
@@ -511,15 +523,15 @@ def unit_rows(block: Block, replies: list[np.ndarray]) -> tuple[np.ndarray, np.n
     rows = np.zeros((int(ends[-1]), COLUMNS), np.int8)
     small = np.int32 if len(rows) < 1 << 31 else np.int64
     within = np.arange(len(rows), dtype=small) - np.repeat((ends - lens).astype(small), lens)
+    rows[:, Y] = np.repeat(block.paths, lens) >> (PATH_BITS - 1 - within).astype(np.uint32) & np.uint32(1)
+    rows[:, BIAS] = 3
     for k, h in enumerate(block.contexts()):
-        first, _, mine = block.entries(h)
+        first, mine = block.entries(h, False)
         n = lens[first]
         to = np.cumsum(n)
         if to[-1] != len(replies[k]):
             raise ValueError("a block's texts changed between reads")
         rows[:, k] = replies[k].take(np.repeat((to - n).astype(small).take(mine), lens) + within)
-    rows[:, Y] = np.repeat(block.paths, lens) >> (PATH_BITS - 1 - within).astype(np.uint32) & np.uint32(1)
-    rows[:, BIAS] = 3
     bits = np.add.reduceat(lens, block.starts)
     return rows, np.cumsum(bits) - bits, bits
 
@@ -646,7 +658,7 @@ def _send(shared, folder: str, limit: int, bits: list[int]):
         rows = ((i, h, t or b"") for b in batches for i, h, t in zip(*(c.to_pylist() for c in b.columns), strict=True))
         for seq, (out, block) in enumerate(blocks_of(rows, limit)):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, BLOCK_SCHEMA, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, BLOCK_SCHEMA, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
                 w.write_batch(pa.record_batch([pa.array([r[0] for r in block], pa.int64()), pa.array([r[2] for r in block], pa.binary())], schema=BLOCK_SCHEMA))
             data = sink.getvalue()
             name = f"{TaskContext.get().partitionId()}-{seq}-{'held' if out else 'train'}-{zlib.crc32(data):08x}"
@@ -674,6 +686,25 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 500]), pa.array([kind] * n, pa.int32()), pa.array([bucket] * n, pa.int64()), pa.array(replies[i : i + 500], pa.binary())], ["block", "kind", "bucket", "reply"])
 
 
+def _score_block(uri: str, held: bool, kinds: list[int], packed: list[bytes], code: Code, bits: list[int]) -> list[tuple]:
+    """Rows of SCORED of a block's texts."""
+    unpacker = zstandard.ZstdDecompressor()
+    by: list[list[np.ndarray]] = [[] for _ in FEWER]
+    for k, x in zip(kinds, packed, strict=True):  # in the order of buckets
+        by[k].append(np.frombuffer(unpacker.decompress(x), np.int8))
+    store, path = open_store(uri)
+    with store.open_input_file(path) as f:
+        table = pa.ipc.open_stream(f).read_all()
+    ids, texts = table["doc_id"].to_pylist(), table["text"].to_pylist()
+    del table
+    sizes = [len(x) for x in texts]
+    block = Block(texts, code)
+    del texts
+    words = score_words(block, [_column(x.reshape(8, -1), np.int64) for x in by[WORDS]], bits[WORDS])
+    costs = score_texts(block, [np.concatenate(x) for x in by[:WORDS]])
+    return [(0, i, held, *row, size) for i, size, *row in zip(ids, sizes, *(x.tolist() for x in (*words, costs)), strict=True)]
+
+
 def _score(shared, folder: str, bits: list[int]):
     """Scores each block by the replies to it; as kind 1, the numbers of tokens and of distinct tokens."""
 
@@ -686,18 +717,9 @@ def _score(shared, folder: str, bits: list[int]):
             if not name:
                 yield batch([(1, None, None, int.from_bytes(x[:8], "little"), int.from_bytes(x[8:], "little"), None, None, None) for x in t["reply"].to_pylist()])
                 continue
-            unpacker = zstandard.ZstdDecompressor()
-            by: list[list[np.ndarray]] = [[] for _ in FEWER]
-            for k, x in zip(t["kind"].to_pylist(), t["reply"].to_pylist(), strict=True):  # in the order of buckets
-                by[k].append(np.frombuffer(unpacker.decompress(x), np.int8))
-            store, path = open_store(f"{folder}/{name}")
-            with store.open_input_file(path) as f:
-                block = pa.ipc.open_stream(f).read_all()
-            texts, ids = block["text"].to_pylist(), block["doc_id"].to_pylist()
-            block = Block(texts, shared.value)
-            n_tokens, n_known, base = score_words(block, [_column(x.reshape(8, -1), np.int64) for x in by[WORDS]], bits[WORDS])
-            costs = score_texts(block, [np.concatenate(x) for x in by[:WORDS]])
-            yield batch([(0, i, "-held-" in name, *row, len(x)) for i, x, *row in zip(ids, texts, n_tokens.tolist(), n_known.tolist(), base.tolist(), costs.tolist(), strict=True)])
+            kinds_of, packed = t["kind"].to_pylist(), t["reply"].to_pylist()
+            del t
+            yield batch(_score_block(f"{folder}/{name}", "-held-" in name, kinds_of, packed, shared.value, bits))
 
     return run
 
