@@ -1,9 +1,13 @@
 """Main text of web pages, with site templates removed.
 
-A first pass parses every page and hashes its element subtrees; Spark counts on how many different pages of a
-host each hash occurs; subtrees that recur on at least MIN_PAGES and MIN_SHARE of a host's pages are the host's
-template. The share is low, as a host may have many page templates. A page is joined to its own recurring subtrees only. A second pass parses again and drops template subtrees and elements whose tag, role, class or id marks
-them as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments.
+Every page is parsed once, into the lines of its main text, each with the hashes of the block elements that hold it. Spark counts on how
+many different pages of a host each hash occurs; subtrees that recur on at least MIN_PAGES and MIN_SHARE of a host's pages
+are the host's template, and lines in them go. The share is low, as a host may have many page templates. Elements
+whose tag, role, class or id marks them as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader
+comments are dropped in parsing. A class or id marks by itself (``sidebar``) or as a compound of marks and words of place
+(``site-header``, ``ad-slot``); headings, paragraphs and inline elements need a mark by itself, and so do all elements inside an article or a main
+element, where headers stay. The html isn't shuffled: templates go to the pages as a broadcast of bounded size, or
+beyond that by host and page to the lines.
 
 Defined results: null html gives an empty text; null or malformed URLs have no host, so only marks count; equal
 pages of a host count as one, so copies don't make a template; repeated rows give repeated results; an empty table
@@ -23,11 +27,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, materialize, table
 from .url_filters import host_of
 
-MIN_PAGES, MIN_SHARE = 10, 0.1  # with 0.05, repeated lines of articles would go, too
-SCHEMA = "page_id long, url string, text string, n_chars long"
+MIN_PAGES, MIN_SHARE, BROADCAST = 10, 0.1, 1 << 20  # the most template hashes to be broadcast; with 0.05, repeated lines of articles would go, too
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-ATTR = re.compile(r"""(class|id|role|hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
+ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "ul"}
@@ -37,6 +40,10 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 DROPPED = {"nav", "footer", "aside", "form", "script", "style", "noscript", "iframe", "template", "button", "select", "textarea", "svg", "canvas", "object", "audio", "video", "head", "title", "dialog", "menu", "noembed", "noframes", "applet"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 MARKS = {"ad", "ads", "adbox", "adslot", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "sidebar", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "topbar", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal", "overlay", "newsletter", "subscribe", "comment", "comments", "disqus", "respond", "replies", "share", "sharing", "social", "related", "recommended", "widget", "toolbar", "pagination", "pager", "disclaimer"}
+PLACES = {"site", "page", "main", "global", "top", "bottom", "left", "right", "upper", "lower", "inner", "outer", "primary", "secondary", "bar", "box", "area", "list", "wrap", "wrapper", "container", "content", "slot", "unit", "links", "buttons", "posts", "articles", "form", "thread", "block"}
+OWN = {"header", "masthead", "banner"}  # an article's own
+PLAIN = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "span", "a", "b", "i", "em", "strong", "small", "td", "th", "dt", "dd", "blockquote", "pre", "code", "figcaption", "caption", "font", "u", "mark", "q", "cite"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 KEPT = {"html", "body", "main", "article"}
 
 
@@ -48,18 +55,37 @@ class Node:
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[0].lower(): m[1] or m[2] or m[3] for m in ATTR.findall(text)} if text and not text.isspace() else {}
+    """By lower-case name; the first of a name counts."""
+    out: dict[str, str] = {}
+    if text and not text.isspace():
+        for name, a, b, c in ATTR.findall(text):
+            out.setdefault(name.lower(), entities.unescape(a or b or c))
+    return out
 
 
-def _marked(tag: str, attrs: dict[str, str]) -> bool:
+def _names(attrs: dict[str, str]) -> list[str]:
+    return f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
+
+
+def _marked(tag: str, attrs: dict[str, str], inside: bool) -> bool:
+    """Whether an element is none of the main text; ``inside``: whether an article or main element holds it."""
     if tag in DROPPED:
         return True
-    if not attrs or tag in KEPT:
-        return bool(attrs) and tag == "article" and bool(MARKS & {"comment", "comments"} & set(re.split(r"[\s_-]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())))
-    if attrs.get("role", "").lower() in ROLES or "hidden" in attrs:
+    if not attrs or tag in ("html", "body", "main"):
+        return False
+    if tag == "article":
+        return "hidden" in attrs or any({"comment", "comments"} & set(re.split(r"[_-]+", name.lower())) for name in _names(attrs))
+    role = attrs.get("role", "").lower()
+    if role in ROLES and not (inside and role == "banner") or "hidden" in attrs:
         return True
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return bool(MARKS & set(re.split(r"[\s_-]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower())))
+    for name in _names(attrs):
+        parts = re.split(r"[_-]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
+        if name.lower() in MARKS or len(parts) == 1 and parts[0] in MARKS:
+            if not (inside and name.lower() in OWN):
+                return True
+        elif tag not in PLAIN and len(parts) > 1 and (marks := MARKS.intersection(parts) - (OWN if inside else set())) and all(x in MARKS or x in PLACES or x.isdigit() for x in parts) and (not inside or marks):
+            return True
+    return False
 
 
 def parse(page: str) -> Node:
@@ -69,11 +95,13 @@ def parse(page: str) -> Node:
     root = Node("#root", False, False)
     stack, at, size = [root], 0, len(page)
     open_tags: dict[str, int] = {}
+    any_main = [0]  # articles and main elements that are open
 
     def close(depth: int) -> None:
         while len(stack) > depth:
             node = stack.pop()
             open_tags[node.tag] -= 1
+            any_main[0] -= node.main
             stack[-1].holds |= node.holds
             node.digest = xxhash.xxh3_64_intdigest("\x01".join([node.tag, *(f"\x02{x.digest}" if isinstance(x, Node) else " ".join(x.split()) for x in node.parts)]))
 
@@ -110,7 +138,7 @@ def parse(page: str) -> Node:
         if tag == "br":
             stack[-1].parts.append("\n")
             continue
-        drop = _marked(tag, attrs)
+        drop = _marked(tag, attrs, any_main[0] > 0)
         node = Node(tag, drop, not (drop and tag == "article") and (tag in ("article", "main") or attrs.get("role", "").lower() == "main" or attrs.get("itemprop", "").lower() == "articlebody"))
         stack[-1].parts.append(node)
         if tag in VOID:
@@ -121,99 +149,122 @@ def parse(page: str) -> Node:
             continue
         stack.append(node)
         open_tags[tag] = open_tags.get(tag, 0) + 1
+        any_main[0] += node.main
     close(1)
     return root
 
 
-def subtree_hashes(root: Node) -> list[int]:
-    """Signed 64-bit hashes of the distinct block elements that a template may consist of."""
-    out, todo = set(), [root]
-    while todo:
-        node = todo.pop()
-        for x in node.parts:
-            if isinstance(x, Node) and not x.drop:
-                todo.append(x)
-                if x.tag in BLOCK and x.parts and not x.holds and x.tag not in KEPT:
-                    out.add(x.digest - (1 << 64) if x.digest >> 63 else x.digest)
-    return sorted(out)
+def _gone(x: Node) -> bool:
+    return x.drop and not (x.holds and x.tag not in DROPPED)
 
 
-def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
-    """Blocks of the outermost articles (else of the outermost main elements, else of the whole page), joined by spaces."""
-    gone = lambda x: (x.drop and not (x.holds and x.tag not in DROPPED)) or (x.digest - (1 << 64) if x.digest >> 63 else x.digest) in template and not x.holds and x.tag not in KEPT
-    tops: dict[str, list[Node]] = {"article": [], "main": []}
-    todo: list = [(root, False)]
+def _tops(root: Node) -> tuple[list[Node], bool]:
+    """(the elements that hold the main text, in page order; whether these are articles or main elements).
+
+    They are the outermost articles, each main element's headings before its first article with them; else the outermost main elements; else the page.
+    """
+    articles: list[Node] = []
+    mains: list[Node] = []
+    waiting: list[Node] = []  # headings of the main element at hand, until its first article
+    first = None
+    todo: list[tuple[Node | None, Node | None]] = [(root, None)]
     while todo:
-        node, inside = todo.pop()
-        for x in reversed(node.parts):
-            if isinstance(x, Node) and not gone(x) and not (x.tag == "header" and not x.holds):
-                if x.main and (x.tag == "article" or not inside):
-                    tops["article" if x.tag == "article" else "main"].append(x)
-                if x.tag != "article" and x.holds:
-                    todo.append((x, inside or x.main))
-    # a stack visits later siblings last only if pushed in reverse; put tops back in page order
-    chosen = tops["article"] or tops["main"]
-    within, order = bool(chosen), {}
-    if len(chosen) > 1:
-        todo, n = [root], 0
-        while todo:
-            node = todo.pop()
-            order[id(node)] = n = n + 1
-            todo.extend(x for x in reversed(node.parts) if isinstance(x, Node))
-        chosen.sort(key=lambda x: order[id(x)])
-    blocks: list[str] = []
+        x, main = todo.pop()
+        if x.tag == "article" and x.main:
+            articles += [*waiting, x]
+            waiting, first = [], main
+            continue
+        if main is not None and x.tag in HEADINGS and main is not first:
+            waiting.append(x)
+            continue
+        if x.main and main is None:
+            mains.append(x)
+            waiting, main = [], x
+        if x.holds or main is not None:
+            todo.extend((y, main) for y in reversed(x.parts) if isinstance(y, Node) and not _gone(y) and (main is not None or not (y.tag == "header" and not y.holds)))
+    chosen = articles or mains
+    return chosen or [root], bool(chosen)
+
+
+def lines(root: Node) -> list[tuple[str, list[int]]]:
+    """The main text's blocks, white space turned to one space, each with the signed hashes of the elements that hold it and may be of a template."""
+    tops, within = _tops(root)
+    out: list[tuple[str, list[int]]] = []
     held: list[str] = []
+    chain: list[int] = []
 
     def flush() -> None:
         if line := " ".join("".join(held).split()):
-            blocks.append(line)
+            out.append((line, [x - (1 << 64) if x >> 63 else x for x in chain]))
         held.clear()
 
-    for top in chosen or [root]:
+    for top in tops:
         walk: list = [(top, False)]
         while walk:
             x, ended = walk.pop()
             if isinstance(x, str):
                 held.append(x)
                 continue
-            if x.tag in BLOCK:
+            block = x.tag in BLOCK
+            if block:
                 flush()
+            may = block and not x.holds and x.tag not in KEPT
             if ended:
+                if may:
+                    chain.pop()
                 continue
-            if x is not top and (gone(x) or (x.tag == "header" and not within)):
+            if x is not top and (_gone(x) or (x.tag == "header" and not within)):
                 continue
+            if may:
+                chain.append(x.digest)
             walk.append((x, True))
             walk.extend((y, False) for y in reversed(x.parts))
         flush()
-    return " ".join(blocks)
+    return out
 
 
-def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([subtree_hashes(parse(x)) for x in batch.column(2).to_pylist()], pa.list_(pa.int64()))], ["host", "page", "hashes"])
+def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
+    """The lines outside of a template, joined by spaces."""
+    return " ".join(line for line, chain in lines(root) if not template.intersection(chain))
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, page, template): a page's hashes that recur on enough of its host's different pages."""
-    rows = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), F.col("html")).filter("host is not null and html is not null")
-    seen = materialize(rows.mapInArrow(_hash, "host string, page long, hashes array<long>").select("host", "page", F.explode("hashes").alias("hash")).distinct(), "subtrees")
-    found = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    sizes = rows.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
-    template = found.join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
-    return seen.join(template, ["host", "hash"]).groupBy("host", "page").agg(F.collect_list("hash").alias("template"))
+LINES = "array<struct<line:string,chain:array<long>>>"
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("line", pa.string()), ("chain", pa.list_(pa.int64()))]))
     for batch in batches:
-        texts = [main_text(parse(x or ""), frozenset(t or ())) for x, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        found = [[{"line": line, "chain": chain} for line, chain in lines(parse(x or ""))] for x in batch.column(4).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, kind)], ["page_id", "url", "host", "page", "lines"])
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, page, lines), written once; ``page`` is a hash of the html."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
+    return materialize(rows.mapInArrow(_read, f"page_id long, url string, host string, page long, lines {LINES}"), "lines", "zstd")
+
+
+def site_templates(read: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, hash) of subtrees that recur on enough of their host's different pages."""
+    rows = read.filter("host is not null")
+    seen = rows.select("host", "page", F.explode(F.array_distinct(F.flatten("lines.chain"))).alias("hash")).distinct()
+    found = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    sizes = rows.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
+    return found.join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """page_id, url, text and n_chars of every page."""
     bounded_batches(pages.sparkSession)
-    templates = site_templates(pages, min_pages, min_share).withColumnsRenamed({"host": "__host", "page": "__page"})
-    rows = pages.select(F.col("page_id").cast("long"), "url", "html", host_of(F.col("url")).alias("__host"), F.xxhash64("html").alias("__page"))
-    return rows.join(templates, ["__host", "__page"], "left").select("page_id", "url", "html", "template").mapInArrow(_extract, SCHEMA)
+    read = page_lines(pages)
+    templates = materialize(site_templates(read, min_pages, min_share), "templates")
+    if templates.count() <= BROADCAST:
+        rows = read.join(F.broadcast(templates.groupBy("host").agg(F.collect_list("hash").alias("template"))), "host", "left")
+    else:
+        own = read.filter("host is not null").select("host", "page", F.explode(F.array_distinct(F.flatten("lines.chain"))).alias("hash")).distinct()
+        rows = read.join(own.join(templates, ["host", "hash"]).groupBy("host", "page").agg(F.collect_list("hash").alias("template")), ["host", "page"], "left")
+    text = F.when(F.col("template").isNull(), F.array_join("lines.line", " ")).otherwise(F.expr("array_join(transform(filter(lines, x -> not arrays_overlap(x.chain, template)), x -> x.line), ' ')"))
+    return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
