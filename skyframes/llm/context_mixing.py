@@ -46,7 +46,7 @@ KEY_BITS, PATH_BITS, FAST_BITS, LETTERS, PAD = 32, 30, 24, 3, 5
 GATES, RATE, PRIOR, START = 4, 1.6, 30.0, (0.1, 0.1, 0.1, 0.4, 0.4)
 SCALE, BUCKETS, APM_PRIOR = 8.0, 33, 12.0
 COLUMNS, Y, BIAS = 8, 5, 6  # of a row of a bit: a context each, the bit, a constant, none
-GROUP_BITS, GROUP_TEXTS = 1 << 21, 1024
+GROUP_BITS, GROUP_TEXTS, PART_BITS = 1 << 21, 1024, 1 << 17
 SCORED = "kind int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, bits double, n_bytes long"
 U64 = np.uint64
 
@@ -452,7 +452,7 @@ def mix_costs(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     weights = np.tile(np.array([*START, 0], np.float32), (n_texts, GATES, 1))
     curve = np.full(weights.shape, PRIOR, np.float32)
     mid = 1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS // 2) / 2.0))
-    hits, seen = np.tile(mid * APM_PRIOR, n_texts * GATES), np.full(n_texts * GATES * BUCKETS, APM_PRIOR)
+    hits, seen = np.tile((mid * APM_PRIOR).astype(np.float32), n_texts * GATES), np.full(n_texts * GATES * BUCKETS, APM_PRIOR, np.float32)
     first = (np.arange(n_texts, dtype=np.int32) * (GATES * BUCKETS) + BUCKETS // 2)[:, None]
     out, at, top, half = np.zeros(n_texts), 0, np.float32(12), np.float32(BUCKETS // 2)
     while at < longest:
@@ -489,7 +489,7 @@ def mix_costs(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         bucket += gate.astype(np.int32) * np.int32(BUCKETS)
         bucket += first[:live]
         some = live * GATES * BUCKETS
-        fine = (hits[:some] / seen[:some]).astype(np.float32).take(bucket)
+        fine = (hits[:some] / seen[:some]).take(bucket)
         fine += p
         fine *= np.float32(0.5)
         fine += y
@@ -557,13 +557,18 @@ def score_texts(block: Block, replies: list[np.ndarray]) -> np.ndarray:
         group = order[at : at + n_texts]
         at += len(group)
         padded = np.zeros((len(group), int(sizes[group[0]])), np.int64)
-        for i, t in enumerate(group.tolist()):
-            units = block.unit[begin[t] : block.text_units[t]]
-            mine = rows.take(_spread(unit_starts[units], unit_bits[units]))
-            n = block.first_bits[units]
-            bits = unit_bits[units]
-            mine.view(np.int8).reshape(-1, COLUMNS)[_spread(np.cumsum(bits) - bits, n), FOUR] = replies[PAIRS].take(_spread(pair_starts[pair[begin[t] : block.text_units[t]]], n))
-            padded[i, : len(mine)] = mine
+        to = np.cumsum(sizes[group])
+        cuts = [0, *(np.flatnonzero(np.diff(to // PART_BITS)) + 1).tolist(), len(group)]
+        for a, b in itertools.pairwise(cuts):
+            some = group[a:b]
+            mine = _spread(begin[some], block.text_units[some] - begin[some])
+            units = block.unit[mine]
+            bits, n = unit_bits[units], block.first_bits[units]
+            flat = rows.take(_spread(unit_starts[units], bits))
+            flat.view(np.int8).reshape(-1, COLUMNS)[_spread(np.cumsum(bits) - bits, n), FOUR] = replies[PAIRS].take(_spread(pair_starts[pair[mine]], n))
+            ends = np.cumsum(sizes[some]).tolist()
+            for i, (x, y) in enumerate(itertools.pairwise([0, *ends])):
+                padded[a + i, : y - x] = flat[x:y]
         out[group] = mix_costs(padded.view(np.int8).reshape(len(group), -1, COLUMNS), sizes[group])
     return out
 

@@ -177,14 +177,6 @@ def test_scores(spark, odd):
     assert context_mixing.score(odd.limit(0)).count() == 0
 
 
-def test_rare_words_go_through_the_join(spark, monkeypatch):
-    d = documents(spark, [text(i, 50) for i in range(30)])
-    want = {r["doc_id"]: (r["base_score"], r["n_known"]) for r in context_mixing.score(d).collect()}
-    monkeypatch.setattr(context_mixing, "FREQUENT", 3)
-    for r in context_mixing.score(d).collect():
-        assert abs(r["base_score"] - want[r["doc_id"]][0]) < 1e-9 and r["n_known"] == want[r["doc_id"]][1]
-
-
 def test_held_out_text_beats_the_base(spark):
     def chain(seed):  # each word tells the next but for one in ten
         rng, w, out = np.random.default_rng(seed), 0, []
@@ -198,61 +190,168 @@ def test_held_out_text_beats_the_base(spark):
     assert s[0] > s[1] and s[2] < 1.2
 
 
+def code_of(texts):
+    data = np.frombuffer(b"".join(b"\0\0" + t + b"\0" for t in texts), np.uint8).astype(int)
+    alone = np.bincount(data[:-1] * 256 + data[1:], minlength=1 << 16).reshape(256, 256)
+    pairs = {}
+    for a, b, c in zip(data, data[1:], data[2:]):
+        pairs.setdefault(int(a << 8 | b), np.zeros(256, int))[c] += 1
+    return context_mixing.Code(alone, {k: v for k, v in pairs.items() if v.sum() > 40})
+
+
+def replies_to(blocks, code, bits):
+    """Each block's replies by kind, as the buckets give them."""
+    import zstandard
+
+    sent = {}
+    for i, (training, texts) in enumerate(blocks):
+        for kind, bucket, packed in context_mixing.messages(texts, training, code, bits):
+            sent.setdefault((kind, bucket), []).append((i, packed))
+    out = [[[] for _ in context_mixing.FEWER] for _ in blocks]
+    for (kind, _), rows in sorted(sent.items()):
+        found = context_mixing.word_answers([x for _, x in rows])[0] if kind == context_mixing.WORDS else context_mixing.answers([x for _, x in rows])
+        for (i, _), x in zip(rows, found, strict=True):
+            out[i][kind].append(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int8))
+    return [[np.concatenate(x) for x in found[: context_mixing.WORDS]] for found in out]
+
+
+def plain_bits(t, code):
+    """(bit, its context nodes by column) of a text, by the docstring."""
+    data, out, unit, before, word = t + b"\0", [], b"", b"", b""
+    prev = 0
+    for at, c in enumerate(data):
+        back = b"\0\0\0\0" + bytes([prev]) + unit
+        tree = prev if not unit else int(code.tree[back[-2] << 8 | back[-1]])
+        n, bits = int(code.lens[tree << 8 | c]), int(code.codes[tree << 8 | c])
+        path = tuple(bits >> (n - 1 - k) & 1 for k in range(n))
+        if not unit:
+            first, open_ = (), True
+        open_ = open_ and len(unit) < context_mixing.LETTERS and (not unit or len(first) + n < context_mixing.PATH_BITS)
+        for k, bit in enumerate(path):
+            near = ("pair", before, first + path[:k]) if open_ else ("four", back[-4:], path[:k])
+            out.append((bit, [(i, back[-i:], path[:k]) for i in (2, 3, 5)] + [("unit", tree, unit, path[:k]), near], ("four", back[-4:], path[:k])))
+        if open_:
+            first += path
+        unit += bytes([c])
+        if c in b" \t\n\r\x0b\x0c" or at == len(data) - 1:
+            before, unit, prev = (unit[:-1] or before), b"", c
+    return out
+
+
+def plain_score(bits, odds):
+    """log2 probability, a bit at a time; what is learnt of a step is used from the next step on."""
+    cm = context_mixing
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    w = [[*cm.START, 0.0] for _ in range(cm.GATES)]
+    curve = [[cm.PRIOR] * 6 for _ in range(cm.GATES)]
+    hits = [[sigmoid((b - cm.BUCKETS // 2) / 2) * cm.APM_PRIOR for b in range(cm.BUCKETS)] for _ in range(cm.GATES)]
+    seen = [[cm.APM_PRIOR] * cm.BUCKETS for _ in range(cm.GATES)]
+    total, at = 0.0, 0
+    while at < len(bits):
+        step = 64 if at < 2048 else 128 if at < 8192 else 512
+        slope, sway, took = [[0.0] * 6 for _ in w], [0.0] * len(w), []
+        square = [0.0] * 6
+        width = min(step, len(bits) - at)
+        for y, o in zip(bits[at : at + step], odds[at : at + step]):
+            x = [v / cm.SCALE for v in o] + [3 / cm.SCALE]
+            g = sum(v != 0 for v in o[2:])
+            z = max(-12.0, min(12.0, sum(a * b for a, b in zip(w[g], x))))
+            p = sigmoid(z)
+            b = int(max(0, min(cm.BUCKETS - 1, np.rint(np.float32(2 * z)) + cm.BUCKETS // 2)))
+            fine = (p + hits[g][b] / seen[g][b]) / 2
+            total += math.log2(max(1e-6, fine if y else 1 - fine))
+            took.append((g, b, y))
+            sway[g] += p * (1 - p)
+            for k in range(6):
+                slope[g][k] += (y - p) * x[k]
+                square[k] += x[k] * x[k] / width
+        for g in range(len(w)):
+            for k in range(6):
+                curve[g][k] += sway[g] * square[k]
+                w[g][k] += cm.RATE * slope[g][k] / curve[g][k]
+        for g, b, y in took:
+            hits[g][b] += y
+            seen[g][b] += 1
+        at += step
+    return total
+
+
+def test_scores_equal_a_plain_model():
+    """Counts, cross-fitting by block and mixing against dictionaries and loops."""
+    rng = np.random.default_rng(9)
+    texts = [text(i, 60).encode() for i in range(8)] + [b"", b"x" * 700, "é ü  ab\n\ncd".encode() * 20, bytes(rng.integers(0, 256, 300, dtype=np.uint8)), b"alpha beta " * 300]
+    texts += [texts[0]]  # a copy, in another block
+    blocks = [(True, texts[:5]), (True, texts[5:10]), (False, texts[10:12]), (True, texts[12:])]
+    code = code_of([t for training, ts in blocks if training for t in ts])
+    counts = [{} for _ in blocks]
+    for own, (training, ts) in zip(counts, blocks, strict=True):
+        for t in ts if training else ():
+            for bit, nodes, four in plain_bits(t, code):
+                for node in {*nodes, four}:
+                    own.setdefault(node, [0, 0])[bit] += 1
+
+    def odds(node, block):
+        zeros, ones = (sum(c.get(node, (0, 0))[k] for i, c in enumerate(counts) if i != block) for k in (0, 1))
+        return max(-127, min(127, int(np.rint(math.log((ones + 0.4) / (zeros + 0.4)) * context_mixing.SCALE))))
+
+    for bits in ([0] * 7, [2, 0, 3, 1, 0, 2, 1]):
+        for b, ((_, ts), found) in enumerate(zip(blocks, replies_to(blocks, code, bits), strict=True)):
+            got = context_mixing.score_texts(context_mixing.Block(ts, code), found)
+            for t, x in zip(ts, got.tolist(), strict=True):
+                rows = plain_bits(t, code)
+                want = plain_score([r[0] for r in rows], [[odds(n, b) for n in r[1]] for r in rows])
+                assert abs(x - want) < 2e-3 * max(1, abs(want)), (t[:20], x, want)
+
+
+def test_codes_and_entries():
+    code = code_of([text(i, 80).encode() for i in range(4)])
+    for tree in range(len(code.lens) // 256):
+        assert abs(sum(2.0 ** -code.lens[256 * tree : 256 * tree + 256].astype(float)) - 1) < 1e-9
+    assert code.lens.max() <= 21
+    keys, path, n = np.array([5, 5, 9], np.uint64), np.array([3, 1 << 29, 7], np.uint32), np.array([1, 0, 70000])
+    assert all(np.array_equal(a, b) for a, b in zip(context_mixing.unpack(context_mixing.pack(keys, path, n)), (keys, path, n), strict=True))
+    assert context_mixing.path_lengths(np.array([1 << 29, 1, 3 << 28], np.uint32)).tolist() == [0, 29, 1]
+    assert context_mixing.unpack_words(context_mixing.pack_words([b"a", b"bc"], np.array([3, 4])))[0] == [b"a", b"bc"]
+    # the slower order of very many bytes gives the same entries
+    block = context_mixing.Block([text(i, 300).encode() for i in range(3)], code)
+    h = next(block.contexts())
+    fast = block.entries(h, True)
+    bits, context_mixing.FAST_BITS = context_mixing.FAST_BITS, 1
+    try:
+        assert sorted(zip(h[fast[0]].tolist(), block.ranks[fast[0]].tolist(), fast[1].tolist())) == sorted(zip(*((h[a].tolist(), block.ranks[a].tolist(), b.tolist()) for a, b in [block.entries(h, True)]).__next__()))
+    finally:
+        context_mixing.FAST_BITS = bits
+
+
 def test_probabilities_of_all_continuations_sum_to_one():
     """With the end mark, the shares of all one-byte texts and their extensions can't exceed 1."""
-    data = np.frombuffer(b"\0abcabcab\0", np.uint8).astype(int)
-    code = context_mixing.Code(np.bincount(data[:-1] * 256 + data[1:], minlength=1 << 16).reshape(256, 256))
-    assert all(abs(sum(2.0 ** -int(n) for n in code.lens[256 * b : 256 * b + 256]) - 1) < 1e-12 for b in range(256))
-    odds = np.zeros((context_mixing.N_CONTEXTS, 1 << context_mixing.SLOT_BITS), np.int8)
-    total = sum(2**x for x in context_mixing.score_texts([bytes([b]) for b in range(1, 256)] + [b""], code, odds))
-    assert total <= 1 + 1e-6
+    texts = [bytes([b]) for b in range(1, 256)] + [b""]
+    code = code_of([b"abcabcab"])
+    blocks = [(False, texts), (True, [b"abcabcab"])]
+    got = context_mixing.score_texts(context_mixing.Block(texts, code), replies_to(blocks, code, [0] * 7)[0])
+    assert sum(2.0**x for x in got.tolist()) <= 1 + 1e-6
 
 
-def test_context_counts_are_exact(spark, monkeypatch):
-    rng = np.random.default_rng(5)
-    texts = ["".join(map(chr, rng.choice(np.frombuffer(b"abcdefgh ", np.uint8), 60_000))).encode() for _ in range(4)]
-    data = np.frombuffer(b"\0".join([b"", *texts, b""]), np.uint8).astype(int)
-    code = context_mixing.Code(np.bincount(data[:-1] * 256 + data[1:], minlength=1 << 16).reshape(256, 256))
-    want: dict[tuple, list[int]] = {}  # (word before, word so far, byte before, path) to zeros and ones
-    for t in texts:
-        before, word, last = b"", b"", 0
-        for c in t + b"\0":
-            at = int(code.starts[256 * last + c])
-            path = code.bits[at : at + int(code.lens[256 * last + c])].tolist()
-            for i, bit in enumerate(path):
-                want.setdefault((before, word, last, tuple(path[:i])), [0, 0])[bit] += 1
-            last = c
-            if c in b" \0":
-                before, word = word or before, b""
-            else:
-                word += bytes([c])
-    packed = [context_mixing._pack(*context_mixing.entries([(t, True)], code)[-1]) for t in texts]
-    keys = [context_mixing._unpack(p)[0] for p in packed]
-    assert len(np.unique(np.concatenate(keys) >> np.uint64(1))) == len(want)  # 2^22 slots would be shared
-    sent = {int(k): int(o) for ks, x in zip(keys, context_mixing.answers(packed), strict=True) for k, o in zip(ks >> np.uint64(1), np.frombuffer(x, np.int8), strict=True)}
-    odds = lambda z, o: max(-127, min(127, round(math.log((o + 0.4) / (z + 0.4)) * context_mixing.SCALE)))
-    assert sorted(sent.values()) == sorted(odds(*c) for c in want.values())
-    d = documents(spark, [text(i, 80) for i in range(40)] + ODD)
-    whole = sorted((r["doc_id"], r["score"]) for r in context_mixing.score(d).collect())
-    monkeypatch.setattr(context_mixing, "BLOCK_BYTES", 2000)
-    monkeypatch.setattr(context_mixing, "BUCKET_BYTES", 1000)
-    assert np.allclose(whole, sorted((r["doc_id"], r["score"]) for r in context_mixing.score(d).collect()))
-
-
-def test_mixer_learns_from_every_bit():
-    def learned(skipped):
-        rng = np.random.default_rng(1)
-        odds = rng.normal(size=(256, context_mixing.N_CONTEXTS + 1)).astype(np.float32)
-        bits = rng.integers(0, 2, 256).astype(np.uint8)
-        bits[skipped] ^= 1
-        m = context_mixing.Mixer()
-        m.cost(odds, bits)
-        return m
-
-    one, other = learned([]), learned([1])
-    assert not np.array_equal(one.weights, other.weights) and not np.array_equal(one.hits, other.hits)
-    assert one.seen.sum() - len(one.seen) * context_mixing.APM_PRIOR == 256
-    assert len(context_mixing.contexts(np.zeros(9, np.uint8), np.zeros(9, np.int64))) == context_mixing.N_CONTEXTS == 5
+def test_copies_score_apart(spark):
+    rng = np.random.default_rng(4)
+    own = lambda: " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(60))
+    texts = [own() for _ in range(60)]
+    got = {r["doc_id"]: r["bits_per_byte"] for r in context_mixing.score(documents(spark, texts + texts[:5])).collect()}
+    train = [i for i in range(5) if all(zlib.crc32(str(x).encode()) % 5 != 1 for x in (i, 60 + i))]
+    assert train and max(got[i] for i in train) < 0.7 * min(got[i] for i in range(5, 60))
+
+
+def test_long_text_and_small_blocks(spark, monkeypatch):
+    d = documents(spark, [text(i, 200) for i in range(30)] + [text(99, 60_000), None, ""])
+    assert context_mixing.score(d).count() == 33
+    monkeypatch.setattr(context_mixing, "GROUP_BITS", 1000)
+    monkeypatch.setattr(context_mixing, "CHUNK_BYTES", 100)
+    code = code_of([text(1, 50).encode()])
+    few = [text(i, 40).encode() for i in range(5)] + [b""]
+    blocks = [(True, few), (True, [text(7, 90).encode()])]
+    small = context_mixing.score_texts(context_mixing.Block(few, code), replies_to(blocks, code, [1] * 7)[0])
+    monkeypatch.undo()
+    assert np.allclose(small, context_mixing.score_texts(context_mixing.Block(few, code), replies_to(blocks, code, [1] * 7)[0]), rtol=1e-5)
 
 
 # ---- vectors
@@ -417,6 +516,21 @@ def test_main_text():
     assert extract("<div>" * 5000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ('<article><div aria-hidden="false">keep me</div></article>', "keep me"), ('<article><p title="the hidden valley">keep me</p></article>', "keep me"),
+    ('<article><p data-id="comments">keep me</p></article>', "keep me"), ('<article><p class=a data-x="class=menu">k</p></article>', "k"),
+    ('<article><h2 class="section-header">keep</h2><p class="share-price">me</p></article>', "keep me"),
+    ("<main><h1>Title</h1><article>a</article><h2>Related</h2></main>", "Title a"), ("<main>A</main><main>B</main>", "A B"),
+    ("<main><header><h1>T</h1></header><article>a</article><article>b</article></main>", "T a b"),
+    ('<body><div class="site-header">x</div><h2 class="section-header">k</h2><div class="ad-slot">x</div><div class="shareholders">y</div></body>', "k y"),
+    ('<article>a<div class="comments">x</div><div id="comment-list">x</div><div class="header">h</div><section class="page-header">g</section></article>', "a h g"),
+    ('<body><article class="comment">x</article><article>a</article></body>', "a"), ("<article hidden>x</article><p>y</p>", "y"),
+    ("<main><h1>T</h1><p>x</p></main>", "T x"), ("<header><h1>Site</h1></header><p>x</p>", "x"), ('<p class="notice">n</p><p>x</p>', "x"), ('<div CLASS = sideBar>n</div><p>x</p>', "x"),
+])
+def test_marks_are_whole_names(page, want):
+    assert extract(page) == want
+
+
 def test_all_main_elements_stay():
     assert extract('<p>x</p><div itemprop="articleBody"><p>A</p></div><p>y</p><div itemprop="articleBody"><p>B</p></div>') == "A B"
     assert extract('<main><div itemprop="articleBody">A</div>B</main><p>y</p><div role="main">C</div>') == "A B C"
@@ -431,6 +545,20 @@ def test_site_templates_go(spark):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_only_counts_tell_templates(spark, monkeypatch, most):
+    """No element has a mark; a brute-force count of the blocks decides, whether templates are broadcast or joined."""
+    monkeypatch.setattr(html_extraction, "BROADCAST", most)
+    block = lambda i, k: f"block {k} {i if k % 2 else i % 4}"
+    rows = [(i, f"http://{'ab'[i % 2]}.com/{i}", "<article>" + "".join(f"<div><p>{block(i, k)}</p></div>" for k in range(6)) + "</article>") for i in range(80)] + [(80, "http://b.com/1", None)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    pages = {host: [i for i in range(80) if i % 2 == host] for host in (0, 1)}
+    for i in range(80):
+        often = lambda x: sum(x in {block(j, k) for k in range(6)} for j in pages[i % 2])  # noqa: B023, E731
+        assert got[i] == " ".join(x for x in (block(i, k) for k in range(6)) if often(x) < max(10, 0.1 * len(pages[i % 2])))
+    assert got[80] == "" and len(got) == 81
+
+
 def test_templates_of_mixed_hosts_go(spark):
     rows = [(i, f"http://a.com/{i}", f"<body><div>Section {i % 3} offers</div><p>{text(i, 20)}</p></body>") for i in range(60)]
     got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
