@@ -164,7 +164,8 @@ class Block:
         self.code_lens, codes, self.ranks = code.lens.take(symbol), code.codes.take(symbol), code.ranks.take(symbol)
         self.paths = paths(codes, self.code_lens)
         self.tree = tree
-        self._padded, self._at = buffer, at
+        # the 8 bytes before each byte, the nearest one highest
+        self._back = np.ndarray(len(buffer), "<u8", b"\x00" * 8 + buffer.tobytes(), strides=(1,))[at]
         # the first letters in one path
         self.first_paths, self.first_bits = self._first_letters(codes)
         # the word before, of each unit within its text
@@ -216,22 +217,14 @@ class Block:
 
     def contexts(self) -> Iterator[np.ndarray]:
         """64-bit hashes of one context after another, of each byte of the distinct units."""
-        d = self._padded.astype(U64)
-
-        def back(x: np.ndarray, k: int) -> np.ndarray:
-            x[k:] |= d[:-k] << U64(8 * k)
-            return x
-
-        two = back(back(np.ones(len(d), U64), 1), 2)
-        yield _mixed(two[self._at])
-        three = back(two, 3)
-        yield _mixed(three[self._at])
-        four = back(three.copy(), 4)
-        yield _mixed(back(four.copy(), 5)[self._at])
+        back = self._back
+        yield _mixed(back >> U64(48) | U64(1 << 60))
+        yield _mixed(back >> U64(40) | U64(2 << 60))
+        yield _mixed(back >> U64(24) | U64(3 << 60))
         value = BYTES.take(self.bytes) * self._powers(int(self.lens.max())).take(self.local)
         total = np.cumsum(value, dtype=U64) - value
         yield _mixed((total - np.repeat(total[self.starts], self.lens)) * U64(0x8EBC6AF09C88C6E3) + self.tree)
-        yield _mixed(four[self._at])
+        yield _mixed(back >> U64(32) | U64(4 << 60))
 
     def entries(self, h: np.ndarray, counted: bool) -> tuple[np.ndarray, np.ndarray]:
         """(of each entry the place of one of its occurrences, how often it occurs if ``counted``, else of each byte the entry).
@@ -421,6 +414,9 @@ def answers(packed: list[bytes]) -> list[bytes]:
         odds = np.clip(np.rint(np.log((ones + 0.4) / (zeros + 0.4)) * SCALE), -127, 127).astype(np.int8)
         shared = np.flatnonzero((zeros + ones > 0)[own_nodes])
         own.at = mine = mine[shared]
+        needed = np.zeros(len(nodes) and int(nodes[-1]) + 1, bool)
+        needed[theirs[own_nodes[shared]]] = True
+        total.at = at[needed[nodes]]
         out[begin[mine] + depth] = odds[own_nodes[shared]]
     cuts = ends[np.cumsum([len(k) for k, _, _ in parts]) - 1].tolist()
     packer = zstandard.ZstdCompressor(level=1)
