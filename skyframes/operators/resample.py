@@ -106,6 +106,11 @@ def pad_or_cut(pixels: DataFrame, old: int, new: int) -> DataFrame:
         raise ValueError("sizes must have the same parity")
     d = (new - old) // 2
     moved = pixels.withColumns({"row": F.col("row") + d, "col": F.col("col") + d})
+    if new > old:
+        spark = pixels.sparkSession
+        ring = spark.range(new * new).select((F.col("id") % new).cast("int").alias("row"), F.floor(F.col("id") / new).cast("int").alias("col")).filter(~(F.col("row").between(d, d + old - 1) & F.col("col").between(d, d + old - 1)))
+        others = [c for c in pixels.columns if c not in ("row", "col", "value")]
+        return moved.unionByName(pixels.select(*others).distinct().crossJoin(F.broadcast(ring)).withColumn("value", F.lit(0.0)))
     return moved.filter(F.col("row").between(0, new - 1) & F.col("col").between(0, new - 1))
 
 
@@ -130,3 +135,46 @@ def inject_template(stack: DataFrame, template, sources: list[tuple[float, float
             yield p.assign(pixels=out)
 
     return stack.mapInPandas(run, stack.schema)
+
+
+def inject_templates(stack: DataFrame, sources: list[tuple[float, float, float]], size: int) -> DataFrame:
+    """Like ``inject_template``, each frame with a template of its own (columns template, template_rows; not larger than the frame)."""
+    import numpy as np
+
+    from ..kernels import images
+
+    def run(batches):
+        for p in batches:
+            out = []
+            for values, derot, scale, template, n in zip(p["pixels"], p["derot"], p["scale"], p["template"], p["template_rows"], strict=True):
+                pad = size - n
+                if pad < 0 or pad % 2:
+                    raise ValueError("a template's size must have the frames' parity and not exceed theirs")
+                source = np.pad(np.array(template, float).reshape(n, n).T, pad // 2)
+                frame = np.array(values, float).reshape(size, size).T.copy()
+                for sep, pa, contrast in sources:
+                    a = derot - np.radians(pa)
+                    frame += scale * contrast * np.nan_to_num(images.shift(source, sep * np.sin(a), sep * np.cos(a)))
+                out.append(frame.T.ravel())
+            yield p.assign(pixels=out)
+
+    return stack.mapInPandas(run, stack.schema)
+
+
+def trial_frames(stack: DataFrame, template, trials: list[tuple[float, float, float]], size: int) -> DataFrame:
+    """(.., trial): each frame (derot, pixels, ...) once for each trial, less the template moved to the trial's (separation, position angle, contrast)."""
+    import numpy as np
+
+    from ..kernels import images
+
+    def run(batches):
+        for p in batches:
+            for i, (sep, pa, contrast) in enumerate(trials):
+                out = []
+                for values, derot in zip(p["pixels"], p["derot"], strict=True):
+                    a = derot - np.radians(pa)
+                    frame = np.array(values, float).reshape(size, size).T - contrast * np.nan_to_num(images.shift(template, sep * np.sin(a), sep * np.cos(a)))
+                    out.append(frame.T.ravel())
+                yield p.assign(pixels=out, trial=i)
+
+    return stack.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stack.schema.fields) + ", trial int")

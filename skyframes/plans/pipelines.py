@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -91,17 +92,47 @@ def finalize(residual: DataFrame, angles: DataFrame, geo: DataFrame, size: int,
     return done.select("seq.seq", "seq.mode_idx", "row", "col", "value", "n_good", "n_total")
 
 
-def principal_residuals(spark: SparkSession, pixels: DataFrame, stack: DataFrame, size: int, wanted: DataFrame, modes: list[int], centring: str = "image_mean", exclude: str = "none", least: float = 0.0, most: float = 0.0, include: str = "all", n_references: int = 0, radius: float = 1.0, mask: DataFrame | None = None, library: DataFrame | None = None, exclude_radius: float = 0.0) -> DataFrame:
-    """Residuals of preprocessed pixels by region; ``stack`` (seq, frame_idx, pixels, angle, mjd) serves to choose references."""
+def region_frames(inside: DataFrame, stack: DataFrame, centring: str, normalize: bool = False) -> DataFrame:
+    """(seq, frame_idx, angle, mjd, v, norm): each region's pixels as a model sees them, as an array a frame; seq holds the region, too."""
+    px = inside.select(F.struct("seq", "region_id").alias("seq"), "frame_idx", "row", "col", "value")
+    if centring.startswith("image_"):
+        px = combine.subtract_level(px, centring[6:])
+    elif centring != "none":
+        px = combine.subtract_image(px, centring[: centring.index("_")])
+    if normalize:
+        px = combine.normalize_rms(px, low="zero", epsilon=2.220446049250313e-16)
+    arrays = px.groupBy("seq", "frame_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "col", F.coalesce("value", F.lit(0.0)).alias("value")))), lambda x: x["value"]).alias("v"))
+    known = stack.select(F.col("seq").alias("__s"), F.col("frame_idx").alias("__f"), "angle", "mjd")
+    out = arrays.join(known, (F.col("seq.seq") == F.col("__s")) & (F.col("frame_idx") == F.col("__f"))).drop("__s", "__f")
+    return out.withColumn("norm", F.sqrt(references.dot(F.col("v"), F.col("v"))))
+
+
+def principal_residuals(spark: SparkSession, pixels: DataFrame, stack: DataFrame, size: int, wanted: DataFrame, modes: list[int], centring: str = "image_mean", exclude: str = "none", least: float = 0.0, exclude_max: str = "none", most: float = 0.0, include: str = "all", n_references: int = 0, mask: DataFrame | None = None, library: DataFrame | None = None, exclude_radius: float = 0.0, normalize: bool = False) -> DataFrame:
+    """Residuals of preprocessed pixels by region; ``stack`` (seq, frame_idx, angle, mjd) and the region's own pixels serve to choose references.
+
+    The exclusion window is set by region, as motion in pixels is at the region's inner radius.
+    """
     geo = frames.geometry(spark, size, size)
     inside = frames.select_region(pixels, geo, wanted, mask)
     allowed = refs = None
     if library is not None:
         refs = frames.select_region(library, geo, wanted, mask)
-    elif exclude != "none" or n_references:
-        pairs = references.frame_pairs(references.centred(stack), ["frame_idx", "angle", "mjd", "v", "norm"], references.outside_window(exclude, least, most, radius))
-        allowed = references.rank_references(pairs, include, n_references).select("seq", "target", "reference")
-    return models.kl_subtract(inside, modes, centring, allowed, refs, exclude_radius)
+    elif exclude != "none" or exclude_max != "none" or include != "all" and n_references:
+        allowed = region_references(inside, stack, wanted, centring, exclude, least, exclude_max, most, include, n_references, normalize)
+    return models.kl_subtract(inside, modes, centring, allowed, refs, exclude_radius, normalize)
+
+
+def region_references(inside: DataFrame, stack: DataFrame, wanted: DataFrame, centring: str, exclude: str = "none", least: float = 0.0, exclude_max: str = "none", most: float = 0.0, include: str = "all", n_references: int = 0, normalize: bool = False) -> DataFrame:
+    """(seq, region_id, target, reference, score, rank) of the references that each target may have in each region."""
+    if include == "corr" and n_references:
+        arrays, columns = region_frames(inside, stack, centring, normalize), ["frame_idx", "angle", "mjd", "v", "norm"]
+    else:
+        places = inside.select("seq", "region_id").distinct()
+        arrays, columns = stack.join(places, "seq").select(F.struct("seq", "region_id").alias("seq"), "frame_idx", "angle", "mjd"), ["frame_idx", "angle", "mjd"]
+    edge = F.broadcast(wanted.select(F.col("region_id").alias("__r"), F.col("rmin").alias("__rmin")))
+    pairs = references.frame_pairs(arrays, columns).join(edge, F.col("seq.region_id") == F.col("__r")).filter(references.window(exclude, least, exclude_max, most, F.col("__rmin")))
+    ranked = references.rank_references(pairs, include if n_references else "all", n_references if include != "all" else 0)
+    return ranked.select("seq.seq", "seq.region_id", "target", "reference", "score", "rank")
 
 
 def principal_reduction(spark: SparkSession, stack: DataFrame, size: int, rmin: list[float], rmax: list[float], modes: list[int], steps: Preprocess | None = None, finish: Finish | None = None, mask: DataFrame | None = None, library: DataFrame | None = None, **choice) -> DataFrame:
@@ -110,24 +141,42 @@ def principal_reduction(spark: SparkSession, stack: DataFrame, size: int, rmin:
     stack = stack if "mjd" in stack.columns else stack.withColumn("mjd", F.col("frame_idx").cast("double"))
     pixels = preprocess(frames.explode_frames(stack, size), geo, steps, mask)
     refs = preprocess(frames.explode_frames(library, size), geo, steps, mask) if library is not None else None
-    residual = principal_residuals(spark, pixels, stack, size, frames.regions(spark, rmin, rmax), modes, radius=rmin[0], mask=mask, library=refs, **choice)
+    residual = principal_residuals(spark, pixels, stack, size, frames.regions(spark, rmin, rmax), modes, mask=mask, library=refs, **choice)
     return finalize(residual, stack.select("seq", "frame_idx", derotation(F.col("angle")).alias("derot")), geo, size, finish or Finish())
 
 
-def pixel_residuals(spark: SparkSession, pixels: DataFrame, stack: DataFrame, size: int, rmin: list[float], rmax: list[float], modes: list[int], wedge: dict, rank_tolerance: float = 1e-12) -> DataFrame:
-    """Residuals of the regressions of all annuli; annuli don't overlap, so a pixel has one."""
+def realised_modes(fractions: list[float], freedom: int, region: int) -> list[int]:
+    """Numbers of modes of increasing fractions of a region's degrees of freedom; none and repeated ones are errors."""
+    modes = [math.floor(f * freedom) for f in fractions]
+    if any(m <= 0 for m in modes):
+        raise ValueError(f"a mode fraction gives no modes in region {region}")
+    if any(b <= a for a, b in zip(modes, modes[1:], strict=False)):
+        raise ValueError(f"mode fractions give the same number of modes in region {region}")
+    return modes
+
+
+def pixel_residuals(spark: SparkSession, pixels: DataFrame, stack: DataFrame, size: int, rmin: list[float], rmax: list[float], modes: list[list[int]], wedge: dict, rank_tolerance: float = 1e-12, rotated: bool = False) -> DataFrame:
+    """Residuals of the regressions of all annuli, each with its own numbers of modes; annuli don't overlap, so a pixel has one.
+
+    ``rotated`` fits series of sky pixels that all frames cover, on centred series; the residuals are in the sky's orientation then.
+    """
     geo = frames.geometry(spark, size, size)
-    near = [models.local_predictors(geo, a, b, **wedge) for a, b in zip(rmin, rmax, strict=True)]
-    fitted = models.pixel_models(pixels, reduce(DataFrame.unionByName, near), modes, rank_tolerance)
+    if rotated:
+        angles = stack.select("seq", "frame_idx", derotation(F.col("angle")).alias("derot"))
+        sky = resample.derotate(pixels, angles, geo, size)
+        n = angles.groupBy("seq").agg(F.count(F.lit(1)).alias("__n"))
+        whole = sky.groupBy("seq", "row", "col").agg(F.count("value").alias("__k")).join(n, "seq").filter("__k = __n").select("seq", "row", "col")
+        pixels = sky.join(whole, ["seq", "row", "col"], "left_semi")
+    fits = [models.pixel_models(pixels, models.local_predictors(geo, a, b, **wedge), m, rank_tolerance, centred=rotated) for a, b, m in zip(rmin, rmax, modes, strict=True)]
     order = stack.groupBy("seq").agg(F.array_sort(F.collect_list("frame_idx")).alias("__order"))
-    return fitted.join(order, "seq").select("seq", "mode_idx", F.get("__order", F.col("frame_no")).alias("frame_idx"), F.col("t_row").alias("row"), F.col("t_col").alias("col"), "value")
+    return reduce(DataFrame.unionByName, fits).join(order, "seq").select("seq", "mode_idx", F.get("__order", F.col("frame_no")).alias("frame_idx"), F.col("t_row").alias("row"), F.col("t_col").alias("col"), "value")
 
 
 def pixel_reduction(spark: SparkSession, stack: DataFrame, size: int, rmin: float, rmax: float, modes: list[int], wedge: dict, steps: Preprocess | None = None, finish: Finish | None = None) -> DataFrame:
     """Frames to final images after a regression of every pixel of an annulus on its neighbourhood."""
     geo = frames.geometry(spark, size, size)
     pixels = preprocess(frames.explode_frames(stack, size), geo, steps or Preprocess())
-    residual = pixel_residuals(spark, pixels, stack, size, [rmin], [rmax], modes, wedge)
+    residual = pixel_residuals(spark, pixels, stack, size, [rmin], [rmax], [modes], wedge)
     return finalize(residual, stack.select("seq", "frame_idx", derotation(F.col("angle")).alias("derot")), geo, size, finish or Finish())
 
 

@@ -13,7 +13,7 @@ from .. import config
 from ..functions import expressions as ex
 from ..operators import frames, resample, selection
 from ..sources import fits, tables
-from . import pipelines
+from . import local, pipelines
 
 SUBTRACT = {"none": "none", "meanImage": "mean", "medianImage": "median"}
 CENTRING = {"none": "none", "imageMean": "image_mean", "imageMedian": "image_median", "meanImage": "mean_image", "medianImage": "median_image"}
@@ -58,23 +58,38 @@ def finish_of(o: dict[str, Any]) -> pipelines.Finish:
     return pipelines.Finish(o["adi.postMedSub"], bool(o["input.angleKeyword"]) and not o["combine.noDerotate"], METHOD[o["combine.method"]], o["combine.sigmaThreshold"], o["combine.minGoodFract"])
 
 
-def with_sources(spark: SparkSession, stack: DataFrame, o: dict[str, Any], size: int) -> DataFrame:
-    if not o["fake.sep"] or not o["fake.fileName"]:
-        return stack
-    template = fits.read_image(o["fake.fileName"])[1][0]
+def sized(template: np.ndarray, size: int) -> np.ndarray:
+    """A template padded with zeros, or cut, to the frames' size."""
     pad = size - template.shape[0]
     if pad % 2:
         raise ValueError("the template's size must have the frames' parity")
-    template = np.pad(template, pad // 2) if pad >= 0 else template[-pad // 2 : pad // 2, -pad // 2 : pad // 2]
+    return np.pad(template, pad // 2) if pad >= 0 else template[-pad // 2 : pad // 2, -pad // 2 : pad // 2]
+
+
+def with_sources(spark: SparkSession, stack: DataFrame, o: dict[str, Any], size: int) -> DataFrame:
+    if not o["fake.sep"] or not o["fake.fileName"]:
+        return stack
     scaled = selection.lookup(stack, tables.read_columns(spark, o["fake.scaleFileName"], "scale"), "scale", last_wins=True) if o["fake.scaleFileName"] else stack.withColumn("scale", F.lit(1.0))
     sources = list(zip(o["fake.sep"], o["fake.PA"], o["fake.contrast"], strict=True))
-    return resample.inject_template(scaled.withColumn("derot", ex.derotation(F.col("angle"))), template, sources, size).drop("scale", "derot")
+    scaled = scaled.withColumn("derot", ex.derotation(F.col("angle")))
+    if o["fake.method"] == "single":
+        return resample.inject_template(scaled, sized(fits.read_image(o["fake.fileName"])[1][0], size), sources, size).drop("scale", "derot")
+    # a list names a template for each frame, in the frames' order
+    each = fits.read(spark, "", list=o["fake.fileName"]).filter("plane = 0").select(F.col("frame_idx").cast("long").alias("__n"), F.col("pixels").alias("template"), F.col("n_rows").alias("template_rows"))
+    places = stack.groupBy("seq").agg(F.array_sort(F.collect_list("frame_idx")).alias("__order"))
+    numbered = scaled.join(places, "seq").withColumn("__n", F.array_position("__order", F.col("frame_idx")) - 1).drop("__order")
+    if each.count() != stack.count():
+        raise ValueError("the list of templates must have one for each frame")
+    return resample.inject_templates(numbered.join(each, "__n").drop("__n"), sources, size).drop("scale", "derot", "template", "template_rows")
 
 
 def prepared(spark: SparkSession, o: dict[str, Any], section: str = "input") -> tuple[DataFrame, DataFrame, int, DataFrame | None]:
     """(preprocessed pixels, their frames, size, mask), co-added where asked for, before or after preprocessing."""
     stack = read_sequence(spark, o, section)
-    size = stack.select("n_rows").first()[0]
+    head = stack.select("n_rows").first()
+    if head is None:
+        raise ValueError("no frame is left to reduce")
+    size = head[0]
     if section == "input":
         stack = with_sources(spark, stack, o, size)
     path = o["input.maskFile"] if section == "input" or o["rdi.useInputMask"] else o["rdi.maskFile"]
@@ -93,8 +108,8 @@ def prepared(spark: SparkSession, o: dict[str, Any], section: str = "input") ->
 
 #: Options that name steps which ``reduce`` doesn't run; a file that sets one would get a smaller reduction.
 UNSUPPORTED = (
-    "fake.RDIFluxScale", "fake.RDISepScale", "klip.pixelTSNormMethod", "klip.writeDiagnostics", "p4.regressionFrame", "p4.numberImages", "p4.localStampSize", "p4.psfFile", "p4.psfStampSize", "p4.outputPSFModels", "p4.psfFilter",
-    "p4.psfFilterMinGoodFract", "p4.psfOutputPrefix", "p4.writeDiagnostics", "p4Optimize.",
+    "fake.RDIFluxScale", "fake.RDISepScale", "klip.writeDiagnostics", "klip.diagnosticDirectory", "klip.pixelTSSigma", "preProcess.pixelTSSigma", "p4.memoryFraction", "p4.numberImages", "p4.localStampSize", "p4.psfFile", "p4.psfStampSize", "p4.outputPSFModels", "p4.psfFilter",
+    "p4.psfFilterMinGoodFract", "p4.psfOutputPrefix", "p4.writeDiagnostics", "p4.diagnosticDirectory", "showTiming", "diagnostics",
 )
 
 
@@ -108,10 +123,15 @@ def reduce(spark: SparkSession, kind: str, o: dict[str, Any]) -> DataFrame:
     refuse_unsupported(kind, o)
     if o["input.thresholdOnly"]:
         return read_sequence(spark, o).select("frame_idx", "basename").orderBy("frame_idx")
-    finish = finish_of(o)
+    finish, cards = finish_of(o), {}
     if o["mode"] == "postprocess":
         saved = tables.read_residuals(spark, o["postprocess.directory"], o["postprocess.prefix"], o["postprocess.extension"])
-        size = saved.select("n_rows").first()[0]
+        head = saved.select("n_rows", "header").first()
+        size, planes = head["n_rows"], saved.agg(F.max("mode_idx")).first()[0] + 1
+        modes = tables.read_list(head["header"], "NMODES")
+        if len(modes) != planes:
+            raise ValueError("saved residuals need an NMODES card with a number for each reduction")
+        cards = {k: v for k, v in head["header"].items() if k.split(" ")[0] in ("NMODES", "REGMINR", "REGMAXR", "FAKESEP", "FAKEPA", "FAKECONT")}
         residual = frames.explode_frames(saved.withColumns({"seq": F.lit(0), "frame_idx": F.col("frame_idx").cast("long")}), size, keep=("seq", "mode_idx", "frame_idx"))
         stack = read_sequence(spark, o) if o["input.directory"] else residual.select("seq", "frame_idx").distinct().withColumn("angle", F.lit(0.0))
     else:
@@ -124,44 +144,96 @@ def reduce(spark: SparkSession, kind: str, o: dict[str, Any]) -> DataFrame:
             return pixels
         if kind == "principal":
             wanted = frames.regions(spark, o["geom.minRadius"], o["geom.maxRadius"], o["geom.minAngle"] or None, o["geom.maxAngle"] or None, o["geom.nWedges"])
-            library = prepared(spark, o, "rdi")[0] if o["rdi.directory"] or o["rdi.fileList"] else None
+            library = None
+            if o["rdi.directory"] or o["rdi.fileList"]:
+                library, _, other, _ = prepared(spark, o, "rdi")
+                if other != size:
+                    raise ValueError(f"the reference frames have {other} rows, the targets {size}")
+            modes = [int(n) for n in o["klip.Nmodes"]]
             residual = pipelines.principal_residuals(
-                spark, pixels, stack, size, wanted, [int(n) for n in o["klip.Nmodes"]], CENTRING[o["klip.meanSubMethod"]], o["adi.excludeMethod"], o["adi.minDPx"], o["adi.maxDPx"] if o["adi.excludeMethodMax"] != "none" else 0.0,
-                o["klip.includeMethod"], o["klip.includeRefNum"], o["geom.minRadius"][0], mask, library, o["klip.rrRadius"] if o["klip.rightReason"] else 0.0,
+                spark, pixels, stack, size, wanted, modes, CENTRING[o["klip.meanSubMethod"]], o["adi.excludeMethod"], o["adi.minDPx"], o["adi.excludeMethodMax"], o["adi.maxDPx"],
+                o["klip.includeMethod"], o["klip.includeRefNum"], mask, library, o["klip.rrRadius"] if o["klip.rightReason"] else 0.0, o["klip.pixelTSNormMethod"] == "rms",
             )
         else:
+            rotated = o["p4.regressionFrame"] == "rotated"
+            pixels = frames.require_finite(pixels)
             wedge = {"delta_in": o["p4.orDeltaRadiusInner"], "delta_out": o["p4.orDeltaRadiusOuter"], "arc": o["p4.orArcHalfWidth"], "max_half_angle": o["p4.orMaxHalfAngle"], "radius": o["p4.psfRadius"] + o["p4.exclusionRadiusBuffer"], "policy": "kernel_support" if o["p4.exclusionPolicy"] == "kernelSupport" else "sample_center"}
-            near = pipelines.models.local_predictors(frames.geometry(spark, size, size), o["geom.minRadius"][0], o["geom.maxRadius"][0], **wedge)
-            least = near.groupBy("t_row", "t_col").count().agg(F.min("count")).first()[0]
-            freedom = ex.degrees_of_freedom(stack.count(), least or 0, False)
-            modes = sorted({ex.mode_count(f, freedom) for f in o["p4.modeFractions"]})
-            residual = pipelines.pixel_residuals(spark, pixels, stack, size, o["geom.minRadius"], o["geom.maxRadius"], modes, wedge, o["p4.rankTolerance"])
+            count, by_region = stack.count(), []
+            for region, (a, b) in enumerate(zip(o["geom.minRadius"], o["geom.maxRadius"], strict=True)):
+                near = pipelines.models.local_predictors(frames.geometry(spark, size, size), a, b, **wedge)
+                least = near.groupBy("t_row", "t_col").count().agg(F.min("count")).first()[0]
+                by_region.append(pipelines.realised_modes(o["p4.modeFractions"], ex.degrees_of_freedom(count, least or 0, rotated), region))
+            if o["p4Optimize.enabled"]:
+                return optimize(spark, o, stack, size, wedge, by_region)
+            modes = by_region[0]
+            residual = pipelines.pixel_residuals(spark, pixels, stack, size, o["geom.minRadius"], o["geom.maxRadius"], by_region, wedge, o["p4.rankTolerance"], rotated)
+            finish.derotate = finish.derotate and not rotated
+        cards = tables.list_cards("NMODES", modes) | tables.list_cards("REGMINR", o["geom.minRadius"]) | tables.list_cards("REGMAXR", o["geom.maxRadius"])
+        if o["fake.sep"]:
+            cards |= tables.list_cards("FAKESEP", o["fake.sep"]) | tables.list_cards("FAKEPA", o["fake.PA"]) | tables.list_cards("FAKECONT", o["fake.contrast"])
     weights = None
     if o["combine.weightFile"]:
         weights = selection.normalized_weights(selection.lookup(stack, tables.read_columns(spark, o["combine.weightFile"], "weight"), "weight")).select("seq", "frame_idx", "weight")
     if o["output.outputPSFSub"]:
-        tables.write_residuals(residual, o["output.directory"] or ".", o["output.psfSubPrefix"] or "residual", size)
+        known = {r["frame_idx"]: r["weight"] for r in weights.collect()} if weights is not None else None  # a number a frame
+        tables.write_residuals(residual, o["output.directory"] or ".", o["output.psfSubPrefix"] or "residual", size, known, cards)
     angles = stack.select("seq", "frame_idx", ex.derotation(F.col("angle")).alias("derot"))
     final = pipelines.finalize(residual, angles, frames.geometry(spark, size, size), size, finish, weights)
     if o["output.directory"] and finish.method != "none":
-        tables.write_final(final, tables.next_path(o["output.directory"], o["output.fileName"], o["output.exactFName"]), size, tables.provenance({k: v for k, v in o.items() if v not in ("", [], None)}))
+        tables.write_final(final, tables.next_path(o["output.directory"], o["output.fileName"], o["output.exactFName"]), size, tables.provenance({k: v for k, v in o.items() if v not in ("", [], None)}) | cards)
     return final
 
 
+def optimize(spark: SparkSession, o: dict[str, Any], stack: DataFrame, size: int, wedge: dict[str, Any], modes: list[list[int]]) -> DataFrame:
+    """(trial, row, col, contrast, merit) of a fit of one source, whose template is taken out of the frames; tables go to the output prefix.
+
+    The fit acts on frames as they are read, so a run that preprocesses them is refused.
+    """
+    if not steps_of(o).skip and steps_of(o) != pipelines.Preprocess():
+        raise NotImplementedError("a fit takes no preprocessing steps")
+    if len(o["fake.sep"]) != 1 or not o["fake.fileName"] or o["fake.method"] != "single":
+        raise ValueError("a fit needs one source with a template")
+    inside = [i for i, (a, b) in enumerate(zip(o["geom.minRadius"], o["geom.maxRadius"], strict=True)) if a <= o["fake.sep"][0] < b]
+    if not inside:
+        raise ValueError("the source lies in no region")
+    fraction = o["p4Optimize.modeFraction"] or o["p4.modeFractions"][0]
+    if fraction not in o["p4.modeFractions"]:
+        raise ValueError("p4Optimize.modeFraction must be one of p4.modeFractions")
+    here = inside[0]
+    region = local.Region(o["geom.minRadius"][here], o["geom.maxRadius"][here], modes=modes[here][o["p4.modeFractions"].index(fraction)], **wedge)
+    at, bounds, template = (o["fake.sep"][0], o["fake.PA"][0]), (o["p4Optimize.contrastLower"], o["p4Optimize.contrastUpper"]), sized(fits.read_image(o["fake.fileName"])[1][0], size)
+    raw, aperture = stack.select("seq", "frame_idx", "pixels", "angle"), o["p4Optimize.apertureRadius"] or 1.0
+    limits = {"samples": o["p4Optimize.validationSamples"], "tolerance": o["p4Optimize.parameterTolerance"]}
+    if o["p4Optimize.fitPosition"]:
+        more = {"position_tolerance": o["p4Optimize.positionTolerance"], "merit_tolerance": o["p4Optimize.meritTolerance"], "most": o["p4Optimize.maxEvaluations"]}
+        search = local.fit_position(spark, raw, size, region, at, bounds, o["p4Optimize.positionBound"], aperture, template, **limits, **more)
+    else:
+        search = local.fit_contrast(spark, raw, size, region, at, bounds, aperture, template, most=o["p4Optimize.maxEvaluations"], **limits)
+    if o["p4Optimize.outputPrefix"]:
+        tables.write_search(search, o["p4Optimize.outputPrefix"])
+    if o["p4Optimize.uncertaintyBlocks"]:
+        found, error = local.jackknife_contrast(spark, raw, size, region, at, bounds, aperture, template, o["p4Optimize.uncertaintyBlocks"], most=o["p4Optimize.maxEvaluations"], **limits)
+        if o["p4Optimize.outputPrefix"]:
+            tables.write_jackknife(found, error, o["p4Optimize.outputPrefix"])
+    rows = [(i, *((None, None, float(x[0])) if len(x) == 1 else map(float, x)), float(m)) for i, (x, m) in enumerate(search.samples)]
+    return spark.createDataFrame(rows, "trial int, row double, col double, contrast double, merit double")
+
+
 def analyze(spark: SparkSession, o: dict[str, Any]) -> DataFrame:
     """The signal-to-noise table of a file of final images."""
+    refuse_unsupported("analysis", o)
     cube = fits.read(spark, o["file"])
     head = cube.select("header", "n_rows").first()
     size, header = head["n_rows"], head["header"]
     names = ("planet.sep", "planet.PA", "planet.R") if o["planet.sep"] else ("fake.sep", "fake.PA", "fake.R")
     seps, pas, radii = (o[n] for n in names)
     if not seps:
-        seps, pas = ([float(x) for x in header.get(k, "").split(",") if x.strip()] for k in ("FAKESEP", "FAKEPA"))
+        seps, pas = tables.read_list(header, "FAKESEP"), tables.read_list(header, "FAKEPA")
     radii = radii or [o["snr.apertureR"] * 2] * len(seps)
-    edge = lambda f, *keys: next((f(float(x) for x in header[k].split(",")) for k in keys if header.get(k)), None)
+    edge = lambda f, *keys: next((f(found) for k in keys if (found := tables.read_list(header, k))), None)
     rmin = o["snr.minRad"] or edge(min, "REGMINR", "P4 MIN RADIUS", "P4MINR") or 0.0
     rmax = o["snr.maxRad"] or edge(max, "REGMAXR", "P4 MAX RADIUS", "P4MAXR") or float("inf")
-    modes = [float(x) for x in header.get("NMODES", "").split(",") if x.strip()]
+    modes = tables.read_list(header, "NMODES")
     planes = frames.explode_frames(cube, size, keep=("plane",))
     mode = F.element_at(F.array(*map(F.lit, modes)), F.col("plane") + 1) if modes else F.col("plane").cast("double")
     how = pipelines.Analysis(list(zip(seps, pas, radii if len(radii) == len(seps) else radii * len(seps), strict=True)), rmin, rmax, o["snr.apertureR"], o["filter.hpfGaussFW"], o["filter.lpfGaussFW"])

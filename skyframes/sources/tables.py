@@ -65,7 +65,22 @@ def read_residuals(spark: SparkSession, directory: str, prefix: str, extension:
     return out.select("mode_idx", "frame_idx", "header", "n_rows", "n_cols", "pixels")
 
 
-def write_residuals(residual: DataFrame, directory: str, prefix: str, size: int, weights: dict[int, float] | None = None) -> None:
+def list_cards(name: str, values: list) -> dict[str, str]:
+    """A list as cards: joined by commas, in parts that fit."""
+    text = ",".join(f"{v:g}" if isinstance(v, float) else str(v) for v in values)
+    return {name if not i else f"{name} {i // 60}": text[i : i + 60] for i in range(0, len(text), 60)}
+
+
+def read_list(header: dict[str, str], name: str) -> list[float]:
+    """The numbers of a list's cards; none if there is no card."""
+    parts, i = [], 0
+    while (part := header.get(name if not i else f"{name} {i}")) is not None:
+        parts.append(str(part))
+        i += 1
+    return [float(x) for x in "".join(parts).split(",") if x.strip()]
+
+
+def write_residuals(residual: DataFrame, directory: str, prefix: str, size: int, weights: dict[int, float] | None = None, cards: dict[str, str] | None = None) -> None:
     """One file per (mode_idx, frame_idx) from long residuals, each written where its pixels are; and weights.dat."""
     os.makedirs(directory, exist_ok=True)
 
@@ -73,7 +88,7 @@ def write_residuals(residual: DataFrame, directory: str, prefix: str, size: int,
         image = np.full((size, size), np.nan)
         image[p["row"].to_numpy(), p["col"].to_numpy()] = p["value"].to_numpy(float)
         name = residual_name(prefix, int(key[0]), int(key[1]))
-        fits.write_image(os.path.join(directory, name), image, {"REDUCTION": int(key[0]), "IMAGE": int(key[1])})
+        fits.write_image(os.path.join(directory, name), image, {"REDUCTION": int(key[0]), "IMAGE": int(key[1]), **(cards or {})})
         import pandas as pd
 
         return pd.DataFrame({"name": [name]})
@@ -129,3 +144,11 @@ def write_search(search, prefix: str) -> None:
     if search.converged:
         with open(f"{prefix}best.json", "w") as f:
             json.dump({"best": search.best}, f)
+
+
+def write_jackknife(fits: list[float], error: float, prefix: str) -> None:
+    """The fits without each block and their standard error."""
+    with open(f"{prefix}jackknife.csv", "w") as f:
+        f.write("block,contrast\n")
+        f.writelines(f"{i},{x!r}\n" for i, x in enumerate(fits))
+        f.write(f"error,{error!r}\n")
