@@ -230,7 +230,7 @@ def _search(k: int, ef: int):
             asked, wanted = queries.column("query_id").to_numpy(), _vectors(queries.column("vector"), row["dim"])
             for at in range(0, len(asked), BATCH):
                 part = wanted[at : at + BATCH]
-                found = graph.search(unit_rows(part), ef)[:, : 4 * (k + 1)]
+                found = graph.search(unit_rows(part), ef)
                 for q, vector, nodes in zip(asked[at : at + BATCH].tolist(), part, found, strict=True):
                     nodes = nodes[nodes >= 0]
                     score = (vectors[nodes] * vector).sum(axis=1) / (length[nodes] * math.sqrt(float((vector * vector).sum())))
