@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,9 +37,24 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_SCRATCH: list[str] = []
+
+
+def _remove(owner: int) -> None:
+    if os.getpid() != owner:  # a forked child leaves its parent's files alone
+        return
+    for uri in _SCRATCH:
+        with contextlib.suppress(Exception):
+            store, path = open_store(uri)
+            store.delete_dir(path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_root(spark)}/skyframes-{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; what is there is removed when the driver's process ends."""
+    if not _SCRATCH:
+        atexit.register(_remove, os.getpid())
+    _SCRATCH.append(f"{shared_root(spark)}/skyframes-{name}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
 
 
 def bounded_batches(spark: SparkSession, rows: int = 500) -> None:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, make_dir, materialize, open_store, scratch, table, write_file
+from .common import bounded_batches, make_dir, mark_members, materialize, open_store, scratch, table, write_file
 
 MIN_REVISIT_BYTES = 100
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256 * 1024, 64 * 1024 * 1024, 3
@@ -151,14 +151,17 @@ def _write(folder: str, frame_bytes: int, bundle_bytes: int):
 def plan_records(pages: DataFrame) -> DataFrame:
     """(page_id, url, html bytes, size, digest, refers_to): html is null where a revisit stands for it.
 
-    The smallest id of each repeated payload is found on digests alone (partial sums tame a hot payload), and only
-    repeated payloads are joined back.
+    The smallest id of each repeated payload is found on digests alone (partial sums tame a hot payload). Only rows that may repeat
+    one (by a bit table of fixed size) are joined to them; payloads that are short or alone aren't shuffled.
     """
     rows = pages.select(F.col("page_id").cast("long"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("html"))
     rows = rows.withColumns({"size": F.octet_length("html").cast("long"), "digest": F.sha2("html", 256)})
     first = rows.filter(F.col("size") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first")
+    first = materialize(first.withColumn("__h", F.xxhash64("digest")), "repeated")
+    marked = mark_members(rows.withColumn("__h", F.xxhash64("digest")), "__h", first, "__h", "__may").drop("__h").withColumn("__may", F.col("__may") & (F.col("size") >= MIN_REVISIT_BYTES))
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    rows = rows.join(first, "digest", "left").withColumn("refers_to", refers)
+    alone = marked.filter("not __may").withColumn("refers_to", F.lit(None).cast("long"))
+    rows = marked.filter("__may").join(first.drop("__h"), "digest", "left").withColumn("refers_to", refers).drop("first").unionByName(alone)
     return rows.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "size", "digest", "refers_to")
 
 
