@@ -44,11 +44,14 @@ def _rules(valid: DataFrame, rank: Column) -> Column:
     return F.collect_list(F.struct(rank.alias("rank"), "since", "key", "category", "until"))
 
 
+RESULTS = ("host", "blocked", "n_active", "rule", "category", "active_since")
+
+
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "fetched_at") -> DataFrame:
     """``captures`` with host, blocked, n_active, rule, category and active_since.
 
     Entries are gathered by distinct host first (a host matches few: its own name and those above it), so a capture
-    joins once by host and once by URL, and no capture is multiplied. Rows of hot hosts may be split by the
+    joins once by host and once by URL, and no capture is multiplied. Columns of ``captures`` that have a result's name are left out. Rows of hot hosts may be split by the
     engine, as both joins keep the captures' side.
     """
     valid = intervals(entries)
@@ -64,7 +67,7 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "
     rows = rows.withColumn("__uf_active", active)
     best = F.array_max("__uf_active")
     return rows.select(
-        *(F.col(f"`{c}`") for c in captures.columns), F.col("__uf_host").alias("host"), (F.size("__uf_active") > 0).alias("blocked"), F.size("__uf_active").cast("long").alias("n_active"),
+        *(F.col(f"`{c}`") for c in captures.columns if c.lower() not in RESULTS), F.col("__uf_host").alias("host"), (F.size("__uf_active") > 0).alias("blocked"), F.size("__uf_active").cast("long").alias("n_active"),
         best["key"].alias("rule"), best["category"].alias("category"), best["since"].alias("active_since"),
     )
 

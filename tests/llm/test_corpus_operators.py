@@ -469,6 +469,13 @@ def test_entries_are_evaluated_as_of_the_fetch(spark):
     assert url_filters.judge(d.limit(0), e).count() == 0 and url_filters.judge(d, e.limit(0)).filter("blocked").count() == 0
 
 
+def test_captures_may_have_names_of_results(spark):
+    rows = spark.createDataFrame([(1, "http://a.com/x", 50, "mine", True, "r")], "page_id long, url string, fetched_at long, host string, Blocked boolean, rule string")
+    entries = spark.createDataFrame([("domain", "a.com", "add", 10, "spam")], "kind string, key string, action string, since long, category string")
+    got = url_filters.judge(rows, entries)
+    assert [c.lower() for c in got.columns].count("host") == 1 and got.select("host", "blocked", "rule").first() == ("a.com", True, "a.com")
+
+
 # ---- mixing
 
 
