@@ -9,8 +9,8 @@ gap, and the search runs in those stretches only. The ids of the others are the
 Scores: the model is a merge-ranked vocabulary without probabilities, so a piece of rank r scores as Zipf's law
 has it, -log((r + 1) H). A character without a piece becomes its UTF-8 byte pieces at the lowest score less 10.
 
-Defined results: null and empty texts have no pieces, score 0 and one segmentation; texts that hold the
-model's white-space mark decode to spaces (round_trip false); repeated rows give repeated results.
+Defined results: null and empty texts have no pieces, score 0 and one segmentation; round_trip decodes the best ids and
+compares with the text, so it is false for texts that hold the model's white-space mark (it decodes to a space); repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ class Lattice:
         model = sentencepiece.SentencePieceProcessor(model_file=path or default_model())
         n = model.get_piece_size()
         harmonic = math.log(sum(1 / (r + 1) for r in range(n)))
-        self.surface: list[str | bytes] = [b""] * n
+        self.surface: list[bytes] = [b""] * n
         self.pieces: dict[str, tuple[tuple[int, ...], float]] = {}
         self.bytes = [0] * 256
         for i in range(n):
@@ -62,7 +62,7 @@ class Lattice:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 rank = min(n - 1, max(0, -int(model.get_score(i))))
                 self.pieces[piece] = ((i,), -math.log(rank + 1) - harmonic)
-                self.surface[i] = piece
+                self.surface[i] = piece.encode("utf-8", "surrogatepass")
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("a piece spans a word boundary")
         self.low = min(s for _, s in self.pieces.values()) - 10
@@ -187,7 +187,7 @@ class Lattice:
 
     def decode(self, ids) -> str:
         """The text of the ids: marks become spaces, byte pieces UTF-8, and the first space goes."""
-        data = b"".join(x if isinstance(x, bytes) else x.encode("utf-8", "surrogatepass") for x in (self.surface[i] for i in ids))
+        data = b"".join(map(self.surface.__getitem__, ids))
         return data.decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ")
 
 
@@ -293,14 +293,14 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        """A new generation: a number per stretch, and by number the best ids, score, first gap and soundness."""
-        self.old = (self.index, self.ids, self.scores, self.first, self.sound) if hasattr(self, "index") else ({}, [], array("d"), array("d"), bytearray())
+        """A new generation: a number per stretch, and by number the best ids, score and first gap."""
+        self.old = (self.index, self.ids, self.scores, self.first) if hasattr(self, "index") else ({}, [], array("d"), array("d"))
         self.index: dict[str, int] = {}
         self.ids: list[bytes] = []
-        self.scores, self.first, self.sound = array("d"), array("d"), bytearray()
+        self.scores, self.first = array("d"), array("d")
 
     def solve(self, stretch: str) -> int:
-        """The number of a stretch: its best ids as little-endian i4, score, first gap, whether the ids decode to it."""
+        """The number of a stretch: its best ids as little-endian i4, score, first gap."""
         if (at := self.index.get(stretch)) is not None:
             return at
         if (at := self.old[0].get(stretch)) is not None:
@@ -309,12 +309,11 @@ class Encoder:
             parts = self.lattice.cut(stretch)
             if len(parts) == 1:
                 top, ids, second = self.lattice.best_two(stretch)
-                sound = b"".join(y if isinstance(y, bytes) else y.encode() for y in map(self.lattice.surface.__getitem__, ids)) == stretch.encode("utf-8", "surrogatepass")
-                found = (array("i", ids).tobytes(), top, top - second, sound)
+                found = (array("i", ids).tobytes(), top, top - second)
             else:
                 rows = [self.solve(p) for p in parts]
-                found = (b"".join([self.ids[r] for r in rows]), math.fsum(self.scores[r] for r in rows), min(self.first[r] for r in rows), all(self.sound[r] for r in rows))
-        for to, value in zip((self.ids, self.scores, self.first, self.sound), found, strict=True):
+                found = (b"".join([self.ids[r] for r in rows]), math.fsum(self.scores[r] for r in rows), min(self.first[r] for r in rows))
+        for to, value in zip((self.ids, self.scores, self.first), found, strict=True):
             to.append(value)
         at = self.index[stretch] = len(self.ids) - 1
         return at
@@ -330,15 +329,14 @@ class Encoder:
         for group in by_size.values():
             score, second, ids, known = best_two_of_many(group, self.trie, self.lattice.low, self.lattice.longest)
             starts = (ids == -2).sum(axis=1).tolist()
-            for x, a, b, row, start, sound in zip(group, score.tolist(), (score - second).tolist(), ids, starts, known.tolist(), strict=True):
-                if not sound:
+            for x, a, b, row, start, whole in zip(group, score.tolist(), (score - second).tolist(), ids, starts, known.tolist(), strict=True):
+                if not whole:
                     self.solve(x)
                     continue
                 self.index[x] = len(self.ids)
                 self.ids.append(row[start:].tobytes())
                 self.scores.append(a)
                 self.first.append(b)
-                self.sound.append(1)
 
     def gaps(self, stretch: str) -> list[tuple[float, bytes]]:
         """The n best segmentations by the search: distance from the best score, ids as little-endian i4."""
@@ -370,7 +368,7 @@ class Encoder:
         docs = [self.lattice.split(t or "") for t in texts]
         self.solve_many(set().union(*docs).difference(self.index))
         get, ids, m, out = self.index.__getitem__, self.ids.__getitem__, self.n - 1, []
-        scores, first, sound = np.frombuffer(self.scores), np.frombuffer(self.first), np.frombuffer(self.sound, np.bool_)
+        scores, first = np.frombuffer(self.scores), np.frombuffer(self.first)
         for text, doc in zip(texts, docs, strict=True):
             if not doc:
                 out.append(([b""], [0.0], True))
@@ -395,7 +393,7 @@ class Encoder:
                 chosen = [self.distinct(parts[pick[k]], found[k]) for k in range(len(found))]
                 for _, picks in sums[1:]:
                     best.append(between[0] + b"".join([chosen[k][picks[k]] + x for k, x in zip(places, between[1:], strict=True)]))
-            out.append((best, [score - s for s, _ in sums], MARK not in text and bool(sound[at].all())))
+            out.append((best, [score - s for s, _ in sums], self.lattice.decode(array("i", best[0])) == text))
         return out
 
 

@@ -642,6 +642,14 @@ def test_segment_rows(odd):
     assert not piece_lattice.Encoder().encode(["a▁b"])[0][3]
 
 
+def test_round_trip_tells_wrong_ids():
+    encoder = piece_lattice.Encoder()
+    assert [x[3] for x in encoder.encode(["the thon", "the"])] == [True, True]
+    at = encoder.index["▁thon"]
+    encoder.ids[at] = encoder.ids[encoder.index["▁the"]]
+    assert [x[3] for x in encoder.encode(["the thon", "the"])] == [False, True]
+
+
 # ---- shared
 
 
