@@ -12,8 +12,9 @@ Bands and rows are chosen for the recall wanted at the threshold; comparing whol
 no band has joined.
 
 Defined results: words are runs without ASCII white space, case matters; a text of one to four words is one shingle;
-null and empty texts have no shingles and are alone in their class; rows without doc_id take no part (null class, no
-links); repeated rows are copies of each other. Class keys have 64 bits.
+null and empty texts have no shingles and are alone in their class; rows without doc_id come after all others in order,
+and their class has a null id if it holds no other; rows that repeat a doc_id count one by one, whether their texts differ
+or not. Class keys have 64 bits.
 """
 
 from __future__ import annotations
@@ -23,15 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, groups, mark_members, materialize, table
+from .common import WORD, bounded_batches, groups, mark_members, materialize, table
 
 THRESHOLD, RECALL, MAX_HASHES, WINDOW = 0.8, 0.9995, 256, 5
 #: A block holds about this many shingles; a document counts for at least DOC_WEIGHT.
 BLOCK_WEIGHT, DOC_WEIGHT = 400_000, 500
 U = np.uint64
+#: Rows without doc_id are ordered as if they had this one.
+LAST = (1 << 63) - 1
 
 
 def plan_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -138,10 +141,14 @@ def components(links: DataFrame, name: str) -> DataFrame:
 
 
 def _shingle_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each pair of blocks that a document's set is needed in."""
+    """A row for each pair of blocks that a class's set is needed in; rows that repeat it in a partition are skipped."""
+    seen = set()
     for batch in batches:
         for i in range(batch.num_rows):
             group, key, size, block, blocks, text = (c[i].as_py() for c in batch.columns)
+            if (group, key) in seen:
+                continue
+            seen.add((group, key))
             found = shingles(text).tobytes()
             for at in range(0, blocks, 64):
                 others = range(at, min(blocks, at + 64))
@@ -227,18 +234,25 @@ def _verify(threshold: float):
     return run
 
 
+def order_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, text_hash, class_id, n_links, n_shingles) for every row.
+    """(doc_id, text_hash, class_id, n_links, n_shingles, kept_id, kept_hash) for every row.
 
-    class_id is the smallest doc_id of the class, n_links the number of other documents at the threshold or above.
+    class_id is the smallest doc_id of the class, n_links the number of other documents at the threshold or above. The
+    class's first row has the order id kept_id and the text hash kept_hash (null for rows without links).
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     sketched = materialize(rows.mapInArrow(_sketch(*plan_bands(threshold, recall)), "doc_id long, text_hash long, class long, n long, bands array<long>"), "sketches")
-    named = sketched.filter("doc_id is not null and class is not null")
-    classes = materialize(named.groupBy("class").agg(F.min("doc_id").alias("first"), F.min_by("text_hash", "doc_id").alias("first_hash"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")), "classes")
+    named = sketched.filter("class is not null").withColumn("order_id", order_id())
+    # by id first, so that the smallest id has one text hash whatever the order of rows
+    by_id = named.groupBy("class", "order_id").agg(F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
+    classes = materialize(by_id.groupBy("class").agg(F.min("order_id").alias("first"), F.min_by("text_hash", "order_id").alias("first_hash"), F.min("doc_id").alias("least_id"), F.sum("copies").alias("copies"), F.first("n").alias("n")), "classes")
 
     banded = named.select("class", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("band", "low")
@@ -249,41 +263,46 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
     wanted = materialize(members.join(sizes, "grp").select("first", "first_hash", "grp", "class", "copies", F.pmod(F.xxhash64("class"), F.col("blocks")).alias("block"), "blocks"), "wanted")
     # only texts that may be wanted are shuffled; a sort-merge join whatever the sizes, so small inputs take the way of large ones
     key = lambda i, h: F.xxhash64(i, h)
-    likely = mark_members(rows.withColumn("key", key("doc_id", "text_hash")), "key", wanted.select(key("first", "first_hash").alias("member")), "member", "likely").filter("likely").drop("key", "likely")
-    texts = likely.join(wanted.hint("merge"), (likely["doc_id"] == wanted["first"]) & (likely["text_hash"] == wanted["first_hash"]))
+    ordered = rows.select(order_id().alias("order_id"), "text_hash", "text")
+    likely = mark_members(ordered.withColumn("key", key("order_id", "text_hash")), "key", wanted.select(key("first", "first_hash").alias("member")), "member", "likely").filter("likely").drop("key", "likely")
+    texts = likely.join(wanted.hint("merge"), (likely["order_id"] == wanted["first"]) & (likely["text_hash"] == wanted["first_hash"]))
     blocks = texts.select("grp", "class", "copies", "block", "blocks", "text").mapInArrow(_shingle_blocks, "grp long, x long, y long, class long, copies long, block long, shingles binary")
     checked = blocks.repartition(max(parts, 4), "grp", "x", "y").sortWithinPartitions("grp", "x", "y").mapInArrow(_verify(threshold), "class long, links long, root long")
     checked = materialize(checked, "verified")
 
     joined = components(checked.select(F.col("class").alias("u"), F.col("root").alias("v")), "joined")
     linked = checked.groupBy("class").agg(F.sum("links").alias("links")).join(joined.select(F.col("u").alias("class"), "v"), "class", "left")
-    known = classes.join(linked, "class", "left").filter("copies > 1 or links is not null").select("class", F.coalesce("v", "class").alias("label"), "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    named_by = known.groupBy("label").agg(F.min("first").alias("class_id"))
-    answer = known.join(named_by, "label").select("class", "class_id", "n_links")
+    known = classes.join(linked, "class", "left").filter("copies > 1 or links is not null").select("class", F.coalesce("v", "class").alias("label"), "first", "first_hash", "least_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    by_first = known.groupBy("label", "first").agg(F.min("first_hash").alias("first_hash"), F.min("least_id").alias("least_id"))
+    named_by = by_first.groupBy("label").agg(F.min("least_id").alias("class_id"), F.min("first").alias("kept_id"), F.min_by("first_hash", "first").alias("kept_hash"))
+    answer = known.join(named_by, "label").select("class", "class_id", "n_links", "kept_id", "kept_hash")
     out = sketched.drop("bands").join(answer, "class", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
-    return out.select("doc_id", "text_hash", own.alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
+    return out.select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n").alias("n_shingles"), "kept_id", "kept_hash")
+
 
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One document of each class, the one with the smallest doc_id, with its own columns.
+    """One row of each class with its own columns: that of the smallest doc_id, then of the smallest text hash.
 
-    Rows that are alone in their class stay; of rows that repeat both id and text one stays.
+    Rows that are alone in their class stay; of rows that repeat both id and text one stays. Those are brought down to
+    one in each partition before rows are shuffled.
     """
     found = near_duplicates(docs, text).filter("n_links > 0")
-    gone = found.select("doc_id", "text_hash", (F.col("doc_id") != F.col("class_id")).alias("__nj_gone")).groupBy("doc_id", "text_hash").agg(F.max("__nj_gone").alias("__nj_gone"), (F.count(F.lit(1)) > 1).alias("__nj_more"))
-    gone = gone.filter("__nj_gone or __nj_more").select(F.col("doc_id").alias("__nj_id"), F.col("text_hash").alias("__nj_hash"), "__nj_gone")
-    gone = materialize(gone, "gone")
+    lost = (order_id() != F.col("kept_id")) | (F.col("text_hash") != F.col("kept_hash"))
+    gone = found.select(order_id().alias("__nj_id"), F.col("text_hash").alias("__nj_hash"), lost.alias("__nj_gone")).groupBy("__nj_id", "__nj_hash").agg(F.max("__nj_gone").alias("__nj_gone"), (F.count(F.lit(1)) > 1).alias("__nj_more"))
+    gone = materialize(gone.filter("__nj_gone or __nj_more").drop("__nj_more"), "gone")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.withColumn("__nj_text", F.xxhash64(text)).withColumn("__nj_key", F.xxhash64("doc_id", "__nj_text"))
+    rows = docs.withColumns({"__nj_own": order_id(), "__nj_text": F.xxhash64(text)}).withColumn("__nj_key", F.xxhash64("__nj_own", "__nj_text"))
     rows = mark_members(rows, "__nj_key", gone.select(F.xxhash64("__nj_id", "__nj_hash").alias("member")), "member", "__nj_likely")
+    # texts without words have no class; all of them stay
+    rows = rows.withColumn("__nj_likely", F.col("__nj_likely") & F.coalesce(F.col(text).rlike(WORD), F.lit(False)))
     sure = rows.filter("not __nj_likely").select(*names)  # these stay without a shuffle
-    found = rows.filter("__nj_likely").join(gone.hint("merge"), (F.col("doc_id") == F.col("__nj_id")) & (F.col("__nj_text") == F.col("__nj_hash")), "left").filter("not coalesce(__nj_gone, false)")
-    one = F.row_number().over(Window.partitionBy("doc_id", "__nj_text").orderBy(F.col("__nj_gone").isNull()))
-    found = found.withColumn("__nj_row", one).filter("__nj_id is null or __nj_row = 1")
+    found = rows.filter("__nj_likely").dropDuplicates(["__nj_own", "__nj_text"])
+    found = found.join(gone.hint("merge"), (F.col("__nj_own") == F.col("__nj_id")) & (F.col("__nj_text") == F.col("__nj_hash")), "left").filter("not coalesce(__nj_gone, false)")
     return sure.unionByName(found.select(*names))
 
 
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_shingles")
 

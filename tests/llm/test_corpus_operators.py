@@ -128,6 +128,20 @@ def test_one_of_each_class_stays(spark, odd):
     assert ngram_join.near_duplicates(empty).count() == 0 and ngram_join.keep_one(empty).count() == 0
 
 
+def test_null_and_repeated_ids_take_part(spark):
+    a, b, c = text(1, 40), text(2, 40), text(3, 40)
+    near = a + " more"
+    rows = [(None, a), (None, a), (5, near), (5, a), (7, b), (7, b + " more"), (None, c), (None, c), (None, ""), (9, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, place int").repartition(3)
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(docs).collect()), key=repr)
+    assert got == sorted([(None, 5, 3)] * 2 + [(5, 5, 3)] * 2 + [(7, 7, 1)] * 2 + [(None, None, 1)] * 2 + [(None, None, 0)] + [(9, 9, 0)] * 2, key=repr)
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    left = sorted((rows[r["place"]] for r in kept.collect()), key=repr)
+    assert [x for x in left if x[0] == 5] in ([(5, a)], [(5, near)]) and len([x for x in left if x[0] == 7]) == 1
+    assert [x for x in left if x[0] not in (5, 7)] == sorted([(9, None)] * 2 + [(None, c), (None, "")], key=repr)
+
+
 def test_bands_reach_the_recall():
     b, r = ngram_join.plan_bands()
     assert 1 - (1 - 0.8**r) ** b >= ngram_join.RECALL and b * r <= ngram_join.MAX_HASHES
