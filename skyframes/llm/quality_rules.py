@@ -100,10 +100,11 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", id_col: str
 def keep(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns.
 
-    Texts stay where they are: a pass sums the hosts, a second one filters, so no text is shuffled unless the
-    list of rejected hosts is too large to broadcast.
+    Texts stay where they are: a pass sums the hosts, a second one filters. The list of rejected hosts is written
+    first, so that its size is known when the second pass is planned: it is broadcast below
+    spark.sql.autoBroadcastJoinThreshold, and beyond that rows are shuffled by host.
     """
-    rejected = host_verdicts(measure(docs, text), host).filter(F.col(P + "host_rejected")).select(P + "host")
+    rejected = materialize(host_verdicts(measure(docs, text), host).filter(F.col(P + "host_rejected")).select(P + "host"), "rejected")
     # a row number keeps the filter above the measures: pushed below them, it would compute them again for each word
     measured = measure(docs, text).withColumn(P + "row", F.monotonically_increasing_id())
     kept = measured.filter(~base_failed() & (F.col(P + "row") >= 0)).join(rejected, F.col(host).eqNullSafe(F.col(P + "host")), "left_anti")

@@ -69,6 +69,22 @@ def test_hosts_are_shrunk_and_rejected(spark):
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_texts_are_shuffled_for_long_lists_only(spark):
+    d = spark.createDataFrame([(i, "bad" if i < 60 else None, "a b" if i < 55 else text(i, 30)) for i in range(90)], "doc_id long, source string, text string")
+    plans, kept = [], []
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for size in (limit, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+            out = quality_rules.keep(d)
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+            kept.append(sorted(r["doc_id"] for r in out.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert kept[0] == kept[1] == list(range(60, 90))
+    assert "Exchange hashpartitioning" not in plans[0] and "Exchange hashpartitioning" in plans[1]
+
+
 def test_prior_strength_bounds():
     assert quality_rules.prior_strength(0, 0, 0, 0, 0) == (0.0, quality_rules.MAX_STRENGTH)
     assert quality_rules.prior_strength(2, 20, 0, 200, 0)[1] == quality_rules.MAX_STRENGTH
