@@ -76,6 +76,7 @@ def prior_strength(hosts: int, docs: float, failed: float, squares: float, ratio
 def host_verdicts(measured: DataFrame, host: str) -> DataFrame:
     """One row per host: documents, failures, shrunk rate, verdict. Only one row of five sums comes to the driver."""
     hosts = measured.groupBy(F.col(host).alias(P + "host")).agg(F.count(F.lit(1)).alias(P + "host_docs"), F.count_if(any_failed()).alias(P + "host_failed"))
+    hosts = materialize(hosts, "hosts")  # used for the prior and for the verdicts: the texts are measured once
     n, k = F.col(P + "host_docs").cast("double"), F.col(P + "host_failed").cast("double")
     sums = hosts.agg(F.count(F.lit(1)), F.sum(n), F.sum(k), F.sum(n * n), F.sum(k * k / n)).first()
     mean, strength = prior_strength(*(x or 0 for x in sums))
