@@ -35,6 +35,44 @@ def rotate(frame: np.ndarray, angle: float) -> np.ndarray:
     return sample(frame, dr * k + dc * s + (rows - 1) / 2, -dr * s + dc * k + (cols - 1) / 2)
 
 
+def rotate_planes(frame: np.ndarray, mode: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray, missing: np.ndarray, still: np.ndarray, s: np.ndarray, k: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """(frame, mode, row, col, value, missing) of the planes (frame, mode) of pixel rows, each turned by its frame's sine and cosine.
+
+    ``still`` frames keep their rows. A sample needs 16 values; a plane has a row and column of -1 besides, with a missing value.
+    """
+    side, grid = size + 2, size * size
+    keys_of, plane = np.unique(np.stack([frame, mode]), axis=1, return_inverse=True)
+    plane = plane.ravel()
+    owner, kind = keys_of
+    n_planes = len(owner)
+    as_is = still[frame]
+    cell = plane * (side * side) + (row + 1) * side + col + 1
+    use = ~missing & (row >= 0) & (row < size) & (col >= 0) & (col < size)
+    total = np.bincount(cell[use], value[use], n_planes * side * side).reshape(n_planes, -1)
+    count = np.bincount(cell[use], minlength=n_planes * side * side).reshape(n_planes, -1)
+    turning = np.flatnonzero(~still[owner] & np.isfinite(s[owner]) & np.isfinite(k[owner]))
+    place = np.arange(grid)
+    c = (size - 1) / 2
+    dr, dc = place % size - c, place // size - c
+    of, back = np.unique(owner[turning], return_inverse=True)
+    x, y = dr * k[of, None] + dc * s[of, None] + c, -dr * s[of, None] + dc * k[of, None] + c
+    a, b = np.floor(x).astype(int), np.floor(y).astype(int)
+    wx, wy = [keys(i - (x - a)) for i in range(-1, 3)], [keys(i - (y - b)) for i in range(-1, 3)]
+    out, seen = np.zeros((len(turning), grid)), np.zeros((len(turning), grid), int)
+    for i in range(-1, 3):
+        for j in range(-1, 3):
+            tap = ((np.clip(a + i, -1, size) + 1) * side + np.clip(b + j, -1, size) + 1)[back]
+            out += (wx[i + 1] * wy[j + 1])[back] * total[turning[:, None], tap]
+            seen += count[turning[:, None], tap]
+    p, q = np.nonzero(seen == 16)
+    p, out = turning[p], out[p, q]
+    none = np.full(n_planes, -1)
+    return (
+        np.concatenate([owner, owner[p], frame[as_is]]), np.concatenate([kind, kind[p], mode[as_is]]), np.concatenate([none, q % size, row[as_is]]), np.concatenate([none, q // size, col[as_is]]),
+        np.concatenate([np.zeros(n_planes), out, value[as_is]]), np.concatenate([np.ones(n_planes, bool), np.zeros(len(out), bool), missing[as_is]]),
+    )
+
+
 def shift(stack: np.ndarray, d_row: float, d_col: float) -> np.ndarray:
     rows, cols = stack.shape[-2:]
     r, c = np.meshgrid(np.arange(rows, dtype=float), np.arange(cols, dtype=float), indexing="ij")

@@ -59,6 +59,48 @@ def derotate(pixels: DataFrame, angles: DataFrame, geo: DataFrame, size: int) ->
     return resample(pixels, rotation_taps(angles.filter("derot <> 0"), geo, size), per_frame=True).union(still)
 
 
+def derotate_frames(pixels: DataFrame, angles: DataFrame, size: int) -> DataFrame:
+    """``derotate`` of planes (seq, mode_idx, frame_idx, row, col, value) over the whole image, in one pass and without a row per tap.
+
+    Pixels are shuffled once, by frame, and turned where their frame is. ``angles`` (seq, frame_idx, derot, ...) may have more columns, which
+    the result has, too. It has the covered positions, and a row and column of -1 with a null value for each plane.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from ..kernels import images
+
+    more = [c for c in angles.columns if c not in (*FRAME, "derot")]
+    cells = pixels.groupBy(F.col("seq").alias("__s"), F.col("frame_idx").alias("__f")).agg(F.collect_list(F.struct("mode_idx", "row", "col", "value")).alias("cells"))
+    turned = cells.join(angles, (F.col("__s") == F.col("seq")) & (F.col("__f") == F.col("frame_idx")))
+    turned = turned.select("seq", "frame_idx", "cells", (F.col("derot") == 0).alias("still"), F.sin("derot").alias("s"), F.cos("derot").alias("k"), *more)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("cells")
+            ends = lists.offsets.to_numpy()
+            start = 0
+            while start < batch.num_rows:  # frames of about a million pixels at a time
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + (1 << 20), "right")) - 1)
+                part = batch.slice(start, stop - start)
+                flat = part.column("cells").flatten()
+                mode, row, col = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("mode_idx", "row", "col"))
+                missing = flat.field("value").is_null().to_numpy(zero_copy_only=False)
+                value = flat.field("value").fill_null(0.0).to_numpy(zero_copy_only=False)
+                frame = np.repeat(np.arange(part.num_rows), np.diff(ends[start : stop + 1]))
+                angle = [part.column(c).fill_null(v).to_numpy(zero_copy_only=False) for c, v in (("still", False), ("s", np.nan), ("k", np.nan))]
+                at, kind, y, x, out, null = images.rotate_planes(frame, mode, row, col, value, missing, *angle, size)
+                rows = pa.array(at)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("seq").take(rows), pa.array(kind, pa.int32()), part.column("frame_idx").take(rows), pa.array(y, pa.int32()), pa.array(x, pa.int32()), pa.array(out, mask=null), *(part.column(c).take(rows) for c in more)],
+                    ["seq", "mode_idx", "frame_idx", "row", "col", "value", *more],
+                )
+                start = stop
+
+    seq, frame, *rest = (f"{c} {angles.schema[c].dataType.simpleString()}" for c in [*FRAME, *more])
+    return turned.mapInArrow(run, ", ".join([seq, "mode_idx int", frame, "row int", "col int", "value double", *rest]))
+
+
 def rotate_mask(mask: DataFrame, angles: DataFrame, geo: DataFrame, size: int) -> DataFrame:
     """(seq, frame_idx, row, col, good): the nearest input pixel decides; outside the image is bad."""
     c = (size - 1) / 2

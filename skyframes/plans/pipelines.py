@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import derotation
@@ -77,17 +77,19 @@ def finalize(residual: DataFrame, angles: DataFrame, geo: DataFrame, size: int,
         keyed = combine.median_residual(keyed)
     if how.method == "none":
         return keyed.select("seq.seq", "seq.mode_idx", "frame_idx", "row", "col", "value")
-    n = None
+    w = weights.select(F.col("seq").alias("__ws"), F.col("frame_idx").alias("__wf"), "weight", F.lit(True).alias("__weighed")) if weights is not None else None
+    weighed = lambda df: (df["seq"] == F.col("__ws")) & (df["frame_idx"] == F.col("__wf"))
     if how.derotate:
-        turns = keyed.select("seq", "frame_idx").distinct().join(angles.select(F.col("seq").alias("__s"), "frame_idx", "derot"), (F.col("seq.seq") == F.col("__s")) & (keyed["frame_idx"] == angles["frame_idx"])).select("seq", keyed["frame_idx"], "derot")
-        n = turns.groupBy("seq").agg(F.count(F.lit(1)).alias("__frames"))
-        keyed = resample.derotate(keyed, turns, geo, size)
-    if weights is not None:
-        w = weights.select(F.col("seq").alias("__ws"), F.col("frame_idx").alias("__wf"), "weight")
+        turns = angles.select(F.col("seq").alias("seq"), F.col("frame_idx").alias("frame_idx"), "derot")
+        turns = turns.join(w, weighed(turns), "left").drop("__ws", "__wf") if w is not None else turns
+        keyed = resample.derotate_frames(keyed.select("seq.seq", "seq.mode_idx", "frame_idx", "row", "col", "value"), turns, size)
+        keyed = (keyed.filter("__weighed or row < 0") if w is not None else keyed).withColumn("seq", F.struct("seq", "mode_idx"))
+    elif w is not None:
         keyed = keyed.join(w, (F.col("seq.seq") == F.col("__ws")) & (F.col("frame_idx") == F.col("__wf"))).drop("__ws", "__wf")
     done = combine.combine(keyed, how.method, weight="weight" if weights is not None else None, sigma=how.sigma)
-    if n is not None:
-        done = done.join(n, "seq").withColumn("n_total", F.col("__frames")).drop("__frames")
+    if how.derotate:
+        frames_of = F.max(F.when(F.col("row") < 0, F.col("n_total"))).over(Window.partitionBy("seq"))
+        done = done.withColumn("n_total", frames_of).filter("row >= 0")
     done = done.withColumn("value", F.when(F.col("n_good") / F.col("n_total") >= how.min_good, F.col("value")))
     return done.select("seq.seq", "seq.mode_idx", "row", "col", "value", "n_good", "n_total")
 
@@ -114,12 +116,14 @@ def principal_residuals(spark: SparkSession, pixels: DataFrame, stack: DataFrame
     """
     geo = frames.geometry(spark, size, size)
     inside = frames.select_region(pixels, geo, wanted, mask)
-    allowed = refs = None
+    allowed = refs = window = None
     if library is not None:
         refs = frames.select_region(library, geo, wanted, mask)
-    elif exclude != "none" or exclude_max != "none" or include != "all" and n_references:
+    elif include != "all" and n_references:
         allowed = region_references(inside, stack, wanted, centring, exclude, least, exclude_max, most, include, n_references, normalize)
-    return models.kl_subtract(inside, modes, centring, allowed, refs, exclude_radius, normalize)
+    elif exclude != "none" or exclude_max != "none":
+        window = (stack.crossJoin(F.broadcast(wanted.select("region_id", "rmin"))), exclude, least, exclude_max, most)
+    return models.kl_subtract(inside, modes, centring, allowed, refs, exclude_radius, normalize, window)
 
 
 def region_references(inside: DataFrame, stack: DataFrame, wanted: DataFrame, centring: str, exclude: str = "none", least: float = 0.0, exclude_max: str = "none", most: float = 0.0, include: str = "all", n_references: int = 0, normalize: bool = False) -> DataFrame:

@@ -222,3 +222,43 @@ def test_correlated_references_are_found_without_pairs_as_rows(spark):
 
     plan = catalog.queries()["ref_select_corr"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "t_frame_idx" not in plan
+
+
+@pytest.mark.parametrize(("low", "least", "high", "most"), [("imno", 2.0, "none", 0.0), ("angle", 15.0, "imno", 30.0), ("pixel", 1.0, "angle", 170.0), ("none", 0.0, "imno", 1.0), ("imno", 28.0, "none", 0.0)])
+def test_windowed_references_are_those_of_the_pairs(spark, low, least, high, most):
+    rng = np.random.default_rng(9)
+    arrays = [rng.normal(size=(6, 6)) * (100.0 if i == 7 else 1.0) for i in range(56)]
+    s = stack(spark, arrays, [7.0 * i for i in range(56)])
+    px, geo, wanted = frames.explode_frames(s, 6), frames.geometry(spark, 6, 6), frames.regions(spark, [0.5, 2.0], [2.0, 9.0])
+    known = s.withColumn("angle", F.when(F.col("frame_idx") != 11, F.col("angle"))).filter("frame_idx <> 20").withColumn("mjd", F.col("frame_idx").cast("double"))
+    inside = frames.select_region(px, geo, wanted)
+    allowed = pipelines.region_references(inside, known, wanted, "image_mean", low, least, high, most)
+    plain = lambda df: {(r["n_modes"], r["frame_idx"], r["row"], r["col"]): r["value"] for r in df.collect()}
+    want = plain(models.kl_subtract(inside, [1, 4], "image_mean", allowed))
+    residual = pipelines.principal_residuals(spark, px, known, 6, wanted, [1, 4], exclude=low, least=least, exclude_max=high, most=most)
+    assert "t_frame_idx" not in residual._jdf.queryExecution().optimizedPlan().toString()
+    got = plain(residual)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-7 for k in want)
+
+
+def test_planes_are_turned_without_rows_of_taps(spark):
+    rng = np.random.default_rng(10)
+    rows = [(0, m, f, r, c, None if (f, r, c) in ((2, 4, 4), (0, 0, 0)) else float(rng.normal()) if (f, r, c) != (3, 2, 2) else math.nan) for m in (0, 1) for f in range(6) for r in range(9) for c in range(9) if r or f != 4]
+    rows += [(0, 0, 1, 4, 4, 1.0), (0, 0, 0, 3, 3, 1.0), (None, 0, 1, 4, 4, 1.0), (0, 0, 9, 4, 4, 1.0)]
+    residual = spark.createDataFrame(rows, "seq int, mode_idx int, frame_idx long, row int, col int, value double")
+    angles = spark.createDataFrame([(0, 0, 0.0), (0, 1, 0.4), (0, 2, math.pi / 2), (0, 3, 4.0), (0, 4, -1.0), (0, 5, None), (0, 6, 1.0)], "seq int, frame_idx long, derot double")
+    geo = frames.geometry(spark, 9, 9)
+    keyed = lambda df: df.withColumn("seq", F.struct("seq", "mode_idx"))
+    turns = keyed(angles.crossJoin(spark.range(2).select(F.col("id").cast("int").alias("mode_idx"))))
+    want = resample.derotate(keyed(residual), turns, geo, 9)
+    assert want.count()
+    got = resample.derotate_frames(residual, angles, 9)
+    plain = lambda df, *keys: sorted(((*(r[k] for k in keys), None if r["value"] is None else repr(round(r["value"], 9) + 0.0)) for r in df.collect()), key=repr)
+    assert plain(got.filter("row >= 0"), "seq", "mode_idx", "frame_idx", "row", "col") == plain(want.select("seq.seq", "seq.mode_idx", "frame_idx", "row", "col", "value"), "seq", "mode_idx", "frame_idx", "row", "col")
+    assert got.filter("row < 0").count() == 12
+    weights = spark.createDataFrame([(0, f, 1.0 + f) for f in range(5) if f != 1], "seq int, frame_idx long, weight double")
+    done = pipelines.finalize(residual, angles, geo, 9, pipelines.Finish(), weights)
+    assert {r["n_total"] for r in done.collect()} == {6}
+    by_hand = combine.combine(want.join(weights.withColumnsRenamed({"seq": "__s", "frame_idx": "__f"}), (F.col("seq.seq") == F.col("__s")) & (F.col("frame_idx") == F.col("__f"))), "mean", weight="weight")
+    assert plain(done, "mode_idx", "row", "col", "n_good") == plain(by_hand.select("seq.mode_idx", "row", "col", "n_good", "value"), "mode_idx", "row", "col", "n_good")
+    assert "in_row" not in done._jdf.queryExecution().optimizedPlan().toString()
