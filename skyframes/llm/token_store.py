@@ -10,7 +10,9 @@ repeated ids ordered by their token bytes; an empty table writes no file.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
 import json
 import os
 import re
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, make_dir, materialize, open_store, scratch, table, write_file
 
 LIMIT, BLOCK, STRIDE, MAGIC = 16, 1 << 16, 128, b"SKTOKEN1"
-END_ID, CACHE = 2, 500_000
+END_ID, CACHE, TOGETHER = 2, 500_000, 1 << 22
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -37,7 +39,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-UNITS, BEYOND, DOTTED = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff\x20\x09-\x0d]+"), re.compile(rb"[\x80-\xff]+"), "\u0130"
+BEYOND, DOTTED = re.compile(rb"[\x80-\xff]+"), "\u0130"
+SPACE, LETTER, DIGIT, OTHER = range(4)
+UNITS = np.array([SPACE if b == 32 or 9 <= b <= 13 else DIGIT if 48 <= b <= 57 else LETTER if 97 <= b <= 122 or b >= 128 else OTHER for b in range(256)], np.uint8)
+CHUNKS = np.where(UNITS == SPACE, SPACE, LETTER).astype(np.uint8)
 
 
 class ChunkTokenizer:
@@ -86,40 +91,88 @@ class ChunkTokenizer:
         odd = "" if low.isascii() else b"".join(set(BEYOND.findall(low))).decode("utf-8", "replace")
         return not odd or odd.isalpha() and DOTTED not in odd
 
+    @staticmethod
+    def _cut(texts: list[bytes], kinds: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """(units of the texts: runs of bytes of a kind, single digits; how many each text has)."""
+        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        kind = kinds.take(data)
+        inside, new = kind != SPACE, kind == DIGIT
+        new[0] = True
+        new[1:] |= kind[1:] != kind[:-1]
+        new &= inside
+        kept, at = data[inside], np.flatnonzero(new[inside])
+        units = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(kept)).astype(np.int32)), pa.py_buffer(kept)])
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        return units.dictionary_encode(), np.diff(np.searchsorted(np.flatnonzero(new), ends), prepend=0)
+
+    def _look_up(self, units: list[bytes]) -> list[bytes]:
+        """The ids of distinct units."""
+        found = list(map(self.cache.get, units))
+        new = [u for u, ids in zip(units, found, strict=True) if ids is None]
+        if not new:
+            return found
+        ends, need = {}, set()
+        for c in new:
+            text = c.decode("utf-8", "replace")
+            stem = text if text.isalpha() or "<|" in text or DOTTED in text else text.rstrip(string.punctuation)
+            if stem and stem != text and stem[-1].isalpha():
+                ends[c] = pair = (stem.encode(), text[len(stem) :].encode())
+                need.update(pair)
+            else:
+                need.add(c)
+        need = {c for c in need if c not in self.cache}
+        for c in need & self.old.keys():
+            self.cache[c] = self.old[c]
+        self._library(sorted(need.difference(self.cache)))
+        self.cache.update((c, self.cache[stem] + self.cache[end]) for c, (stem, end) in ends.items())
+        return list(map(self.cache.__getitem__, units))
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of UTF-8 texts."""
         if len(self.cache) > CACHE:
             self.cache, self.old = {}, self.cache
-        docs = [UNITS.findall(low) if self._plain(low) else low.split() for low in ((t or b"").lower() for t in texts)]
-        new = set().union(*docs).difference(self.cache)
-        if new:
-            ends, need = {}, set()
-            for c in new:
-                text = c.decode("utf-8", "replace")
-                stem = text if text.isalpha() or "<|" in text or DOTTED in text else text.rstrip(string.punctuation)
-                if stem and stem != text and stem[-1].isalpha():
-                    ends[c] = pair = (stem.encode(), text[len(stem) :].encode())
-                    need.update(pair)
-                else:
-                    need.add(c)
-            need = {c for c in need if c not in self.cache}
-            for c in need & self.old.keys():
-                self.cache[c] = self.old[c]
-            self._library(sorted(need.difference(self.cache)))
-            self.cache.update((c, self.cache[stem] + self.cache[end]) for c, (stem, end) in ends.items())
-        get = self.cache.__getitem__
-        return [b"".join(map(get, doc)) for doc in docs]
+        low = [(t or b"").lower() for t in texts]
+        plain = np.array([self._plain(t) for t in low], bool)
+        out = [b""] * len(texts)
+        for kinds, some in ((UNITS, np.flatnonzero(plain)), (CHUNKS, np.flatnonzero(~plain))):
+            if not len(some):
+                continue
+            units, counts = self._cut([low[i] for i in some], kinds)
+            ids = self._look_up(units.dictionary.to_pylist())
+            pool, sizes = np.frombuffer(b"".join(ids), self.kind), np.array([len(x) for x in ids], np.int64) // self.kind.itemsize
+            of = units.indices.to_numpy()
+            n = sizes[of]
+            to = np.cumsum(n)
+            at = np.repeat((np.cumsum(sizes) - sizes)[of] - (to - n), n)
+            at += np.arange(len(at))
+            data, to = pool[at].tobytes(), self.kind.itemsize * np.append(0, to)[np.append(0, np.cumsum(counts))]
+            for i, a, b in zip(some.tolist(), to.tolist(), to[1:].tolist(), strict=False):
+                out[i] = data[a:b]
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def _coder(path: str, id_bytes: int) -> ChunkTokenizer:
+    """A worker's coder, whose cache outlives its tasks."""
+    return ChunkTokenizer(path, id_bytes)
 
 
 def _tokenize(path: str, id_bytes: int):
     end = np.array(END_ID).astype(f"<u{id_bytes}").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkTokenizer(path, id_bytes)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + end for x in coder.encode(part.column(1).cast(pa.binary()).to_pylist())], pa.binary())], ["doc_id", "ids"])
+        coder = _coder(path, id_bytes)
+        docs, texts, size = [], [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                docs.append(batch.column(0))
+                texts += (part := batch.column(1).cast(pa.binary())).to_pylist()
+                size += part.nbytes
+            if texts and (batch is None or size >= TOGETHER):
+                ids = coder.encode(texts)
+                for at in range(0, len(ids), 512):
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(docs).slice(at, 512), pa.array([x + end for x in ids[at : at + 512]], pa.binary())], ["doc_id", "ids"])
+                docs, texts, size = [], [], 0
 
     return run
 

@@ -686,3 +686,22 @@ def test_round_trip_tells_wrong_ids():
 def test_scratch_reads_the_session(spark):
     root = common.shared_root(spark)
     assert common.scratch(spark, "x").startswith(root + "/") and common.materialize(spark.range(3), "y").count() == 3
+
+
+def test_token_coder_outlives_tasks_and_agrees_with_the_library():
+    import random
+
+    import pyarrow as pa
+
+    words = ["Don't", "a1b22c", "x--y", "<|endoftext|>", "naïve", "İstanbul", "3.14", "你好", "(end).", "tab\tnew\x0bline\n", "\x1c", "café's", "…", "A", "é"]
+    rng = random.Random(11)
+    texts = [None, "", " \t", *(" ".join(rng.choice(words) + rng.choice(["", " ", ",", "7"]) for _ in range(rng.randrange(1, 12))) for _ in range(1500))]
+    path = token_store.default_tokenizer()
+    for part in (texts[:700], texts[700:]):
+        batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + len(part[a : a + 300]))), pa.array(part[a : a + 300], pa.string())], ["doc_id", "text"]) for a in range(0, len(part), 300)]
+        got = pa.Table.from_batches(list(token_store._tokenize(path, 2)(iter(batches))))
+        assert got["doc_id"].to_pylist() == list(range(len(part)))
+        library = token_store._coder(path, 2).tokenizer
+        for text, ids in zip(part, got["ids"].to_pylist(), strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == [*library.encode(text or "", add_special_tokens=False).ids, token_store.END_ID], text
+    assert list(token_store._tokenize(path, 2)(iter([]))) == [] and token_store._coder(path, 2) is token_store._coder(path, 2)
