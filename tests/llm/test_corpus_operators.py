@@ -705,3 +705,23 @@ def test_token_coder_outlives_tasks_and_agrees_with_the_library():
         for text, ids in zip(part, got["ids"].to_pylist(), strict=True):
             assert np.frombuffer(ids, "<u2").tolist() == [*library.encode(text or "", add_special_tokens=False).ids, token_store.END_ID], text
     assert list(token_store._tokenize(path, 2)(iter([]))) == [] and token_store._coder(path, 2) is token_store._coder(path, 2)
+
+
+def test_narrower_contexts_are_entries_of_the_widest_one():
+    rng = np.random.default_rng(12)
+    texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 6, rng.integers(1, 9))) for _ in range(60)).encode() for _ in range(30)] + [b"", b"\x00a b", "é ñ".encode()]
+    alone = np.ones((256, 256), np.int64)
+    block = context_mixing.Block(texts, context_mixing.Code(alone, {}))
+    packed = {k: context_mixing.unpack(p) for k, _, p in context_mixing.messages(texts, True, context_mixing.Code(alone, {}), [0] * 7) if k < context_mixing.WORDS}
+    replies = []
+    for k in range(context_mixing.N_CONTEXTS):
+        first, n = block.entries(block.context(k), True)  # over all bytes
+        keys, path, counts = packed[k]
+        assert np.array_equal(path, block.paths[first]) and np.array_equal(counts, n) and np.array_equal(keys, block.context(k)[first] >> np.uint64(32))
+        replies.append(rng.integers(-99, 99, int(block.code_lens[first].astype(int).sum())).astype(np.int8))
+    rows = context_mixing.unit_rows(block, replies)[0]
+    lens = block.code_lens.astype(int)
+    for k, reply in enumerate(replies):
+        first, mine = block.entries(block.context(k), False)
+        starts = np.cumsum(lens[first]) - lens[first]
+        assert np.array_equal(rows[:, k], np.concatenate([reply[starts[m] : starts[m] + n] for m, n in zip(mine, lens, strict=True)]))
