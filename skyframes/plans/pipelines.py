@@ -112,9 +112,13 @@ def region_frames(inside: DataFrame, stack: DataFrame, centring: str, normalize:
 def principal_residuals(spark: SparkSession, pixels: DataFrame, stack: DataFrame, size: int, wanted: DataFrame, modes: list[int], centring: str = "image_mean", exclude: str = "none", least: float = 0.0, exclude_max: str = "none", most: float = 0.0, include: str = "all", n_references: int = 0, mask: DataFrame | None = None, library: DataFrame | None = None, exclude_radius: float = 0.0, normalize: bool = False) -> DataFrame:
     """Residuals of preprocessed pixels by region; ``stack`` (seq, frame_idx, angle, mjd) and the region's own pixels serve to choose references.
 
-    The exclusion window is set by region, as motion in pixels is at the region's inner radius.
+    The exclusion window is set by region, as motion in pixels is at the region's inner radius. A plane has the whole image, with zeros
+    where no region is: a rotated sample near a region's edge needs them, and a narrow annulus has no sample without.
     """
     geo = frames.geometry(spark, size, size)
+    owned = [tuple(r) for r in frames.region_pixels(geo, wanted, mask).collect()]
+    taken = {(row, col) for _, row, col in owned}
+    outside = (min(owned)[0], [(row, col) for row in range(size) for col in range(size) if (row, col) not in taken]) if owned else None
     inside = frames.select_region(pixels, geo, wanted, mask)
     allowed = refs = window = None
     if library is not None:
@@ -123,7 +127,7 @@ def principal_residuals(spark: SparkSession, pixels: DataFrame, stack: DataFrame
         allowed = region_references(inside, stack, wanted, centring, exclude, least, exclude_max, most, include, n_references, normalize)
     elif exclude != "none" or exclude_max != "none":
         window = (stack.crossJoin(F.broadcast(wanted.select("region_id", "rmin"))), exclude, least, exclude_max, most)
-    return models.kl_subtract(inside, modes, centring, allowed, refs, exclude_radius, normalize, window)
+    return models.kl_subtract(inside, modes, centring, allowed, refs, exclude_radius, normalize, window, outside)
 
 
 def region_references(inside: DataFrame, stack: DataFrame, wanted: DataFrame, centring: str, exclude: str = "none", least: float = 0.0, exclude_max: str = "none", most: float = 0.0, include: str = "all", n_references: int = 0, normalize: bool = False) -> DataFrame:

@@ -262,3 +262,29 @@ def test_planes_are_turned_without_rows_of_taps(spark):
     by_hand = combine.combine(want.join(weights.withColumnsRenamed({"seq": "__s", "frame_idx": "__f"}), (F.col("seq.seq") == F.col("__s")) & (F.col("frame_idx") == F.col("__f"))), "mean", weight="weight")
     assert plain(done, "mode_idx", "row", "col", "n_good") == plain(by_hand.select("seq.mode_idx", "row", "col", "n_good", "value"), "mode_idx", "row", "col", "n_good")
     assert "in_row" not in done._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(("low", "high"), [([1.0], [4.5]), ([1.0, 3.0], [3.0, 4.5])])
+def test_regions_are_fitted_by_their_own_pixels_and_turned_in_whole_images(spark, low, high):
+    """A narrow annulus: each footprint of 16 pixels holds some outside it, which are zero and no part of the fit."""
+    rng = np.random.default_rng(11)
+    arrays = [10 + rng.normal(size=(8, 8)) for _ in range(24)]
+    s = stack(spark, arrays, [7.0 * i for i in range(24)])
+    got = pipelines.principal_reduction(spark, s, 8, low, high, [1, 4], exclude="imno", least=2, finish=pipelines.Finish(min_good=0.2))
+    r = np.hypot(*np.meshgrid(np.arange(8) - 3.5, np.arange(8) - 3.5, indexing="ij"))
+    planes = np.zeros((2, 24, 8, 8))
+    for a, b in zip(low, high, strict=True):
+        at = (r >= a) & (r < b)
+        x = np.array([v[at] - v[at].mean() for v in arrays])
+        for i in range(24):
+            vt = np.linalg.svd(x[np.abs(np.arange(24) - i) > 2], full_matrices=False)[2]
+            for m, n in enumerate((1, 4)):
+                planes[m, i][at] = x[i] - x[i] @ vt[:n].T @ vt[:n]
+    turned = np.array([[images.rotate(f, math.radians(7.0 * i)) for i, f in enumerate(p)] for p in planes])
+    good = np.isfinite(turned).sum(axis=1)
+    want = {(m, row, col): (good[m, row, col], np.nanmean(turned[m, :, row, col]) if good[m, row, col] >= 0.2 * 24 else None) for m, row, col in zip(*np.nonzero(good), strict=True)}
+    rows = {(q["mode_idx"], q["row"], q["col"]): q for q in got.collect()}
+    assert rows.keys() == want.keys() and {q["n_total"] for q in rows.values()} == {24}
+    assert sum(good.ravel()) > 0.3 * 2 * 24 * 64
+    for k, (n, v) in want.items():
+        assert rows[k]["n_good"] == n and (rows[k]["value"] is None) == (v is None) and (v is None or abs(rows[k]["value"] - v) < 1e-9)
